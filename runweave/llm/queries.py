@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, sharding, simhash
+from . import bpe, langid, quality, sharding, simhash
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op6_byte_bpe, op7_rendezvous_shards)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op6_byte_bpe, op7_rendezvous_shards, op8_line_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_quality": quality.VERDICTS_SQL}
