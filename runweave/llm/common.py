@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,19 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there: its lineage ends, lost executors don't matter.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it from there: its lineage ends, lost executors don't matter."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """As cut(), but a compressed table: for wide rows, and readers that take few of the columns."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8; bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, sharding, simhash
+from . import bpe, langid, quality, sharding, simhash, substring
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op6_byte_bpe, op7_rendezvous_shards, op8_line_quality)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op6_byte_bpe, op7_rendezvous_shards, op8_line_quality, op9_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_quality": quality.VERDICTS_SQL}
