@@ -8,8 +8,10 @@ single spaces, where pieces of the pattern always end; each distinct part is enc
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, record, slices, text_columns
 
-#: Distinct parts that a task remembers; it forgets all and starts anew beyond.
-MEMORY = 100_000
+#: Distinct parts that a task remembers (about 150 bytes each); it forgets all and starts anew beyond.
+MEMORY = 800_000
+#: Marks that the pattern parts from a letter before them.
+MARKS = ".,;:!?"
+#: A space beside another white-space character; a superset of what the pattern takes for white space.
+BESIDE = re.compile(r" \s|\s ")
 #: Bytes that stand for themselves as characters; the others follow from U+0100 in order. Fixed values of the format.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -39,9 +45,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one rank file and pattern; made once in each task."""
+    """Encoder and decoder of one rank file and pattern; made once in each task. spans: whether offsets are wanted."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spans: bool = True):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         shown = byte_characters()
@@ -51,42 +57,54 @@ class Codec:
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         byte_of = {c: b for b, c in enumerate(shown)}
         self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in self.model.get_vocab().items()}
-        self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.spans: dict[str, bytes] | None = {} if spans else None
 
     @staticmethod
     def parts(text: str) -> list[str]:
         """Parts that join to `text`, each but the first starting with a single space between other characters."""
         out = text.split(" ")
-        if len(out) > 1:
-            out[1:] = [" " + x for x in out[1:]]
-            if any(len(x) == 1 or x[1].isspace() or y[-1:].isspace() or not y for y, x in zip(out, out[1:])):
-                joined = [out[0]]
-                for x in out[1:]:
-                    if len(x) == 1 or x[1].isspace() or not joined[-1] or joined[-1][-1].isspace():
-                        joined[-1] += x
-                    else:
-                        joined.append(x)
-                return joined
-        return out
+        out[1:] = [" " + x for x in out[1:]]
+        if not BESIDE.search(text):
+            return out
+        joined = [out[0]]
+        for x in out[1:]:
+            if len(x) == 1 or x[1].isspace() or joined[-1][-1:].isspace():
+                joined[-1] += x
+            else:
+                joined.append(x)
+        return joined
 
     def learn(self, parts: set[str]) -> None:
-        """Encode the parts that aren't remembered: little-endian unsigned ids, and start and end of each token's characters."""
-        new = [x for x in parts if x not in self.memory]
+        """Encode the parts that aren't remembered: little-endian unsigned ids, and start and end of each token's characters.
+
+        A part that ends in one mark after a letter is put together from the rest and the mark.
+        """
+        new = parts - self.memory.keys()
         if len(self.memory) + len(new) > MEMORY:
-            self.memory, new = {}, list(parts)
-        for x, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self.memory[x] = (np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, "<i4").tobytes())
+            self.memory, new = {}, parts
+            self.spans = self.spans if self.spans is None else {}
+        ended = {x for x in new if len(x) > 2 and x[-1] in MARKS and x[-2].isalpha() and x[-2] < "\u0250"}
+        todo = list(((new - ended) | {x[:-1] for x in ended} | {x[-1] for x in ended}) - self.memory.keys())
+        for x, e in zip(todo, self.model.encode_batch(todo, add_special_tokens=False)):
+            self.memory[x] = array.array("I", e.ids).tobytes()
+            if self.spans is not None:
+                self.spans[x] = np.array(e.offsets, "<i4").tobytes()
+        for x in ended:
+            self.memory[x] = self.memory[x[:-1]] + self.memory[x[-1]]
+            if self.spans is not None:
+                self.spans[x] = self.spans[x[:-1]] + np.array([len(x) - 1, len(x)], "<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
         """ids and parts of each text."""
         split = [self.parts(t) if t else [] for t in texts]
         self.learn({x for parts in split for x in parts})
         for parts in split:
-            yield np.frombuffer(b"".join([self.memory[x][0] for x in parts]), "<u4"), parts
+            yield np.frombuffer(b"".join([self.memory[x] for x in parts]), np.uint32).astype("<u4", copy=False), parts
 
     def offsets(self, parts: list[str]) -> np.ndarray:
         """(start, end) in characters of the text for each token; the tokens of a split character all cover it."""
-        own = [np.frombuffer(self.memory[x][1], "<i4").reshape(-1, 2) for x in parts]
+        own = [np.frombuffer(self.spans[x], "<i4").reshape(-1, 2) for x in parts]
         starts = np.cumsum([0, *map(len, parts)])
         return np.concatenate([o + s for o, s in zip(own, starts)] or [np.zeros((0, 2), "<i4")])
 
@@ -104,12 +122,12 @@ _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("raw", pa.bin
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _over(df: DataFrame, rank_path: str, pattern: str, rows, schema: pa.Schema, ddl: str) -> DataFrame:
+def _over(df: DataFrame, rank_path: str, pattern: str, rows, schema: pa.Schema, ddl: str, spans: bool = False) -> DataFrame:
     """rows(codec, ids, column) makes the columns of a batch. The ranks (a bounded vocabulary) go out as a broadcast."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = Codec(ranks.value, pattern, spans)
         for b in slices(batches, 256):
             yield record(schema, b.column(0), *rows(codec, b.column(1).to_pylist()))
 
@@ -127,7 +145,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         found = [(ids.astype(np.int32), codec.offsets(parts)) for ids, parts in codec.encode(texts)]
         return [i for i, _ in found], [o[:, 0] for _, o in found], [o[:, 1] for _, o in found]
 
-    return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _IDS, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _IDS, "doc_id long, ids array<int>, starts array<int>, ends array<int>", spans=True)
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
