@@ -81,3 +81,31 @@ def kgram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 def text_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key and the text, under fixed names, so that no other column of the input can clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of the 64-bit hashes `seed`, two bits for each, as 2**(bits - 6) machine words.
+
+    Spark joins the bits; however many seeds there are, no more than those words reach the driver. A full filter lets
+    everything through: more work, never a wrong result.
+    """
+    low = F.lit((1 << bits) - 1)
+    spots = F.array(F.shiftrightunsigned("seed", 64 - bits).bitwiseAND(low), F.shiftrightunsigned("seed", 8).bitwiseAND(low))
+    joined = (
+        seeds.select(F.explode(spots).alias("b"))
+        .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[joined.column("w").to_numpy()] = joined.column("v").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(seeds: np.ndarray, words_of_bits: np.ndarray) -> np.ndarray:
+    """Which seeds the filter may hold."""
+    bits = (len(words_of_bits) << 6).bit_length() - 1
+    hit = np.ones(len(seeds), bool)
+    for spot in (seeds >> np.uint64(64 - bits), (seeds >> np.uint64(8)) & np.uint64((1 << bits) - 1)):
+        hit &= (words_of_bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+    return hit

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kgram_hashes, record, scratch, slices, words
+from .common import arrow_map, in_filter, kgram_hashes, record, scratch, seed_filter, slices, words
 
 WINDOW, GRAM = 20, 6
 #: Words in one automaton; distinct contexts of a seed from which its windows are aggregated by Spark.
 SHARD, HOT = 60_000, 512
-#: Bits of the Bloom filter (16 MB), and bits that each seed sets.
-FILTER_BITS, FILTER_HASHES = 27, 2
+#: Binary logarithm of the bits of the Bloom filter (16 MB).
+FILTER_BITS = 27
 _SEED = pa.schema([("seed", pa.int64())])
 _CONTEXT = pa.schema([("d", pa.int64()), ("xh", pa.int64()), ("at", pa.int32()), ("m", pa.int32()), ("seed", pa.int64()), ("ctx", pa.int64()), ("said", pa.binary())])
 _MASK = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("mask", pa.int64())])
@@ -54,20 +54,6 @@ def contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return start, count, grams[anchor[start]], np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), start) + count.astype(np.uint64)
 
 
-def _bits(seed):
-    """The filter's bits of a seed, as numbers from 0; numpy here, the same in SQL in _filter()."""
-    return [(seed >> np.uint64(64 - FILTER_BITS - 18 * i)) & np.uint64((1 << FILTER_BITS) - 1) for i in range(FILTER_HASHES)]
-
-
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter of `seeds` as 64-bit words. Spark joins bits; at most 2**21 words reach the driver, whatever the input."""
-    bits = F.array(*[F.shiftrightunsigned("seed", 64 - FILTER_BITS - 18 * i).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for i in range(FILTER_HASHES)])
-    joined = seeds.select(F.explode(bits).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[joined.column("w").to_numpy()] = joined.column("v").to_numpy()
-    return out.view(np.uint64)
-
-
 class Automaton:
     """Suffix automaton of token sequences; sequences are parted, no match runs across two of them."""
 
@@ -164,7 +150,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
             yield record(_SEED, pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
 
     twice = arrow_map(docs.select("text"), seeds, "seed long").groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    bloom = docs.sparkSession.sparkContext.broadcast(_filter(twice))
+    bloom = docs.sparkSession.sparkContext.broadcast(seed_filter(twice, FILTER_BITS))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
@@ -173,9 +159,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
             for d, xh, text in zip(*(c.to_pylist() for c in b.columns)):
                 w = words(text)
                 start, count, seed, ctx = contexts(w)
-                hit = np.ones(len(seed), bool)
-                for bit in _bits(seed):
-                    hit &= (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                hit = in_filter(seed, bits)
                 for col, values in zip(rows[2:6], (start, count, seed.view(np.int64), ctx.view(np.int64))):
                     col.extend(values[hit].tolist())
                 rows[0].extend([d] * int(hit.sum()))
