@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """While it lasts, Spark removes an action's shuffle files when the action has ended: its result is stored elsewhere."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there: its lineage ends, lost executors don't matter."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def scratch(df: DataFrame) -> DataFrame:
     """As cut(), but a compressed table: for wide rows, and readers that take few of the columns."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,8 +110,9 @@ def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
         seeds.select(F.explode(spots).alias("b"))
         .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-        .toArrow()
     )
+    with tidy(seeds.sparkSession):
+        joined = joined.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[joined.column("w").to_numpy()] = joined.column("v").to_numpy()
     return out.view(np.uint64)

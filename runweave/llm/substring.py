@@ -8,7 +8,8 @@ it: where the matching statistic reaches 20, a window also starts earlier. The r
 shard's automaton goes to the task that holds the shard's contexts; an automaton never has more than `SHARD` words.
 
 Before that, seeds are counted; those that occur twice fill a Bloom filter of fixed size, which is broadcast so that
-only contexts with a repeated seed are shuffled (a false hit costs work, never a wrong result). Equal contexts fall
+only contexts with a repeated seed are shuffled (a false hit costs work, never a wrong result); a second one holds the
+seeds whose contexts differ, and only those contexts carry their words. Equal contexts fall
 together map-side and stay one row however often they occur. A seed with more than `HOT` distinct contexts is taken
 apart into its windows, which Spark aggregates like any key.
 """
@@ -24,34 +25,91 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_filter, kgram_hashes, record, scratch, seed_filter, slices, words
+from .common import arrow_map, in_filter, record, scratch, seed_filter, slices, words
 
 WINDOW, GRAM = 20, 6
 #: Words in one automaton; distinct contexts of a seed from which its windows are aggregated by Spark.
 SHARD, HOT = 60_000, 512
 #: Binary logarithm of the bits of the Bloom filter (16 MB).
 FILTER_BITS = 27
-_SEED = pa.schema([("seed", pa.int64())])
+_SEED = pa.schema([("seed", pa.int64()), ("ctx", pa.int64())])
 _CONTEXT = pa.schema([("d", pa.int64()), ("xh", pa.int64()), ("at", pa.int32()), ("m", pa.int32()), ("seed", pa.int64()), ("ctx", pa.int64()), ("said", pa.binary())])
 _MASK = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("mask", pa.int64())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of windows, seed and content hash of each context of a document, by position."""
-    none = np.zeros(0, np.int64)
-    if len(tokens) < WINDOW:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
-    t = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
-    grams, wide = kgram_hashes(t, GRAM), WINDOW - GRAM + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, wide)
-    anchor = np.concatenate([view[at : at + 65536].argmin(axis=1) for at in range(0, len(view), 65536)]) + np.arange(len(view))
-    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    count = np.diff(np.r_[start, len(view)])
-    offset = np.arange(len(view)) - np.repeat(start, count)
-    mixed = kgram_hashes(t, WINDOW) * (offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
-    mixed ^= mixed >> np.uint64(31)
-    return start, count, grams[anchor[start]], np.add.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), start) + count.astype(np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Weights of a word's bytes; longer words are hashed one by one.
+_LONG = 4096
+_WEIGHTS = np.cumprod(np.full(_LONG, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _joined(left: np.ndarray, right: np.ndarray, n: int, by: int) -> np.ndarray:
+    """Hashes of sequences that consist of one of `left` and, `by` words on, one of `right` with n words."""
+    m = max(0, len(right) - by)
+    return left[:m] * np.uint64(pow(0xD6E8FEB86659FD93, n, 1 << 64)) + right[by : by + m]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def token_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document, first byte and end of each word of texts that lie one after the other in `raw`."""
+    full = ~_BLANK[raw]
+    before, after = np.r_[False, full[:-1]], np.r_[full[1:], False]
+    inner = bounds[(bounds > 0) & (bounds < len(raw))]
+    before[inner] = False
+    after[inner - 1] = False
+    first, end = np.flatnonzero(full & ~before), np.flatnonzero(full & ~after) + 1
+    size = end - first
+    of = np.searchsorted(bounds, first, side="right") - 1
+    if not len(first):
+        return np.zeros(0, np.uint64), of, first, end
+    at = np.flatnonzero(full)
+    inside = at - np.repeat(first, size)
+    weighed = (raw[at].astype(np.uint64) + np.uint64(1)) * _WEIGHTS[np.minimum(inside, _LONG - 1)]
+    h = np.add.reduceat(weighed, np.cumsum(size) - size)
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = xxhash.xxh64_intdigest(raw[first[i] : end[i]].tobytes())
+    return _mixed(h + size.astype(np.uint64)), of, first, end
+
+
+def contexts(raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """The contexts of texts that lie one after the other in the bytes `raw`, parted at `bounds`.
+
+    doc: number of the text; at: first word; m: windows; seed, ctx: hashes; first, end: bytes of its words.
+    """
+    h1, of, first, end = token_hashes(raw, bounds)
+    h2 = _joined(h1, h1, 1, 1)
+    h4 = _joined(h2, h2, 2, 2)
+    h8 = _joined(h4, h4, 4, 4)
+    h16 = _joined(h8, h8, 8, 8)
+    grams, wide = _mixed(_joined(h4, h2, 2, 4)), WINDOW - GRAM + 1
+    window = _joined(h16, h4, 4, 16)
+    n = len(window)
+    # of the grams in a window, the least by its upper bits, then the first
+    low = (grams & ~np.uint64((1 << 30) - 1)) | np.arange(len(grams), dtype=np.uint64) & np.uint64((1 << 30) - 1)
+    for by in (1, 2, 4):
+        low = np.minimum(low[: len(low) - by], low[by:])
+    low = np.minimum(low[: len(low) - (wide - 8)], low[wide - 8 :])[:n] if n else low[:0]
+    valid = np.flatnonzero(of[:n] == of[WINDOW - 1 : n + WINDOW - 1]) if n else np.zeros(0, int)
+    low = low[valid] & np.uint64((1 << 30) - 1)
+    start = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (of[valid[1:]] != of[valid[:-1]])]) if len(valid) else np.zeros(0, int)
+    m = np.diff(np.r_[start, len(valid)])
+    place = valid[start]
+    offset = np.arange(len(valid)) - np.repeat(start, m)
+    ctx = np.add.reduceat(_mixed(window[valid] + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), start) if len(start) else np.zeros(0, np.uint64)
+    words_before = np.searchsorted(of, np.arange(len(bounds)), side="left")
+    return {"doc": of[place], "at": place - words_before[of[place]], "m": m, "seed": grams[low[start].astype(np.int64)], "ctx": _mixed(ctx + m.astype(np.uint64)), "first": first[place], "end": end[place + m + WINDOW - 2] if len(place) else place}
+
+
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of a string column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw, offsets - offsets[0]
 
 
 class Automaton:
@@ -145,35 +203,33 @@ def _repeats(docs: DataFrame) -> DataFrame:
     """(d, xh, spans): for each document (d, xh, text) with repeated windows, their starts as (at, mask)."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [contexts(words(t))[2] for t in b.column(0).to_pylist()]
-            yield record(_SEED, pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+        for b in slices(batches, 256):
+            c = contexts(*_buffer(b.column(0)))
+            yield record(_SEED, pa.array(c["seed"].view(np.int64)), pa.array(c["ctx"].view(np.int64)))
 
-    twice = arrow_map(docs.select("text"), seeds, "seed long").groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    bloom = docs.sparkSession.sparkContext.broadcast(seed_filter(twice, FILTER_BITS))
+    counted = arrow_map(docs.select("text"), seeds, "seed long, ctx long").groupBy("seed").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("n > 1")
+    twice = scratch(counted.select("seed", (F.col("low") != F.col("high")).alias("differs")))
+    share = docs.sparkSession.sparkContext.broadcast
+    any_seed, telling = share(seed_filter(twice, FILTER_BITS)), share(seed_filter(twice.where("differs"), FILTER_BITS))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
-        for b in slices(batches, 128):
-            rows: list[list] = [[] for _ in range(7)]
-            for d, xh, text in zip(*(c.to_pylist() for c in b.columns)):
-                w = words(text)
-                start, count, seed, ctx = contexts(w)
-                hit = in_filter(seed, bits)
-                for col, values in zip(rows[2:6], (start, count, seed.view(np.int64), ctx.view(np.int64))):
-                    col.extend(values[hit].tolist())
-                rows[0].extend([d] * int(hit.sum()))
-                rows[1].extend([xh] * int(hit.sum()))
-                rows[6].extend(b" ".join(w[s : s + m + WINDOW - 1]) for s, m in zip(start[hit].tolist(), count[hit].tolist()))
-            yield record(_CONTEXT, *rows)
+        for b in slices(batches, 256):
+            raw, bounds = _buffer(b.column(2))
+            c = contexts(raw, bounds)
+            hit = in_filter(c["seed"], any_seed.value)
+            c = {k: v[hit] for k, v in c.items()}
+            ids = [b.column(i).take(pa.array(c["doc"])) for i in (0, 1)]
+            text = raw.tobytes()
+            said = [text[i:j] if t else None for i, j, t in zip(c["first"].tolist(), c["end"].tolist(), in_filter(c["seed"], telling.value).tolist())]
+            yield record(_CONTEXT, *ids, c["at"], c["m"], pa.array(c["seed"].view(np.int64)), pa.array(c["ctx"].view(np.int64)), said)
 
     found = scratch(arrow_map(docs.select("d", "xh", "text"), candidates, "d long, xh long, at int, m int, seed long, ctx long, said binary"))
     distinct = scratch(found.groupBy("seed", "ctx").agg(F.min(F.struct("d", "xh", "at")).alias("first"), F.min("m").alias("m"), F.min("said").alias("said")))
-    many = distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    many = distinct.where("said is not null").groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
     shared = distinct.join(many, "seed")
     cold = shared.where(F.col("n") <= HOT).select("seed", "ctx", "said", "first").repartition("seed").sortWithinPartitions("seed", "first").select("seed", "ctx", "said")
     by_automaton = arrow_map(cold, _match, "seed long, ctx long, mask long")
-    said = F.split(F.col("said").cast("string"), " ")
+    said = F.split(F.col("said").cast("string"), r"[\x20\x09-\x0D]+")
     windows = shared.where(F.col("n") > HOT).select("seed", "ctx", "first", said.alias("w"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
     windows = windows.select("seed", "ctx", "i", F.struct("first.d", "first.xh", (F.col("first.at") + F.col("i")).alias("at")).alias("own"), F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("g"))
     firsts = windows.groupBy("seed", "g").agg(F.min("own").alias("least"))
@@ -182,7 +238,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     own = F.struct("d", "xh", "at") == F.col("first")
     mask = F.when(own, F.coalesce("mask", F.lit(0))).otherwise(F.expr("shiftleft(1L, m) - 1"))
     marked = found.select("d", "xh", "at", "m", "seed", "ctx").join(known, ["seed", "ctx"]).select("d", "xh", "at", mask.alias("mask")).where("mask <> 0")
-    return marked.groupBy("d", "xh").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
+    return scratch(marked.groupBy("d", "xh").agg(F.collect_set(F.struct("at", "mask")).alias("spans")))
 
 
 def _removed(n: int, spans) -> np.ndarray:
