@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, sharding, simhash, substring
+from . import bpe, decontam, langid, pii, quality, sharding, simhash, substring
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe.public_ranks())
 
@@ -39,7 +43,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_benchmark_decontamination, op6_byte_bpe, op7_rendezvous_shards, op8_line_quality, op9_substring_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_benchmark_decontamination, op4_personal_data, op6_byte_bpe, op7_rendezvous_shards, op8_line_quality, op9_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_quality": quality.VERDICTS_SQL}
