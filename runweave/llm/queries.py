@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, pii, quality, sharding, simhash, substring
+from . import bpe, decontam, langid, licenses, pii, quality, sharding, simhash, substring, urltree
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *bpe.public_ranks())
 
@@ -42,8 +46,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_benchmark_decontamination, op4_personal_data, op6_byte_bpe, op7_rendezvous_shards, op8_line_quality, op9_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_language_id,
+        op3_benchmark_decontamination,
+        op4_personal_data,
+        op5_url_templates,
+        op6_byte_bpe,
+        op7_rendezvous_shards,
+        op8_line_quality,
+        op9_substring_dedup,
+        op10_license_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_quality": quality.VERDICTS_SQL}
