@@ -124,9 +124,9 @@ def distance_blocks(spark, d):
 
 def distance_blocks_suppliers(spark, d):
     """Columns are all suppliers (a thousand at sf0.1), rows are orders; totals of each column over all its pairs."""
-    suppliers = _t(spark, d, "supplier").select((F.col("s_suppkey") - 1).cast("int").alias("color"), "s_name")
+    suppliers = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("color"), "s_name")
     n = suppliers.agg(F.max("color")).first()[0] + 1
-    sold = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), (F.col("l_suppkey") - 1).cast("int").alias("color"))
+    sold = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").cast("int").alias("color"))
     lengths = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.count("*").alias("seq_len"))
     sets = matrix.weighted_sets(matrix.row_sets(sold), lengths, 3)
     dists = matrix.distances_blocks(sets, suppliers.withColumnRenamed("s_name", "name"), n)
@@ -362,12 +362,12 @@ select i, j, {_PAIR_SUMS.format(p='c')} from f where i < j group by 1, 2""",
     "distance_identity": _FULL,
     "distance_hybrid": _FULL,
     "distance_blocks": _FULL,
-    "distance_blocks_suppliers": """with inc as (select distinct l_orderkey as r, l_suppkey - 1 as c from lineitem), len as (select l_orderkey as r, greatest(count(*) - 3, 0) + 1 as l from lineitem group by 1),
+    "distance_blocks_suppliers": """with inc as (select distinct l_orderkey as r, l_suppkey as c from lineitem), len as (select l_orderkey as r, greatest(count(*) - 3, 0) + 1 as l from lineitem group by 1),
 rws as (select r, list(c order by c) as colors from inc group by 1), sets as (select colors, count(*) as unitig, sum(l) as kmer, 1 as uniqrow from rws join len using (r) group by 1),
 long as (select colors, 'unitig' as type, unitig as w from sets union all select colors, 'kmer', kmer from sets union all select colors, 'uniqrow', uniqrow from sets),
 e as (select type, unnest(colors) as c, colors, w from long), m as (select type, c, sum(w) as m from e group by 1, 2),
 p as (select type, c, unnest(colors) as o, w from e), co as (select type, c, sum(2 * w) as s from p where o > c group by 1, 2),
-every as (select (s_suppkey - 1)::int as i, s_name as name_i, t.type, coalesce(m, 0) as m from supplier cross join (select unnest(['unitig', 'kmer', 'uniqrow']) as type) t left join m on m.type = t.type and m.c = s_suppkey - 1),
+every as (select s_suppkey::int as i, s_name as name_i, t.type, coalesce(m, 0) as m from supplier cross join (select unnest(['unitig', 'kmer', 'uniqrow']) as type) t left join m on m.type = t.type and m.c = s_suppkey),
 cum as (select i, name_i, every.type, m, sum(m) over (partition by every.type order by i desc) - m as later, count(*) over (partition by every.type order by i desc) - 1 as n from every)
 select i, name_i, cum.type, (n * m + later - coalesce(s, 0))::bigint as dist, n::bigint as n_pairs from cum left join co on co.type = cum.type and co.c = i where n > 0""",
     "distance_xor": f"with {_DIST} select i, j, type, dist from dists",
