@@ -234,7 +234,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
     windows = windows.select("seed", "ctx", "i", F.struct("first.d", "first.xh", (F.col("first.at") + F.col("i")).alias("at")).alias("own"), F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("g"))
     firsts = windows.groupBy("seed", "g").agg(F.min("own").alias("least"))
     by_window = windows.join(firsts, ["seed", "g"]).where("own > least").groupBy("seed", "ctx").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    known = distinct.select("seed", "ctx", "first").join(by_automaton.unionByName(by_window), ["seed", "ctx"], "left")
+    # stored, so that both sides of the next join are plain shuffles, whose large partitions Spark can split
+    known = scratch(distinct.select("seed", "ctx", "first").join(by_automaton.unionByName(by_window), ["seed", "ctx"], "left"))
     own = F.struct("d", "xh", "at") == F.col("first")
     mask = F.when(own, F.coalesce("mask", F.lit(0))).otherwise(F.expr("shiftleft(1L, m) - 1"))
     marked = found.select("d", "xh", "at", "m", "seed", "ctx").join(known, ["seed", "ctx"]).select("d", "xh", "at", mask.alias("mask")).where("mask <> 0")
