@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, lower_words, record, slices, text_columns
+from .common import arrow_map, cut, lower_words, record, scratch, slices, text_columns
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -72,29 +72,37 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Bits set where the lanes of two stacks of planes differ in at most `radius` planes (radius 0 to 3).
+    """Bits set where the lanes of two stacks of planes differ in at most `radius` planes (radius 0 to 31).
 
-    Two carry-save counters hold each lane's distance up to three; a third plane holds overflow. Every eight planes the
-    words in which no lane is left are dropped from the work.
+    Carry-save counters hold each lane's distance in binary; a further plane holds overflow. Every eight planes the words
+    in which no lane is left within the radius are dropped from the work.
     """
     shape = np.broadcast_shapes(left.shape[1:], right.shape[1:])
     over = np.zeros(int(np.prod(shape)), np.uint64)
     live = np.arange(len(over))
-    ones, twos, past = (np.zeros(len(over), np.uint64) for _ in range(3))
+    counters = [np.zeros(len(over), np.uint64) for _ in range(max(1, int(radius).bit_length()))]
+    past = np.zeros(len(over), np.uint64)
     full = ~np.uint64(0)
     for at in range(0, 64, 8):
         for p in range(at, at + 8):
-            x = np.bitwise_xor(left[p], right[p]).ravel()
-            x = x if len(live) == len(over) else x[live]
-            carry = ones & x
-            ones ^= x
-            past |= twos & carry
-            twos ^= carry
-        far = past | {0: ones | twos, 1: twos, 2: ones & twos, 3: np.uint64(0)}[radius]
+            carry = np.bitwise_xor(left[p], right[p]).ravel()
+            carry = carry if len(live) == len(over) else carry[live]
+            for c in counters:
+                c ^= carry
+                carry &= ~c
+            past |= carry
+        # counters above the radius: compare with its bits from the highest down
+        far, equal = past.copy(), np.full(len(live), full)
+        for i in reversed(range(len(counters))):
+            if radius >> i & 1:
+                equal &= counters[i]
+            else:
+                far |= equal & counters[i]
+                equal &= ~counters[i]
         keep = far != full
         if not keep.all():
             over[live[~keep]] = full
-            live, ones, twos, past, far = live[keep], ones[keep], twos[keep], past[keep], far[keep]
+            live, counters, past, far = live[keep], [c[keep] for c in counters], past[keep], far[keep]
         if not len(live):
             break
     over[live] = far if len(live) else over[live]
@@ -186,6 +194,15 @@ def _then_none(items):
     yield None
 
 
+def _dealt(keyed: DataFrame, by: str, bucket: int) -> DataFrame:
+    """Rows (key, n, ...) with their bucket. Keys of more than `bucket` rows become chunks, and each pair of chunks a bucket."""
+    grid = F.when(F.col("c") <= 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda j: F.least("mine", j) * F.col("c") + F.greatest("mine", j))
+    )
+    cells = keyed.withColumn("c", F.ceil(F.col("n") / bucket)).withColumn("mine", F.pmod(F.xxhash64(by, F.lit(7)), "c")).withColumn("cell", F.explode(grid))
+    return cells.withColumn("bucket", F.when(F.col("c") <= 1, F.col("key")).otherwise(F.xxhash64("key", "cell")))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): pairs of distinct fingerprints within the radius that connect all that is connected.
 
@@ -194,16 +211,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     """
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(MASKS)])).alias("x")).select("fp", F.xxhash64("x.t", "x.k").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    grid = F.when(F.col("c") <= 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda j: F.least("mine", j) * F.col("c") + F.greatest("mine", j))
-    )
-    dealt = (
-        keys.join(shared, "key")
-        .withColumn("c", F.ceil(F.col("n") / bucket))
-        .withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), "c"))
-        .select("fp", "key", "c", F.explode(grid).alias("cell"))
-        .select(F.when(F.col("c") <= 1, F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("bucket"), "fp")
-    )
+    dealt = _dealt(keys.join(shared, "key"), "fp", bucket).select("bucket", "fp")
     sorted_runs = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
     return arrow_map(sorted_runs, _link_runs(radius), "a long, b long").distinct()
 
@@ -227,14 +235,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of `docs` for each component: the one whose doc_id is the component's smallest.
+# --- near copies that differ in more than a few bits ----------------------------------------------------------------
+# Texts that share 0.8 of their five-word shingles differ in 5 to 17 of 64 bits, too many for block keys. Their buckets
+# come from bands of a sketch; inside a bucket the same bit-sliced counters pick pairs within WIDE bits, and the sketches
+# of those pairs decide.
+
+#: Shingle and similarity of near copies; bins of a sketch, bins in a band, and bands.
+NEAR_SHINGLE, SIMILARITY, BINS, ROWS, BANDS = 5, 0.8, 256, 5, 20
+#: Differing bits up to which pairs are compared by sketch; sketches may fall short of the similarity by chance.
+WIDE, SLACK = 20, 0.02
+#: Texts of a bucket that one task compares.
+NEAR_BUCKET = 2048
+_MARK = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
+
 
-    Five-word shingles by default. Of repeated rows with that doc_id one stays; all columns are kept. Rows with a null
-    doc_id can't be told apart by key and stay.
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Hash of each shingle of a text, repeats included; of all its words if they are fewer; none without a word."""
+    w = lower_words(text)
+    if not w:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else iter([b" ".join(w)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, max(1, len(w) - shingle + 1))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte of the least hash in each of BINS ranges; an empty range takes that of the next one, turned by its distance."""
+    if not len(hashes):
+        return bytes(BINS)
+    h = np.unique(hashes)
+    bin_of = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bin_of[1:] != bin_of[:-1]])
+    full, least = bin_of[first], h[first]
+    nxt = np.searchsorted(full, np.arange(BINS))
+    away = np.where(nxt < len(full), full[nxt % len(full)] - np.arange(BINS), full[0] + BINS - np.arange(BINS)).astype(np.uint64)
+    v = (least[nxt % len(full)] + away * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return (v >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def near_pairs(fps: np.ndarray, sketches: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Spanning forest, as pairs of row numbers, of the rows of one bucket that are near copies of each other."""
+    n, forest, own = len(fps), _Forest(len(fps)), planes(fps)
+    least = (similarity - SLACK) * BINS
+    for q in range(0, n, 256):
+        some = fps[q : q + 256]
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T
+        every = np.where(bits, ~np.uint64(0), np.uint64(0))[:, :, None]
+        for i, mask in enumerate(within(every, own[:, None, q // 64 :], WIDE)):
+            j = lanes(mask, n - q // 64 * 64) + q // 64 * 64
+            j = j[j > q + i]
+            while len(j):
+                root = forest.find(q + i)
+                j = np.array([x for x in j.tolist() if forest.find(x) != root], int)
+                if not len(j):
+                    break
+                # all of one tree at most, so a few rows at a time: most fall away once the tree is joined
+                now, j = j[:64], j[64:]
+                for x in now[(sketches[now] == sketches[q + i]).sum(axis=1) >= least]:
+                    forest.join(q + i, int(x))
+    return forest.links
+
+
+def _near_runs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, node, fp, sketch) sorted by bucket."""
+        kept = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, BINS), np.uint8)]
+        for b in _then_none(batches):
+            if b is not None:
+                new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                new.append(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, BINS))
+                kept = [np.concatenate([k, x]) for k, x in zip(kept, new)]
+                end = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            else:
+                end = len(kept[0])
+            starts = np.flatnonzero(np.r_[True, kept[0][1:end] != kept[0][: end - 1]]) if end else np.zeros(0, int)
+            out: list[tuple[int, int]] = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), end]):
+                if e - s == 2:  # most buckets: no planes needed for one pair
+                    close = int(kept[2][s] ^ kept[2][s + 1]) & ((1 << 64) - 1)
+                    if close.bit_count() <= WIDE and (kept[3][s] == kept[3][s + 1]).sum() >= (similarity - SLACK) * BINS:
+                        out.append((int(kept[1][s]), int(kept[1][s + 1])))
+                elif e - s > 2:
+                    out += [(int(kept[1][s + i]), int(kept[1][s + j])) for i, j in near_pairs(kept[2][s:e].view(np.uint64), kept[3][s:e], similarity)]
+            yield record(_EDGE, [x for x, _ in out], [y for _, y in out])
+            kept = [k[end:] for k in kept]
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): a row for each row of `docs` with a doc_id; linked texts share `similarity` of their shingles.
+
+    The similarity of sets of shingles is estimated from sketches, with a standard error of 0.025 at 0.8. Equal sets fall
+    together before anything is compared, so copies cost nothing more. component_id is the smallest doc_id that links
+    reach. Texts without a word are copies of each other. Rows with a null doc_id are left out. Repeated rows keep a row
+    each; other columns are ignored; empty tables give no rows.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for text in b.column(1).to_pylist():
+                h = shingle_hashes(text, shingle)
+                counts = sum(np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(h), 1 << 16))
+                fp = int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big") if len(h) else 0
+                once = np.unique(h)
+                whole = int(((once ^ (once >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) if len(h) else 0
+                rows.append((signed(fp), signed(whole), sketch(h)))
+            yield record(_MARK, b.column(0), *([r[i] for r in rows] for i in range(3)))
+
+    marked = scratch(arrow_map(text_columns(docs, id_col, text_col).where("doc_id is not null"), mark, "doc_id long, fp long, whole long, sketch binary"))
+    kinds = scratch(marked.groupBy("fp", "whole").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")))
+    band = lambda b: F.xxhash64(b, F.substring("sketch", b * ROWS + 1, F.lit(ROWS)))
+    keys = kinds.select("node", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
+    shared = scratch(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    dealt = _dealt(keys.join(shared, "key"), "node", NEAR_BUCKET).join(kinds.select("node", "sketch").dropDuplicates(["node"]), "node")
+    runs = dealt.select("bucket", "node", "fp", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+    roots = components(arrow_map(runs, _near_runs(similarity), "a long, b long").distinct())
+    firsts = kinds.join(roots, "node", "left").select("fp", "whole", F.coalesce("root", "node").alias("component_id"))
+    return marked.select("doc_id", "fp", "whole").join(firsts, ["fp", "whole"]).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of `docs` for each component of near copies: the one whose doc_id is the component's smallest.
+
+    Of repeated rows with that doc_id one stays; all columns are kept. Rows with a null doc_id can't be told apart by key
+    and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = scratch(near_copies(docs, id_col, text_col, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
     kept = docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
-    nulls = kept.where(F.col(id_col).isNull())
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nulls)
+    more = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("more_id")).agg(F.count("*").alias("n")).where("n > 1").select("more_id")
+    again = kept.join(more, kept[id_col] == F.col("more_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(more, kept[id_col] == F.col("more_id"), "left_anti").unionByName(again)
