@@ -120,7 +120,7 @@ def order(spark: SparkSession, path: str) -> DataFrame:
 def tour(spark: SparkSession, path: str) -> DataFrame:
     """(path, dim, tour): dimension and node numbers of a tour file."""
     t = F.transform(F.split(N.stripped(F.col("value")), r"\s+"), lambda x: x.cast("int"))
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), t.alias("t")).select("path", F.col("t")[0].alias("dim"), F.slice("t", 2, F.size("t")).alias("tour"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), t.alias("t")).select("path", F.col("t")[0].alias("dim"), F.filter("t", lambda x, i: i > 0).alias("tour"))
 
 
 def instance_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +131,7 @@ def instance_keys(spark: SparkSession, path: str) -> DataFrame:
 
 def newick(spark: SparkSession, path: str) -> DataFrame:
     """(path, tree) of tree files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("tree"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("tree"))
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
