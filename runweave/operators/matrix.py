@@ -131,7 +131,7 @@ def distances_xor(sets: DataFrame, colors: DataFrame) -> DataFrame:
     a, b = colors.select(F.col("color").alias("i")), colors.select(F.col("color").alias("j"))
     pairs = a.join(b, F.col("i") < F.col("j"))
     apart = F.array_contains("colors", F.col("i")) != F.array_contains("colors", F.col("j"))
-    sums = sets.withColumn("one", F.lit(1)).join(F.broadcast(pairs)).groupBy("i", "j").agg(*[F.sum(F.when(apart, F.col(w)).otherwise(0)).cast("long").alias(t) for w, t in zip(("w_unitig", "w_kmer", "one"), TYPES)])
+    sums = sets.withColumn("one", F.lit(1)).crossJoin(pairs).groupBy("i", "j").agg(*[F.sum(F.when(apart, F.col(w)).otherwise(0)).cast("long").alias(t) for w, t in zip(("w_unitig", "w_kmer", "one"), TYPES)])
     return sums.unpivot(["i", "j"], list(TYPES), "type", "dist")
 
 

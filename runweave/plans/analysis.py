@@ -23,6 +23,11 @@ def scored_orders(incidence: DataFrame, lengths: DataFrame, colors: DataFrame, c
     incidence: (row_id, color); lengths: (row_id, seq_len); colors: (color, name), color from 0.
     """
     n = colors.count()
+    if n < 2:  # a single column has one order, whatever the method
+        rows = matrix.row_counts(matrix.weighted_sets(matrix.row_sets(incidence), lengths, k)).where(F.col("type").isin(config.on_matrices))
+        methods = F.explode(F.array(*map(F.lit, config.on_methods))).alias("method")
+        zero = F.lit(0).cast("long")
+        return rows.select(methods, "type", zero.alias("n_bit_changes"), F.col("num_rows").alias("n_runs"), zero.alias("n_cylinder_runs"))
     sets = matrix.weighted_sets(matrix.row_sets(incidence), lengths, k)
     dists = matrix.distances_hybrid(sets, colors, n).where(F.col("type").isin(config.on_matrices)).cache()
     rows = matrix.row_counts(sets)

@@ -122,14 +122,13 @@ def distance_blocks(spark, d):
     return matrix.distances_blocks(_sets(spark, d), _colors(spark, d), COLUMNS)
 
 
-def distance_blocks_suppliers(spark, d):
+def distance_suppliers(spark, d):
     """Columns are all suppliers (a thousand at sf0.1), rows are orders; totals of each column over all its pairs."""
     suppliers = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("color"), "s_name")
-    n = suppliers.agg(F.max("color")).first()[0] + 1
     sold = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").cast("int").alias("color"))
     lengths = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.count("*").alias("seq_len"))
     sets = matrix.weighted_sets(matrix.row_sets(sold), lengths, 3)
-    dists = matrix.distances_blocks(sets, suppliers.withColumnRenamed("s_name", "name"), n)
+    dists = matrix.distances_identity(sets, suppliers.withColumnRenamed("s_name", "name"))
     return dists.groupBy("i", "name_i", "type").agg(F.sum("dist").alias("dist"), F.count("*").alias("n_pairs"))
 
 
@@ -298,7 +297,7 @@ def minhash_distance(spark, d):
 _ALL = (
     canonical_names, manifest_clean, manifest_sizes, sample_sizes, seeded_selection, random_order, color_sets, color_sets_sparse,
     color_set_weights, matrix_row_counts, marginals, cooccurrence, differences, row_mode_histogram, distance_identity,
-    distance_hybrid, distance_blocks, distance_blocks_suppliers, distance_xor, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
+    distance_hybrid, distance_blocks, distance_suppliers, distance_xor, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
     tsp_scale, tsp_matrix_rows, tour_decode, newick_leaf_order, order_runs, row_flip_count, order_validation, best_path_small,
     worst_path_small, heuristic_order, worst_order, nj_order, upgma_order, scored_orders, runs_aggregate, timing_summary,
     timing_dedupe, timing_fields, fasta_kmer_counts, config_product, text_color_sets, minhash_distance,
@@ -362,7 +361,7 @@ select i, j, {_PAIR_SUMS.format(p='c')} from f where i < j group by 1, 2""",
     "distance_identity": _FULL,
     "distance_hybrid": _FULL,
     "distance_blocks": _FULL,
-    "distance_blocks_suppliers": """with inc as (select distinct l_orderkey as r, l_suppkey as c from lineitem), len as (select l_orderkey as r, greatest(count(*) - 3, 0) + 1 as l from lineitem group by 1),
+    "distance_suppliers": """with inc as (select distinct l_orderkey as r, l_suppkey as c from lineitem), len as (select l_orderkey as r, greatest(count(*) - 3, 0) + 1 as l from lineitem group by 1),
 rws as (select r, list(c order by c) as colors from inc group by 1), sets as (select colors, count(*) as unitig, sum(l) as kmer, 1 as uniqrow from rws join len using (r) group by 1),
 long as (select colors, 'unitig' as type, unitig as w from sets union all select colors, 'kmer', kmer from sets union all select colors, 'uniqrow', uniqrow from sets),
 e as (select type, unnest(colors) as c, colors, w from long), m as (select type, c, sum(w) as m from e group by 1, 2),

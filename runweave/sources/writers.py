@@ -53,3 +53,14 @@ def vertical(stats: DataFrame, key: str) -> DataFrame:
     """(key, column, value): one row for each statistic, all as text, NA where missing."""
     cols = [c for c in stats.columns if c != key]
     return stats.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in cols]).unpivot([key], cols, "column", "value")
+
+
+def color_set_lines(sets: DataFrame) -> DataFrame:
+    """(value): lines of a color-set dump, in the order of ids."""
+    body = F.array_join(F.transform("colors", lambda c: c.cast("string")), " ")
+    return sets.orderBy("color_set_id").select(F.concat_ws(" ", F.concat(F.lit("color_set_id="), "color_set_id"), F.concat(F.lit("size="), F.size("colors").cast("string")), body).alias("value"))
+
+
+def metadata_lines(n_unitigs: int, n_kmers: int, n_color_sets: int) -> list[str]:
+    """Lines of a dump's metadata."""
+    return [f"num_unitigs={n_unitigs}", f"num_kmers={n_kmers}", f"num_color_sets={n_color_sets}"]

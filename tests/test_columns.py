@@ -187,6 +187,20 @@ def test_runs_are_flips(spark, sf):
     assert all(by["best", t] <= by[m, t] <= by["worst", t] for t in matrix.TYPES for m in C.METHODS)
 
 
+def test_single_column(spark):
+    from runweave.plans.analysis import scored_orders
+
+    inc, lens = spark.createDataFrame([(1, 0), (2, 0)], "row_id long, color int"), spark.createDataFrame([(1, 40), (2, 3)], "row_id long, seq_len long")
+    got = scored_orders(inc, lens, spark.createDataFrame([(0, "a")], "color int, name string"), C.Config(), 31).collect()
+    assert {(r.type, r.n_bit_changes, r.n_runs, r.n_cylinder_runs) for r in got} == {("unitig", 0, 2, 0), ("kmer", 0, 11, 0), ("uniqrow", 0, 1, 0)} and len(got) == 12
+
+
+def test_dump_round_trip(spark, tmp_path):
+    sets = spark.createDataFrame([(1, [0, 2]), (0, [1]), (2, [])], "color_set_id long, colors array<int>")
+    writers.color_set_lines(sets).coalesce(1).write.text(str(tmp_path / "x"))
+    assert {tuple(map(str, r)) for r in readers.color_sets(spark, str(tmp_path / "x"), 3).collect()} == {tuple(map(str, r)) for r in sets.collect()}
+
+
 def test_missing_distance_is_an_error(spark):
     one = spark.createDataFrame([("o", 0, "a"), ("o", 1, "b")], "key string, pos int, name string")
     none = spark.createDataFrame([], "name_i string, name_j string, type string, dist long")
