@@ -45,9 +45,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one rank file and pattern; made once in each task. spans: whether offsets are wanted."""
+    """Encoder and decoder of one rank file and pattern; made once in each task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, spans: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         shown = byte_characters()
@@ -58,7 +58,9 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(shown)}
         self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in self.model.get_vocab().items()}
         self.memory: dict[str, bytes] = {}
-        self.spans: dict[str, bytes] | None = {} if spans else None
+        self.sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.sizes[i] = len(b)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -76,37 +78,36 @@ class Codec:
         return joined
 
     def learn(self, parts: set[str]) -> None:
-        """Encode the parts that aren't remembered: little-endian unsigned ids, and start and end of each token's characters.
+        """Encode the parts that aren't remembered to little-endian unsigned ids.
 
         A part that ends in one mark after a letter is put together from the rest and the mark.
         """
         new = parts - self.memory.keys()
         if len(self.memory) + len(new) > MEMORY:
             self.memory, new = {}, parts
-            self.spans = self.spans if self.spans is None else {}
         ended = {x for x in new if len(x) > 2 and x[-1] in MARKS and x[-2].isalpha() and x[-2] < "\u0250"}
         todo = list(((new - ended) | {x[:-1] for x in ended} | {x[-1] for x in ended}) - self.memory.keys())
         for x, e in zip(todo, self.model.encode_batch(todo, add_special_tokens=False)):
             self.memory[x] = array.array("I", e.ids).tobytes()
-            if self.spans is not None:
-                self.spans[x] = np.array(e.offsets, "<i4").tobytes()
         for x in ended:
             self.memory[x] = self.memory[x[:-1]] + self.memory[x[-1]]
-            if self.spans is not None:
-                self.spans[x] = self.spans[x[:-1]] + np.array([len(x) - 1, len(x)], "<i4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-        """ids and parts of each text."""
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         split = [self.parts(t) if t else [] for t in texts]
         self.learn({x for parts in split for x in parts})
         for parts in split:
-            yield np.frombuffer(b"".join([self.memory[x] for x in parts]), np.uint32).astype("<u4", copy=False), parts
+            yield np.frombuffer(b"".join([self.memory[x] for x in parts]), np.uint32).astype("<u4", copy=False)
 
-    def offsets(self, parts: list[str]) -> np.ndarray:
-        """(start, end) in characters of the text for each token; the tokens of a split character all cover it."""
-        own = [np.frombuffer(self.spans[x], "<i4").reshape(-1, 2) for x in parts]
-        starts = np.cumsum([0, *map(len, parts)])
-        return np.concatenate([o + s for o, s in zip(own, starts)] or [np.zeros((0, 2), "<i4")])
+    def offsets(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character and end of each token of a text; the tokens of a split character all cover it.
+
+        Token lengths give bytes; counting the bytes that begin a character maps them to characters.
+        """
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        character = np.cumsum((raw & 0xC0) != 0x80) - 1
+        end = np.cumsum(self.sizes[ids.astype(np.int64)])
+        return character[end - self.sizes[ids.astype(np.int64)]].astype(np.int32), (character[end - 1] + 1).astype(np.int32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; an id that the vocabulary lacks raises KeyError."""
@@ -122,12 +123,12 @@ _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("raw", pa.bin
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _over(df: DataFrame, rank_path: str, pattern: str, rows, schema: pa.Schema, ddl: str, spans: bool = False) -> DataFrame:
+def _over(df: DataFrame, rank_path: str, pattern: str, rows, schema: pa.Schema, ddl: str) -> DataFrame:
     """rows(codec, ids, column) makes the columns of a batch. The ranks (a bounded vocabulary) go out as a broadcast."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern, spans)
+        codec = Codec(ranks.value, pattern)
         for b in slices(batches, 256):
             yield record(schema, b.column(0), *rows(codec, b.column(1).to_pylist()))
 
@@ -142,10 +143,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """
 
     def rows(codec: Codec, texts: list[str | None]):
-        found = [(ids.astype(np.int32), codec.offsets(parts)) for ids, parts in codec.encode(texts)]
-        return [i for i, _ in found], [o[:, 0] for _, o in found], [o[:, 1] for _, o in found]
+        found = [(ids.astype(np.int32), *codec.offsets(t, ids)) for t, ids in zip(texts, codec.encode(texts))]
+        return [[x[i] for x in found] for i in range(3)]
 
-    return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _IDS, "doc_id long, ids array<int>, starts array<int>, ends array<int>", spans=True)
+    return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _IDS, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -166,7 +167,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def rows(codec: Codec, texts: list[str | None]):
-        found = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest()) for ids, _ in codec.encode(texts)]
+        found = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest()) for ids in codec.encode(texts)]
         return [list(x) for x in zip(*found)] if found else [[], [], []]
 
     return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
