@@ -322,5 +322,5 @@ def test_licenses(spark, awkward, empty):
     got = licenses.licenses(spark.createDataFrame([(i, t, "l") for i, t in rows], "doc_id long, text string, license string")).collect()
     assert sorted((str(r.doc_id), r.license) for r in got) == [("1", "MIT-line"), ("2", "CC-BY-NC"), ("6", "MIT"), ("None", "MIT-line")]
     by = {r.doc_id: r for r in got}
-    assert by[1].differences == "" and by[1].at == 12 and by[2].differences == "4>3" and by[6].differences == "person>human" and by[6].at == 40000
+    assert by[1].differences == "" and by[1].at == 12 and by[2].differences == "4>3" and by[6].differences == "person>human; persons>humans" and by[6].at == 40000
     assert licenses.licenses(empty).count() == 0 and licenses.licenses(awkward).count() == 0

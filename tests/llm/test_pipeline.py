@@ -15,7 +15,7 @@ def test_stages(spark, tmp_path):
     docs = dict(clean) | {
         100: clean[3],
         101: clean[4].replace(clean[4].split()[5], "changed", 1),
-        102: text(0) + "\n" + item.upper() + ".",
+        102: text(0) + "\n" + item.title() + ".",
         103: text(0) + "\nWrite to jane.doe@example.com or 10.1.2.3 now.",
         104: "a | b | c\n" * 40,
         105: None,
