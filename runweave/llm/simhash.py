@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, lower_words, record, scratch, slices, text_columns
+from .common import arrow_map, cut, in_filter, lower_words, record, scratch, seed_filter, slices, text_columns
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -237,16 +237,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- near copies that differ in more than a few bits ----------------------------------------------------------------
 # Texts that share 0.8 of their five-word shingles differ in 5 to 17 of 64 bits, too many for block keys. Their buckets
-# come from bands of a sketch; inside a bucket the same bit-sliced counters pick pairs within WIDE bits, and the sketches
-# of those pairs decide.
+# come from bands of a sketch; inside a bucket the same bit-sliced counters pick pairs within WIDE bits whose sketches are
+# not far apart. These are candidates only: whether a pair links is decided by the shingles that the two texts share.
 
 #: Shingle and similarity of near copies; bins of a sketch, bins in a band, and bands.
 NEAR_SHINGLE, SIMILARITY, BINS, ROWS, BANDS = 5, 0.8, 256, 5, 20
-#: Differing bits up to which pairs are compared by sketch; sketches may fall short of the similarity by chance.
-WIDE, SLACK = 20, 0.02
-#: Texts of a bucket that one task compares.
-NEAR_BUCKET = 2048
-_MARK = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
+#: Differing bits up to which pairs are compared by sketch. Sketches of candidates may fall short of the similarity by
+#: SLACK: those of short texts fill few bins and stray far.
+WIDE, SLACK = 20, 0.3
+#: Texts of a bucket that one task compares, by sketch and by their shingles; bits of the filter of candidates.
+NEAR_BUCKET, EXACT_BUCKET, FILTER_BITS = 2048, 512, 24
+_MARK = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("fp", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
+_SET = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("hashes", pa.binary())])
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -273,7 +275,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def near_pairs(fps: np.ndarray, sketches: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Spanning forest, as pairs of row numbers, of the rows of one bucket that are near copies of each other."""
+    """Spanning forest, as pairs of row numbers, of the rows of one bucket that may be near copies of each other."""
     n, forest, own = len(fps), _Forest(len(fps)), planes(fps)
     least = (similarity - SLACK) * BINS
     for q in range(0, n, 256):
@@ -322,14 +324,79 @@ def _near_runs(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """(doc_id, component_id): a row for each row of `docs` with a doc_id; linked texts share `similarity` of their shingles.
+def enough(shared, x, y, similarity: float):
+    """Whether sets of x and y members that share so many reach the similarity: shared over united."""
+    return shared >= similarity * (x + y - shared) - 1e-9
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sets, as sorted arrays of distinct hashes, reach the similarity."""
+    if not enough(min(len(x), len(y)), len(x), len(y), similarity):
+        return False
+    return bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity))
+
+
+def exact_links(trees: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of row numbers that join trees: rows of different trees whose sets reach the similarity.
+
+    A row's shared counts with all others come from the sorted list of everyone's hashes.
+    """
+    forest, n = _Forest(len(sets)), len(sets)
+    _, first, of = np.unique(trees, return_index=True, return_inverse=True)
+    for i in range(n):
+        forest.join(int(first[of[i]]), i)
+    before = len(forest.links)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(n), sizes)[order]
+    for i in range(n):
+        shared = np.zeros(n, np.int64)
+        for part in range(0, len(sets[i]), 4096):
+            low, high = (np.searchsorted(every, sets[i][part : part + 4096], side) for side in ("left", "right"))
+            runs = high - low
+            spots = np.repeat(low - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(runs.sum())
+            shared += np.bincount(owner[spots], minlength=n)
+        close = np.flatnonzero(enough(shared, sizes, sizes[i], similarity) & (shared > 0))
+        for j in close[close > i].tolist():
+            forest.join(i, j)
+    return forest.links[before:]
+
+
+def _confirmed(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, b, hashes of a, hashes of b): the pairs that reach the similarity."""
+        for b in slices(batches):
+            sets = zip(*(b.column(i).to_pylist() for i in (2, 3)))
+            yield record(_EDGE, *b.filter(pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in sets], pa.bool_())).columns[:2])
+
+    return run
+
+
+def _exact_runs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, tree, hashes) sorted by bucket: links of trees."""
+        bucket, trees, sets = None, [], []
+        for b in _then_none(batches):
+            for key, tree, hashes in zip(*(c.to_pylist() for c in b.columns)) if b is not None else [(None, None, b"")]:
+                if key != bucket or b is None:
+                    links = exact_links(np.array(trees, np.int64), sets, similarity) if len(set(trees)) > 1 else []
+                    if links:
+                        yield record(_EDGE, [trees[i] for i, _ in links], [trees[j] for _, j in links])
+                    bucket, trees, sets = key, [], []
+                trees.append(tree)
+                sets.append(np.frombuffer(hashes, np.uint64))
+
+    return run
 
-    The similarity of sets of shingles is estimated from sketches, with a standard error of 0.025 at 0.8. Equal sets fall
-    together before anything is compared, so copies cost nothing more. component_id is the smallest doc_id that links
-    reach. Texts without a word are copies of each other. Rows with a null doc_id are left out. Repeated rows keep a row
-    each; other columns are ignored; empty tables give no rows.
+
+def _near_kinds(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, xh, node) of each row with a doc_id, xh a hash of its text, and (node, rep, root) of each set of shingles.
+
+    rep: the least (doc_id, xh) of the set's rows. Texts whose sketches are near form loose groups, whose pairs are
+    counted exactly: first those that tied the group together, then all pairs between the trees that these leave.
     """
+    some = text_columns(docs, id_col, text_col).where("doc_id is not null").withColumn("xh", F.xxhash64("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -341,18 +408,49 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 once = np.unique(h)
                 whole = int(((once ^ (once >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) if len(h) else 0
                 rows.append((signed(fp), signed(whole), sketch(h)))
-            yield record(_MARK, b.column(0), *([r[i] for r in rows] for i in range(3)))
+            yield record(_MARK, b.column(0), b.column(2), *([r[i] for r in rows] for i in range(3)))
 
-    marked = scratch(arrow_map(text_columns(docs, id_col, text_col).where("doc_id is not null"), mark, "doc_id long, fp long, whole long, sketch binary"))
-    kinds = scratch(marked.groupBy("fp", "whole").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("sketch")))
+    marked = scratch(arrow_map(some, mark, "doc_id long, xh long, fp long, whole long, sketch binary").withColumn("node", F.xxhash64("fp", "whole")))
+    kinds = scratch(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "xh")).alias("rep"), F.min("sketch").alias("sketch")))
     band = lambda b: F.xxhash64(b, F.substring("sketch", b * ROWS + 1, F.lit(ROWS)))
     keys = kinds.select("node", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
     shared = scratch(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    dealt = _dealt(keys.join(shared, "key"), "node", NEAR_BUCKET).join(kinds.select("node", "sketch").dropDuplicates(["node"]), "node")
+    dealt = _dealt(keys.join(shared, "key"), "node", NEAR_BUCKET).join(kinds.select("node", "sketch"), "node")
     runs = dealt.select("bucket", "node", "fp", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
-    roots = components(arrow_map(runs, _near_runs(similarity), "a long, b long").distinct())
-    firsts = kinds.join(roots, "node", "left").select("fp", "whole", F.coalesce("root", "node").alias("component_id"))
-    return marked.select("doc_id", "fp", "whole").join(firsts, ["fp", "whole"]).select("doc_id", "component_id")
+    maybe = scratch(arrow_map(runs, _near_runs(similarity), "a long, b long").distinct())
+    loose = components(maybe).withColumnRenamed("root", "key")
+    chosen = scratch(loose.join(kinds, "node").select("node", "key", F.col("rep.doc_id").alias("d"), F.col("rep.xh").alias("x")))
+    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(chosen.select(F.col("x").alias("seed")), FILTER_BITS))
+
+    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            b = b.filter(pa.array(in_filter(b.column(2).to_numpy(zero_copy_only=False).view(np.uint64), bits.value)))
+            yield record(_SET, b.column(0), b.column(2), [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(1).to_pylist()])
+
+    found = arrow_map(some, set_rows, "doc_id long, xh long, hashes binary")
+    sets = scratch(found.join(chosen, (F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x"))).select("node", "key", "hashes").dropDuplicates(["node"]))
+    of = lambda node, hashes: sets.select(F.col("node").alias(node), F.col("hashes").alias(hashes))
+    sure = arrow_map(maybe.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y"), _confirmed(similarity), "a long, b long")
+    trees = scratch(sets.select("node", "key").join(components(sure), "node", "left").select("node", "key", F.coalesce("root", "node").alias("tree")))
+    parted = trees.groupBy("key").agg(F.count("*").alias("n"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("key", "n")
+    cells = _dealt(trees.join(parted, "key"), "node", EXACT_BUCKET).select("bucket", "tree", "node").join(sets.select("node", "hashes"), "node")
+    more = arrow_map(cells.select("bucket", "tree", "hashes").repartition("bucket").sortWithinPartitions("bucket"), _exact_runs(similarity), "a long, b long")
+    joined = components(more.distinct()).select(F.col("node").alias("tree"), F.col("root").alias("over"))
+    roots = trees.join(joined, "tree", "left").select("node", F.coalesce("over", "tree").alias("root"))
+    return marked.select("doc_id", "xh", "node"), kinds.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): a row for each row of `docs` with a doc_id; linked texts share `similarity` of their shingles.
+
+    Sketches only find candidates; each link is confirmed by the exact counts of shared and united shingles. Equal sets
+    fall together before anything is compared, so copies cost nothing more. component_id is the smallest doc_id that
+    links reach. Texts without a word are copies of each other. Rows with a null doc_id are left out. Repeated rows keep
+    a row each; other columns are ignored; empty tables give no rows.
+    """
+    marked, kinds = _near_kinds(docs, id_col, text_col, similarity, shingle)
+    lowest = kinds.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
+    return marked.join(kinds.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -112,6 +112,34 @@ def test_near_copies(spark, awkward, empty):
     assert sum(i is None for i, _ in kept) == 2 and sum(i == 4 for i, _ in kept) == 1 and not any(i == 5 for i, _ in kept)
     assert simhash.keep_first(empty).count() == 0 and simhash.keep_first(awkward).columns == awkward.columns
 
+def test_near_copies_are_counted(spark):
+    """Short texts, whose sketches stray: exactly the pairs that share 0.8 of their shingles link."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        text = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([54, 64, 104]))]
+        rows.append((10 * i, " ".join(text)))
+        for j in range(1, 4):  # of n shingles a new beginning of 2 * j words leaves n - 2 * j
+            rows.append((10 * i + j, " ".join([f"n{i}x{j}x{k}" for k in range(j * 2)] + text[j * 2 :])))
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    jaccard = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    want = components(sorted(grams), lambda a, b: a // 10 == b // 10 and jaccard(a, b) >= 0.8)
+    assert len(set(want.values())) > 60
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want
+
+
+def test_exact_links_join_trees():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(5)]
+    sets = [np.unique(np.r_[rng.choice(base[i % 5], rng.integers(44, 60), replace=False), rng.integers(0, 1 << 62, rng.integers(0, 8)).astype(np.uint64)]) for i in range(40)]
+    trees = np.array([i if i % 3 else i % 5 + 100 for i in range(40)])
+    close = lambda i, j: trees[i] == trees[j] or len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))
+    want = components(range(40), close)
+    links = {frozenset(x) for x in simhash.exact_links(trees, sets)}
+    assert components(range(40), lambda i, j: trees[i] == trees[j] or frozenset((i, j)) in links) == want
+    assert all(close(i, j) and simhash.alike(sets[i], sets[j]) for i, j in map(tuple, links))
+
 
 def test_language(spark, awkward, empty):
     rng = random.Random(1)
