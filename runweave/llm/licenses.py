@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
 Stretches around cue words are compressed alone and with each template as a zstandard raw dictionary. The bytes that a
-template saves, over the bytes that it takes itself, rank the templates; the best ones are confirmed word by word, and
-the words in which the text differs are told. Each row is scanned by itself: nothing is shuffled but the hits.
+template saves, over the bytes that it takes itself, rank the templates; each is confirmed word by word, and the words
+in which the text differs are told. Each row is scanned by itself: nothing is shuffled but the hits.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -36,8 +37,8 @@ TEMPLATES = {
 }
 #: Characters on both sides of a cue; longest stretch, and by how much the parts of longer ones overlap.
 REACH, LONGEST, OVERLAP = 800, 4000, 1600
-#: Least saving, over the template's own size, of a candidate; least share of a template's words that must be found.
-LEAST_GAIN, LEAST_WORDS = 0.5, 0.9
+#: Least share of a template's words that must be found.
+LEAST_WORDS = 0.9
 _WORD = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
 _HIT = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("license", pa.string()), ("at", pa.int32()), ("gain", pa.float64()), ("found", pa.float64()), ("differences", pa.string())])
@@ -57,6 +58,11 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(at, min(b, at + LONGEST)) for a, b in merged for at in range(a, max(a + 1, b - OVERLAP), LONGEST - OVERLAP)]
 
 
+def numbered(ws: Iterable[str]) -> list[str]:
+    """The words with all their numbers alike."""
+    return [_DIGITS.sub("0", w) for w in ws]
+
+
 class Scanner:
     """Compressors for a set of templates; made once in each task."""
 
@@ -76,11 +82,10 @@ class Scanner:
         """
         spots = [(m.start(), m[0].lower()) for m in _WORD.finditer(block)]
         given = [w for _, w in spots]
-        same = lambda ws: [_DIGITS.sub("0", w) for w in ws]
-        best = SequenceMatcher(None, same(wanted), same(given), autojunk=False).find_longest_match()
+        best = SequenceMatcher(None, numbered(wanted), numbered(given), autojunk=False).find_longest_match()
         low, high = max(0, best.b - best.a - 3), best.b - best.a + len(wanted) + 3
         some = given[low:high]
-        ops = SequenceMatcher(None, same(wanted), same(some), autojunk=False).get_opcodes()
+        ops = SequenceMatcher(None, numbered(wanted), numbered(some), autojunk=False).get_opcodes()
         ops = [o for o in ops if o[1] < o[2] or 0 < o[1] < len(wanted)]  # words before and after are no difference
         hit = [(a, c, b - a) for kind, a, b, c, d in ops if kind == "equal"]
         foreign = sum(max(0, (d - c) - (b - a)) for kind, a, b, c, d in ops if kind != "equal" and 0 < a and b < len(wanted))
@@ -95,8 +100,11 @@ class Scanner:
             block = text[a:b]
             raw = block.encode("utf-8", "surrogatepass")
             size = len(self.plain.compress(raw))
+            held = Counter(numbered(w.lower() for w in _WORD.findall(block)))
             gains = [((size - len(given.compress(raw))) / itself, name, wanted) for name, given, itself, wanted in self.known]
-            for gain, name, wanted in sorted((g for g in gains if g[0] >= LEAST_GAIN), key=lambda g: (-g[0], g[1])):
+            for gain, name, wanted in sorted(gains, key=lambda g: (-g[0], g[1])):
+                if (Counter(numbered(wanted)) & held).total() < LEAST_WORDS * len(wanted):  # too few of its words, in whatever order
+                    continue
                 found, at, differing = self.confirm(wanted, block)
                 if found >= LEAST_WORDS and (name, a + at) not in seen:
                     seen.add((name, a + at))

@@ -352,3 +352,14 @@ def test_licenses(spark, awkward, empty):
     by = {r.doc_id: r for r in got}
     assert by[1].differences == "" and by[1].at == 12 and by[2].differences == "4>3" and by[6].differences == "person>human; persons>humans" and by[6].at == 40000
     assert licenses.licenses(empty).count() == 0 and licenses.licenses(awkward).count() == 0
+
+
+def test_licenses_in_text_that_compresses_well():
+    """Notices word for word in prose of few words, of which the block alone already compresses well."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    prose = "the river was slow and old stones lay under it while people spoke of rain license terms and released water each evening under a mild sky".split()
+    for seed in range(20):
+        rng = random.Random(seed)
+        before, after = (" ".join(rng.choice(prose) for _ in range(140)) for _ in range(2))
+        hits = list(scanner.scan(f"{before}. {licenses.TEMPLATES['MIT-line']} {after}."))
+        assert [(h[0], h[1], h[3]) for h in hits] == [("MIT-line", len(before) + 2, 1.0)]
