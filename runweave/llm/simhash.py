@@ -454,13 +454,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of `docs` for each component of near copies: the one whose doc_id is the component's smallest.
+    """One row of `docs` for each component of near copies: one whose doc_id is the component's smallest.
 
-    Of repeated rows with that doc_id one stays; all columns are kept. Rows with a null doc_id can't be told apart by key
-    and stay.
+    Rows are told apart by doc_id and a hash of the text, so different texts under one doc_id each stay or go with their
+    own component; of those of one component the text with the least hash stays. Of repeated rows one stays; all columns
+    are kept. Rows with a null doc_id can't be told apart by key and stay.
     """
-    gone = scratch(near_copies(docs, id_col, text_col, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
-    more = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("more_id")).agg(F.count("*").alias("n")).where("n > 1").select("more_id")
-    again = kept.join(more, kept[id_col] == F.col("more_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(more, kept[id_col] == F.col("more_id"), "left_anti").unionByName(again)
+    marked, kinds = _near_kinds(docs, id_col, text_col, similarity, NEAR_SHINGLE)
+    first = kinds.groupBy("root").agg(F.min("rep").alias("first"))
+    chosen = kinds.join(first, "root").select("node", F.col("first.doc_id").alias("d"), F.col("first.xh").alias("x"))
+    rows = scratch(marked.groupBy("doc_id", "xh", "node").agg(F.count("*").alias("n")).join(chosen, "node").select("doc_id", "xh", "n", ((F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x"))).alias("stays")))
+    pick = lambda r, k, x: r.select(F.col("doc_id").alias(k), F.col("xh").alias(x))
+    same = lambda k, x: (docs[id_col].cast("long") == F.col(k)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(x))
+    kept = docs.join(pick(rows.where("not stays"), "_gone_id", "_gone_xh"), same("_gone_id", "_gone_xh"), "left_anti")
+    more = pick(rows.where("stays and n > 1"), "_more_id", "_more_xh")
+    again = kept.join(more, same("_more_id", "_more_xh"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(more, same("_more_id", "_more_xh"), "left_anti").unionByName(again)

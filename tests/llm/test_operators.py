@@ -141,6 +141,17 @@ def test_exact_links_join_trees():
     assert all(close(i, j) and simhash.alike(sets[i], sets[j]) for i, j in map(tuple, links))
 
 
+def test_different_texts_under_one_key(spark):
+    """Each text under a repeated key stays or goes with its own near copies."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 10**6)}" for _ in range(200)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " tail"), (3, c), (3, a + " tail"), (4, c + " tail"), (4, c), (0, c + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(pairs(simhash.keep_first(docs))) == sorted([(1, a), (1, b), (0, c + " more")])
+    found = {(r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 0), (3, 1), (4, 0), (0, 0)}
+
+
 def test_language(spark, awkward, empty):
     rng = random.Random(1)
     kinds = {"en": ["the", "ing", "and"], "de": ["sch", "über", "ung"], "fr": ["é", "eaux", "tion"]}
