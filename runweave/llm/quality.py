@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 #: The blank characters themselves, to trim; a line must end in one of these marks, quotes and brackets aside.
 BLANKS = " \t\n\x0b\f\r"
 ENDING = r"[.!?…。！？][\x22'”’»)\]]*\z"
+#: The same with the marks and closing brackets of other scripts; Thai and Lao write no mark, so a letter may end theirs.
+ANY_ENDING = r"[.!?…。！？｡؟۔।॥።፧։។။།\p{IsThai}\p{IsLao}][\x22'”’»)\]」』）】]*\z"
+#: A letter that is not shouted: in lower case, or of a script without case (the ordinal signs of Spanish aside).
+QUIET = r"[\p{Ll}[\p{Lo}&&[^ªº]]]"
 #: Signs between the entries of menus, and ornaments.
 NAVIGATION, ORNAMENT = "|›»·•", "#*$%&|<>"
 #: Phrases of page furniture.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "enable javascript", "skip to content", "subscribe to our newsletter", "lorem ipsum")
 #: Characters of a line for each such sign that it may have; pairs of exclamation marks; length from which a line needs a
-#: lower-case letter.
+#: lower-case letter or one of a script without case.
 CHARS_A_SIGN, MOST_SHOUTS, LEAST_SHOUT = 40, 2, 12
 #: Share of the characters that a document may lose to failing and repeated lines.
 MOST_LOST = 0.4
@@ -64,10 +68,10 @@ def furniture(text: Column) -> Column:
 def clean_line(line: Column, furnished: Column) -> Column:
     """True for a line with a word that passes every rule. furnished: whether any line of the text holds a phrase."""
     return (
-        F.right(F.rtrim(plain_blanks(line)), F.lit(4)).rlike(ENDING)
+        F.right(F.rtrim(plain_blanks(line)), F.lit(4)).rlike(ANY_ENDING)
         & (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit(""))) <= 2 * MOST_SHOUTS)
         & (signs(line, NAVIGATION + ORNAMENT) * CHARS_A_SIGN <= F.length(line))
-        & ((F.length(line) < LEAST_SHOUT) | line.rlike(r"\p{Ll}"))
+        & ((F.length(line) < LEAST_SHOUT) | line.rlike(QUIET))
         & ~(furnished & furniture(line))
     )
 

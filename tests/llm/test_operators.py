@@ -317,6 +317,18 @@ def test_quality(spark, awkward, empty):
     assert quality.verdicts(empty).count() == 0
 
 
+def test_quality_of_scripts_without_case(spark):
+    """Lines of such scripts pass with their own marks; shouted lines and lines without a letter still fail."""
+    rng = random.Random(8)
+    scripts = [("אבגדהוזחט", "."), ("ابتثجحخد", "؟"), ("ابتثجحخد", "۔"), ("कखगघचछजझ", "।"), ("가나다라마바사", "."), ("的一是不了人我在", "。"), ("あいうえおかき", "。」"), ("กขคงจฉช", ""), ("abcdefgh", "."), ("ABCDEFGH", "."), ("12345678", "."), ("ABCDEFGHº", ".")]
+    text = lambda letters, mark: "\n".join(" ".join("".join(rng.choices(letters, k=6)) for _ in range(12)) + mark for _ in range(8))
+    rows = [(i, text(*x)) for i, x in enumerate(scripts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality.verdicts(docs).collect()} == {i: i < 9 for i in range(12)}
+    assert dict(pairs(quality.clean(docs))) == dict(rows[:9])
+
+
+
 @pytest.mark.parametrize("hot", [512, 1])
 def test_substrings(spark, awkward, empty, hot, monkeypatch):
     monkeypatch.setattr(substring, "HOT", hot)
