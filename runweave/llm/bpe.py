@@ -11,18 +11,22 @@ from __future__ import annotations
 import array
 import base64
 import hashlib
+import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record, slices, text_columns
+from .common import arrow_map, byte_slices, record, text_columns
 
-#: Distinct parts that a task remembers (about 150 bytes each); it forgets all and starts anew beyond.
-MEMORY = 800_000
+#: Bytes of a generation of remembered parts; a worker keeps two, and forgets the older one when the younger is full.
+MEMORY = 32 << 20
+#: Bytes that an entry takes beside its two values.
+ENTRY = 104
 #: Marks that the pattern parts from a letter before them.
 MARKS = ".,;:!?"
 #: A space beside another white-space character; a superset of what the pattern takes for white space.
@@ -45,9 +49,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one rank file and pattern; made once in each task."""
+    """Encoder and decoder of one rank file and pattern; made once in each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         shown = byte_characters()
@@ -58,6 +63,8 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(shown)}
         self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in self.model.get_vocab().items()}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.sizes[i] = len(b)
@@ -77,20 +84,27 @@ class Codec:
                 joined.append(x)
         return joined
 
+    def _keep(self, part: str, ids: bytes) -> None:
+        self.memory[part] = ids
+        self.held += sys.getsizeof(part) + sys.getsizeof(ids) + ENTRY
+
     def learn(self, parts: set[str]) -> None:
-        """Encode the parts that aren't remembered to little-endian unsigned ids.
+        """Have all `parts` in memory, as little-endian unsigned ids.
 
         A part that ends in one mark after a letter is put together from the rest and the mark.
         """
-        new = parts - self.memory.keys()
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory, new = {}, parts
+        if self.held > MEMORY:
+            self.memory, self.older, self.held = {}, self.memory, 0
+        new = parts.difference(self.memory)  # a dict itself, not its keys: Python then looks up the smaller side
+        for x in [x for x in new if x in self.older]:
+            self._keep(x, self.older[x])
+        new = new.difference(self.memory)
         ended = {x for x in new if len(x) > 2 and x[-1] in MARKS and x[-2].isalpha() and x[-2] < "\u0250"}
-        todo = list(((new - ended) | {x[:-1] for x in ended} | {x[-1] for x in ended}) - self.memory.keys())
+        todo = list((new - ended | {x[:-1] for x in ended} | {x[-1] for x in ended}).difference(self.memory))
         for x, e in zip(todo, self.model.encode_batch(todo, add_special_tokens=False)):
-            self.memory[x] = array.array("I", e.ids).tobytes()
+            self._keep(x, array.array("I", e.ids).tobytes())
         for x in ended:
-            self.memory[x] = self.memory[x[:-1]] + self.memory[x[-1]]
+            self._keep(x, self.memory[x[:-1]] + self.memory[x[-1]])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -118,18 +132,31 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 32-bit integers as one list column, without a Python object for each number."""
+    bounds = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
+
+
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("raw", pa.binary())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def _codec(held: dict, pattern: str) -> Codec:
+    """The worker's codec. It stays beside the ranks in the broadcast value, which a worker keeps from task to task."""
+    if pattern not in held:
+        held[pattern] = Codec(held["ranks"], pattern)
+    return held[pattern]
+
+
 def _over(df: DataFrame, rank_path: str, pattern: str, rows, schema: pa.Schema, ddl: str) -> DataFrame:
-    """rows(codec, ids, column) makes the columns of a batch. The ranks (a bounded vocabulary) go out as a broadcast."""
-    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    """rows(codec, column) makes the columns of a slice. The ranks (a bounded vocabulary) go out as a broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(rank_path)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
-        for b in slices(batches, 256):
+        codec = _codec(shared.value, pattern)
+        for b in byte_slices(batches, 1):
             yield record(schema, b.column(0), *rows(codec, b.column(1).to_pylist()))
 
     return arrow_map(df, run, ddl)
@@ -144,7 +171,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def rows(codec: Codec, texts: list[str | None]):
         found = [(ids.astype(np.int32), *codec.offsets(t, ids)) for t, ids in zip(texts, codec.encode(texts))]
-        return [[x[i] for x in found] for i in range(3)]
+        return [_lists([x[i] for x in found]) for i in range(3)]
 
     return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _IDS, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -178,8 +205,3 @@ def public_ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path(name), public_tokenizers.PATTERN
-
-
-def encoded_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All columns that identify a document, with its ids and offsets, by the public multilingual ranks."""
-    return encode(docs, *public_ranks())

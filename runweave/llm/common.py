@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """As slices(), with at most `size` bytes in a string column; a longer text lies alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            low = ends[at - 1] if at else 0
+            n = min(rows, max(1, int(np.searchsorted(ends, low + size, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow without a barrier; `fn` takes and yields record batches."""
     return df.mapInArrow(fn, schema)
