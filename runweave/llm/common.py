@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset and all of Spark runs in one process, as in tests, a temporary one; on a cluster executors
+    could not see that, so it is an error there.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -47,12 +54,50 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """As cut(), but a compressed table: for wide rows, and readers that take few of the columns."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` read again from a compressed table in the shared folder, and the table's path, for remove()."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    for held in _PASSING:
+        held.append(path)
     with tidy(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """As cut(), but a compressed table: for wide rows, and readers that take few of the columns."""
+    return stored(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables that are stored while it lasts go when it ends; what was made of them must be stored elsewhere by then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            remove(spark, path)
+
+
+def unused(columns: Iterable[str], *stems: str) -> list[str]:
+    """Column names made of the stems that clash with none of `columns`; Spark's names ignore case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def words(text: str | None) -> list[bytes]:
