@@ -11,17 +11,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The blank characters themselves, to trim; a line must end in one of these marks, quotes and brackets aside.
+from .common import unused
+
+#: The blank characters themselves, to trim.
 BLANKS = " \t\n\x0b\f\r"
-ENDING = r"[.!?…。！？][\x22'”’»)\]]*\z"
-#: The same with the marks and closing brackets of other scripts; Thai and Lao write no mark, so a letter may end theirs.
-ANY_ENDING = r"[.!?…。！？｡؟۔।॥።፧։។။།\p{IsThai}\p{IsLao}][\x22'”’»)\]」』）】]*\z"
+#: Marks that end a sentence in any script, and what may close after them.
+MARKS, CLOSING = ".!?…。！？｡؟۔।॥።፧։။។།", r"\x22'”’»)\]」』）】"
+#: A line must end like this; Thai and Lao write no mark, so a letter may end theirs. SQL has other names of scripts.
+ENDING = rf"[{MARKS}\p{{IsThai}}\p{{IsLao}}][{CLOSING}]*\z"
+#: Longer lines, paragraphs whose last mark is missing, pass with the end of a sentence inside.
+INNER, LEAST_LONG = rf"[{MARKS}][{CLOSING}]*[ \t]", 120
 #: A letter that is not shouted: in lower case, or of a script without case (the ordinal signs of Spanish aside).
 QUIET = r"[\p{Ll}[\p{Lo}&&[^ªº]]]"
 #: Signs between the entries of menus, and ornaments.
 NAVIGATION, ORNAMENT = "|›»·•", "#*$%&|<>"
-#: Phrases of page furniture.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "enable javascript", "skip to content", "subscribe to our newsletter", "lorem ipsum")
+#: Phrases of page furniture in English, German, French and Spanish: the default of a parameter. Furniture in other words
+#: or languages is met by the other rules or missed.
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "enable javascript", "skip to content", "subscribe to our newsletter", "lorem ipsum",
+    "alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "aller au contenu",
+    "todos los derechos reservados", "política de cookies", "política de privacidad", "condiciones de uso", "saltar al contenido",
+)
 #: Characters of a line for each such sign that it may have; pairs of exclamation marks; length from which a line needs a
 #: lower-case letter or one of a script without case.
 CHARS_A_SIGN, MOST_SHOUTS, LEAST_SHOUT = 40, 2, 12
@@ -57,25 +68,44 @@ def is_blank(line: Column) -> Column:
     return F.trim(plain_blanks(line)) == ""
 
 
-def furniture(text: Column) -> Column:
+def furniture(text: Column, phrases: tuple[str, ...]) -> Column:
     """True if the text holds a phrase of page furniture."""
-    low, found = F.lower(text), F.lit(False)
-    for x in BOILERPLATE:
-        found = found | low.contains(x)
-    return found
+
+    def holds(low: Column) -> Column:
+        found = F.lit(False)
+        for x in phrases:
+            found = found | low.contains(x)
+        return found
+
+    return let(F.lower(text), holds)
 
 
-def clean_line(line: Column, furnished: Column) -> Column:
+def clean_line(line: Column, furnished: Column, phrases: tuple[str, ...]) -> Column:
     """True for a line with a word that passes every rule. furnished: whether any line of the text holds a phrase."""
     return (
-        F.right(F.rtrim(plain_blanks(line)), F.lit(4)).rlike(ANY_ENDING)
+        (F.right(F.rtrim(plain_blanks(line)), F.lit(4)).rlike(ENDING) | ((F.length(line) >= LEAST_LONG) & line.rlike(INNER)))
         & (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit(""))) <= 2 * MOST_SHOUTS)
         & (signs(line, NAVIGATION + ORNAMENT) * CHARS_A_SIGN <= F.length(line))
         & ((F.length(line) < LEAST_SHOUT) | line.rlike(QUIET))
-        & ~(furnished & furniture(line))
+        & ~(furnished & furniture(line, phrases))
     )
 
 
+def first_lines(lines: Column) -> Column:
+    """Lines (x, blank) without those that were there before, in their order; blank ones all stay.
+
+    Equal lines lie side by side once they are sorted by hash, so a text of many lines costs no square of them.
+    """
+    placed = F.array_sort(F.transform(lines, lambda s, i: F.struct(F.xxhash64(s["x"]).alias("h"), s["x"].alias("x"), i.alias("i"), s["blank"].alias("blank"))))
+
+    def firsts(p: Column) -> Column:
+        new = F.filter(p, lambda s, j: s["blank"] | (j == 0) | ~F.get(p, j - 1)["x"].eqNullSafe(s["x"]))
+        back = F.array_sort(F.transform(new, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"), s["blank"].alias("blank"))))
+        return F.transform(back, lambda s: F.struct(s["x"].alias("x"), s["blank"].alias("blank")))
+
+    return let(placed, firsts)
+
+
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows that the text holds twice or more, the first included.
 
@@ -100,68 +130,83 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(hashes, of_hashes))
 
 
-def judged(docs: DataFrame, text: Column) -> DataFrame:
-    """`docs` with a struct `_q` of all measures and the verdict."""
+def judged(docs: DataFrame, text: Column, phrases: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """`docs` with a struct of all measures, the verdict and the cleaned text, and the name of that column."""
+    of, on, name = unused(docs.columns, "of_words", "of_lines", "judged")
 
     def of_words(w: Column) -> Column:
         return F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
 
     total = lambda a: F.length(F.array_join(a, ""))
+    full_of = lambda rows: F.transform(F.filter(rows, lambda s: ~s["blank"]), lambda s: s["x"])
 
-    def of_lines(full: Column, furnished: Column) -> Column:
-        def once(x: Column) -> Column:
-            passed = F.filter(x, lambda line: clean_line(line, furnished))
-            return F.struct((F.size(full) - F.size(x)).alias("n_dup_lines"), total(full).alias("chars"), total(passed).alias("left"))
+    def of_lines(rows: Column, furnished: Column) -> Column:
+        """rows: all lines of a text as (x, blank)."""
 
-        return let(F.array_distinct(full), once)
+        def of_full(full: Column) -> Column:
+            def of_once(n_once: Column) -> Column:
+                once = F.when(n_once == F.size(full), rows).otherwise(first_lines(rows))
+                passed = F.filter(once, lambda s: s["blank"] | clean_line(s["x"], furnished, phrases))
+                return let(
+                    passed,
+                    lambda p: F.struct((F.size(full) - n_once).alias("n_dup_lines"), total(full).alias("chars"), total(full_of(p)).alias("left"), F.array_join(F.transform(p, lambda s: s["x"]), "\n").alias("cleaned")),
+                )
+
+            return let(F.size(F.array_distinct(full)), of_once)
+
+        return let(full_of(rows), of_full)
 
     t = F.coalesce(text, F.lit(""))
-    full = F.filter(F.split(t, "\n"), lambda x: ~is_blank(x))
-    measures = docs.withColumn("_w", let(word_list(t), of_words)).withColumn("_l", let(furniture(t), lambda p: let(full, lambda x: of_lines(x, p))))
-    base = (F.col("_w.n_words") < LEAST_WORDS) | (100 * F.col("_w.n_repeat_words") > MOST_REPEATED * F.col("_w.n_words"))
-    lost = F.col("_l.chars") - F.col("_l.left")
-    return measures.withColumn(
-        "_q",
-        F.struct(
-            F.col("_w.n_words").cast("long").alias("n_words"),
-            F.col("_w.word_chars").cast("long").alias("word_chars"),
-            signs(t, ORNAMENT).cast("long").alias("n_symbols"),
-            F.col("_l.n_dup_lines").cast("long").alias("n_dup_lines"),
-            F.col("_w.n_repeat_words").cast("long").alias("n_repeat_words"),
-            base.alias("base_failed"),
-            (~base & (lost <= F.col("_l.chars") * MOST_LOST)).alias("kept"),
-        ),
-    ).drop("_w", "_l")
+    rows = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("x"), is_blank(x).alias("blank")))
+    measures = docs.withColumn(of, let(word_list(t), of_words)).withColumn(on, let(furniture(t, phrases), lambda p: let(rows, lambda x: of_lines(x, p))))
+    base = (F.col(f"{of}.n_words") < LEAST_WORDS) | (100 * F.col(f"{of}.n_repeat_words") > MOST_REPEATED * F.col(f"{of}.n_words"))
+    lost = F.col(f"{on}.chars") - F.col(f"{on}.left")
+    found = F.struct(
+        F.col(f"{of}.n_words").cast("long").alias("n_words"),
+        F.col(f"{of}.word_chars").cast("long").alias("word_chars"),
+        signs(t, ORNAMENT).cast("long").alias("n_symbols"),
+        F.col(f"{on}.n_dup_lines").cast("long").alias("n_dup_lines"),
+        F.col(f"{of}.n_repeat_words").cast("long").alias("n_repeat_words"),
+        base.alias("base_failed"),
+        (~base & (lost <= F.col(f"{on}.chars") * MOST_LOST)).alias("kept"),
+        F.col(f"{on}.cleaned").alias("cleaned"),
+    )
+    return measures.withColumn(name, found).drop(of, on), name
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept): a row for each row.
 
     A null or empty text has no word and fails. Repeated rows and null keys keep their rows; ties can't arise; other
     columns are ignored; an empty table gives no rows.
     """
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return judged(some, F.col("text")).select("doc_id", *[F.col(f"_q.{m}").alias(m) for m in MEASURES])
+    found, name = judged(some, F.col("text"), phrases)
+    return found.select("doc_id", *[F.col(f"{name}.{m}").alias(m) for m in MEASURES])
 
 
-def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are kept, their text without the failing lines; all columns stay.
+def clean(docs: DataFrame, text_col: str = "text", phrases: tuple[str, ...] = BOILERPLATE) -> DataFrame:
+    """The rows of `docs` that are kept, their text without the lines that the verdict counts as lost; all columns stay.
 
-    If every line of a kept text passes, it stays as it was to the last byte.
+    Failing lines go, and so do lines equal to an earlier one. If no line of a kept text is lost, it stays as it was to the
+    last byte. Null and empty texts fail and go. Repeated rows each stay or go alike; an empty table stays empty; columns
+    of any name may be there beside the text.
     """
-    kept = judged(docs, F.col(text_col)).where("_q.kept")
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: is_blank(x) | clean_line(x, F.lit(True)))
-    return kept.withColumn(text_col, F.array_join(lines, "\n")).select(*docs.columns)
+    found, name = judged(docs, F.col(text_col), phrases)
+    # an explode of one text or none: as a filter, Catalyst would work out the whole verdict again beside the text
+    left = F.explode(F.when(F.col(f"{name}.kept"), F.array(F.col(f"{name}.cleaned"))).otherwise(F.array().cast("array<string>")))
+    return found.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
-_SQL_LINE = rf"""(regexp_matches(regexp_replace(x, '[\x20\x09-\x0D]+\z', ''), '{ENDING.replace("'", "''")}')
+_SQL_ENDING, _SQL_INNER = (x.replace("IsThai", "Thai").replace("IsLao", "Lao").replace("'", "''") for x in (ENDING, INNER))
+_SQL_LINE = rf"""((regexp_matches(right(regexp_replace(x, '[\x20\x09-\x0D]+\z', ''), 4), '{_SQL_ENDING}') or length(x) >= {LEAST_LONG} and regexp_matches(x, '{_SQL_INNER}'))
   and length(x) - length(replace(x, '!!', '')) <= {2 * MOST_SHOUTS}
   and length(regexp_replace(x, '[^{NAVIGATION + ORNAMENT}]+', '', 'g')) * {CHARS_A_SIGN} <= length(x)
-  and (length(x) < {LEAST_SHOUT} or regexp_matches(x, '\p{{Ll}}'))
-  and not ({" or ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)}))"""
+  and (length(x) < {LEAST_SHOUT} or regexp_matches(x, '\p{{Ll}}|[^\P{{Lo}}ªº]'))
+  and not ({" or ".join("contains(lower(x), '" + p.replace("'", "''") + "')" for p in BOILERPLATE)}))"""
 
 #: DuckDB SQL of verdicts() over the documents table.
 VERDICTS_SQL = rf"""
