@@ -118,9 +118,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """As slices(), with at most `size` bytes in a string column; a longer text lies alone."""
+    """As slices(), with at most `size` bytes in a string column, or members in a list column; a longer one lies alone."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        whole = batch.column(column)
+        sizes = pc.list_value_length(whole) if pa.types.is_list(whole.type) else pc.binary_length(whole)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             low = ends[at - 1] if at else 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_filter, kgram_hashes, record, scratch, seed_filter, slices
+from .common import arrow_map, in_filter, kgram_hashes, record, scratch, seed_filter, slices, unused
 
 MATCH, COVERAGE = 5, 0.5
 FILTER_BITS = 24
@@ -162,6 +162,11 @@ def contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows of `docs` that leak no item; all columns stay."""
-    gone = scratch(leaks(docs, items, id_col=id_col, text_col=text_col, **names).select(F.col("doc_id").alias("_d"), F.col("xh").alias("_x")).distinct())
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_d"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_x"]), "left_anti")
+    """The rows of `docs` that leak no item; all columns stay, whatever their names.
+
+    Null and empty texts leak nothing and stay. Null keys and repeated rows stay or go by their text, a row each. Empty
+    tables of documents or items give the documents as they are. A text of any length is read whole.
+    """
+    d, x = unused(docs.columns, "leak_id", "leak_hash")
+    gone = scratch(leaks(docs, items, id_col=id_col, text_col=text_col, **names).select(F.col("doc_id").alias(d), F.col("xh").alias(x)).distinct())
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[d]) & (F.xxhash64(docs[text_col].cast("string")) == gone[x]), "left_anti")

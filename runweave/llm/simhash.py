@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, in_filter, lower_words, record, scratch, seed_filter, slices, text_columns
+from .common import arrow_map, cut, in_filter, lower_words, record, scratch, seed_filter, slices, text_columns, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -71,25 +71,38 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
 
 
+def _added(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save sum of three stacks of bits: sum and carry bits."""
+    u = x ^ y
+    return u ^ z, (x & y) | (u & z)
+
+
 def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Bits set where the lanes of two stacks of planes differ in at most `radius` planes (radius 0 to 31).
 
-    Carry-save counters hold each lane's distance in binary; a further plane holds overflow. Every eight planes the words
-    in which no lane is left within the radius are dropped from the work.
+    Eight planes at a time go through a tree of carry-save adders into counters that hold each lane's distance in binary;
+    what a counter can't hold marks its lane as past. After each eight, words in which no lane is left within the radius
+    are abandoned: their planes aren't read again.
     """
     shape = np.broadcast_shapes(left.shape[1:], right.shape[1:])
-    over = np.zeros(int(np.prod(shape)), np.uint64)
-    live = np.arange(len(over))
-    counters = [np.zeros(len(over), np.uint64) for _ in range(max(1, int(radius).bit_length()))]
-    past = np.zeros(len(over), np.uint64)
-    full = ~np.uint64(0)
+    full, size = ~np.uint64(0), int(np.prod(shape))
+    over, live, spots = np.zeros(size, np.uint64), np.arange(size), None
+    counters = [np.zeros(size, np.uint64) for _ in range(max(1, int(radius).bit_length()))]
+    past = np.zeros(size, np.uint64)
+    flat = [x.reshape(64, -1) for x in (left, right)]
     for at in range(0, 64, 8):
-        for p in range(at, at + 8):
-            carry = np.bitwise_xor(left[p], right[p]).ravel()
-            carry = carry if len(live) == len(over) else carry[live]
-            for c in counters:
-                c ^= carry
-                carry &= ~c
+        if spots is None:
+            adding = [np.bitwise_xor(left[p], right[p]).ravel() for p in range(at, at + 8)]
+        else:
+            adding = [flat[0][p][spots[0]] ^ flat[1][p][spots[1]] for p in range(at, at + 8)]
+        for level in range(len(counters)):
+            carries = []
+            for i in range(0, len(adding), 2):
+                other = adding[i + 1] if i + 1 < len(adding) else np.zeros_like(past)
+                counters[level], carry = _added(counters[level], adding[i], other)
+                carries.append(carry)
+            adding = carries
+        for carry in adding:
             past |= carry
         # counters above the radius: compare with its bits from the highest down
         far, equal = past.copy(), np.full(len(live), full)
@@ -103,6 +116,12 @@ def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndar
         if not keep.all():
             over[live[~keep]] = full
             live, counters, past, far = live[keep], [c[keep] for c in counters], past[keep], far[keep]
+            places = np.unravel_index(live, shape)
+            spots = []
+            for x in (left, right):
+                own = x.shape[1:]
+                own = (1,) * (len(shape) - len(own)) + own
+                spots.append(np.ravel_multi_index([p if n > 1 else np.zeros_like(p) for p, n in zip(places, own)], own))
         if not len(live):
             break
     over[live] = far if len(live) else over[live]
@@ -247,6 +266,8 @@ NEAR_SHINGLE, SIMILARITY, BINS, ROWS, BANDS = 5, 0.8, 256, 5, 20
 WIDE, SLACK = 20, 0.3
 #: Texts of a bucket that one task compares, by sketch and by their shingles; bits of the filter of candidates.
 NEAR_BUCKET, EXACT_BUCKET, FILTER_BITS = 2048, 512, 24
+#: Stands for a null doc_id, after all others.
+LAST = (1 << 63) - 1
 _MARK = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("fp", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
 _SET = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("hashes", pa.binary())])
 
@@ -391,12 +412,12 @@ def _exact_runs(similarity: float):
 
 
 def _near_kinds(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, xh, node) of each row with a doc_id, xh a hash of its text, and (node, rep, root) of each set of shingles.
+    """(doc_id, xh, node) of each row, LAST for a null doc_id, xh a hash of its text, and (node, rep, root) of each set of shingles.
 
     rep: the least (doc_id, xh) of the set's rows. Texts whose sketches are near form loose groups, whose pairs are
     counted exactly: first those that tied the group together, then all pairs between the trees that these leave.
     """
-    some = text_columns(docs, id_col, text_col).where("doc_id is not null").withColumn("xh", F.xxhash64("text"))
+    some = text_columns(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("xh", F.xxhash64("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -441,32 +462,38 @@ def _near_kinds(docs: DataFrame, id_col: str, text_col: str, similarity: float,
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """(doc_id, component_id): a row for each row of `docs` with a doc_id; linked texts share `similarity` of their shingles.
+    """(doc_id, component_id): a row for each row of `docs`; linked texts share `similarity` of their shingles.
 
     Sketches only find candidates; each link is confirmed by the exact counts of shared and united shingles. Equal sets
     fall together before anything is compared, so copies cost nothing more. component_id is the smallest doc_id that
-    links reach. Texts without a word are copies of each other. Rows with a null doc_id are left out. Repeated rows keep
-    a row each; other columns are ignored; empty tables give no rows.
+    links reach. Texts without a word, null ones among them, are copies of each other. Null doc_ids come after all others:
+    a component has the id null only if all its rows have. Repeated rows keep a row each; other columns are ignored;
+    empty tables give no rows.
     """
     marked, kinds = _near_kinds(docs, id_col, text_col, similarity, shingle)
     lowest = kinds.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
-    return marked.join(kinds.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    back = lambda c: F.nullif(c, F.lit(LAST)).alias(c)
+    return marked.join(kinds.join(lowest, "root").select("node", "component_id"), "node").select(back("doc_id"), back("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of `docs` for each component of near copies: one whose doc_id is the component's smallest.
 
     Rows are told apart by doc_id and a hash of the text, so different texts under one doc_id each stay or go with their
-    own component; of those of one component the text with the least hash stays. Of repeated rows one stays; all columns
-    are kept. Rows with a null doc_id can't be told apart by key and stay.
+    own component; of those of one component the text with the least hash stays. Null doc_ids come after all others. Of
+    rows with equal doc_id and text one stays, the first by its columns as JSON. Texts without a word, null ones among
+    them, are one component. All columns are kept, whatever their names; an empty table stays empty.
     """
     marked, kinds = _near_kinds(docs, id_col, text_col, similarity, NEAR_SHINGLE)
     first = kinds.groupBy("root").agg(F.min("rep").alias("first"))
     chosen = kinds.join(first, "root").select("node", F.col("first.doc_id").alias("d"), F.col("first.xh").alias("x"))
     rows = scratch(marked.groupBy("doc_id", "xh", "node").agg(F.count("*").alias("n")).join(chosen, "node").select("doc_id", "xh", "n", ((F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x"))).alias("stays")))
-    pick = lambda r, k, x: r.select(F.col("doc_id").alias(k), F.col("xh").alias(x))
-    same = lambda k, x: (docs[id_col].cast("long") == F.col(k)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(x))
-    kept = docs.join(pick(rows.where("not stays"), "_gone_id", "_gone_xh"), same("_gone_id", "_gone_xh"), "left_anti")
-    more = pick(rows.where("stays and n > 1"), "_more_id", "_more_xh")
-    again = kept.join(more, same("_more_id", "_more_xh"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(more, same("_more_id", "_more_xh"), "left_anti").unionByName(again)
+    d, x, whole = unused(docs.columns, "near_id", "near_hash", "near_row")
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string")))
+    pick = lambda r: r.select(F.col("doc_id").alias(d), F.col("xh").alias(x))
+    same = (key[0] == F.col(d)) & (key[1] == F.col(x))
+    kept = docs.join(pick(rows.where("not stays")), same, "left_anti")
+    more = pick(rows.where("stays and n > 1"))
+    every = F.struct(*[F.col(c) for c in docs.columns])
+    again = kept.join(more, same, "left_semi").groupBy(key[0].alias(d), key[1].alias(x)).agg(F.min_by(every, F.to_json(every)).alias(whole)).select(f"{whole}.*")
+    return kept.join(more, same, "left_anti").unionByName(again)
