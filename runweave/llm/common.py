@@ -54,11 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df` read again from a compressed table in the shared folder, and the table's path, for remove()."""
+def stored(df: DataFrame, lasting: bool = False) -> tuple[DataFrame, str]:
+    """`df` read again from a compressed table in the shared folder, and the table's path, for remove().
+
+    A lasting table stays even if it is stored within passing().
+    """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    for held in _PASSING:
-        held.append(path)
+    if _PASSING and not lasting:
+        _PASSING[-1].append(path)
     with tidy(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
