@@ -7,11 +7,12 @@ order of first occurrence, suffix automata are built while each context streams
 it: where the matching statistic reaches 20, a window also starts earlier. The reference grows with the corpus, so a
 shard's automaton goes to the task that holds the shard's contexts; an automaton never has more than `SHARD` words.
 
-Before that, seeds are counted; those that occur twice fill a Bloom filter of fixed size, which is broadcast so that
-only contexts with a repeated seed are shuffled (a false hit costs work, never a wrong result); a second one holds the
-seeds whose contexts differ, and only those contexts carry their words. Equal contexts fall
-together map-side and stay one row however often they occur. A seed with more than `HOT` distinct contexts is taken
-apart into its windows, which Spark aggregates like any key.
+Before that, seeds are counted; those that occur twice fill a Bloom filter sized by their number, which is broadcast so
+that only contexts with a repeated seed are shuffled (a false hit costs work, never a wrong result); a second one holds
+the seeds whose contexts differ, and only those contexts carry their words. Both stop growing at 2**MOST_BITS bits; with
+more seeds than fit, a semi-join on the seed takes the filters' place. Equal contexts fall together map-side and stay one
+row however often they occur. Contexts meet the counts of their seed under salted keys. A seed with more than `HOT`
+distinct contexts is taken apart into its windows, which Spark aggregates like any key.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_filter, record, scratch, seed_filter, slices, words
+from .common import arrow_map, byte_slices, in_filter, record, scratch, seed_filter, slices, words
 
 WINDOW, GRAM = 20, 6
 #: Words in one automaton; distinct contexts of a seed from which its windows are aggregated by Spark.
 SHARD, HOT = 60_000, 512
-#: Binary logarithm of the bits of the Bloom filter (16 MB).
-FILTER_BITS = 27
+#: Binary logarithm of the most bits of a Bloom filter (32 MB); bits for each seed; salts of a seed.
+MOST_BITS, BITS_A_SEED, SALTS = 28, 12, 8
 _SEED = pa.schema([("seed", pa.int64()), ("ctx", pa.int64())])
 _CONTEXT = pa.schema([("d", pa.int64()), ("xh", pa.int64()), ("at", pa.int32()), ("m", pa.int32()), ("seed", pa.int64()), ("ctx", pa.int64()), ("said", pa.binary())])
 _MASK = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("mask", pa.int64())])
@@ -106,8 +107,9 @@ def contexts(raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and bounds of a string column without nulls."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    """Bytes and bounds of a string column without nulls, of short or of long offsets."""
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide, len(column) + 1, column.offset * wide().itemsize).astype(np.int64)
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return raw, offsets - offsets[0]
 
@@ -203,30 +205,36 @@ def _repeats(docs: DataFrame) -> DataFrame:
     """(d, xh, spans): for each document (d, xh, text) with repeated windows, their starts as (at, mask)."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
+        for b in byte_slices(batches, 0, rows=256):
             c = contexts(*_buffer(b.column(0)))
             yield record(_SEED, pa.array(c["seed"].view(np.int64)), pa.array(c["ctx"].view(np.int64)))
 
     counted = arrow_map(docs.select("text"), seeds, "seed long, ctx long").groupBy("seed").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("n > 1")
     twice = scratch(counted.select("seed", (F.col("low") != F.col("high")).alias("differs")))
-    share = docs.sparkSession.sparkContext.broadcast
-    any_seed, telling = share(seed_filter(twice, FILTER_BITS)), share(seed_filter(twice.where("differs"), FILTER_BITS))
+    share, n_seeds = docs.sparkSession.sparkContext.broadcast, twice.count()
+    bits = max(20, (n_seeds * BITS_A_SEED).bit_length())
+    fits = bits <= MOST_BITS
+    any_seed, telling = (share(seed_filter(x, bits)) if fits else None for x in (twice, twice.where("differs")))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
+        for b in byte_slices(batches, 2, rows=256):
             raw, bounds = _buffer(b.column(2))
             c = contexts(raw, bounds)
-            hit = in_filter(c["seed"], any_seed.value)
-            c = {k: v[hit] for k, v in c.items()}
+            if fits:
+                hit = in_filter(c["seed"], any_seed.value)
+                c = {k: v[hit] for k, v in c.items()}
             ids = [b.column(i).take(pa.array(c["doc"])) for i in (0, 1)]
             text = raw.tobytes()
-            said = [text[i:j] if t else None for i, j, t in zip(c["first"].tolist(), c["end"].tolist(), in_filter(c["seed"], telling.value).tolist())]
+            told = in_filter(c["seed"], telling.value) if fits else np.ones(len(c["seed"]), bool)
+            said = [text[i:j] if t else None for i, j, t in zip(c["first"].tolist(), c["end"].tolist(), told.tolist())]
             yield record(_CONTEXT, *ids, c["at"], c["m"], pa.array(c["seed"].view(np.int64)), pa.array(c["ctx"].view(np.int64)), said)
 
-    found = scratch(arrow_map(docs.select("d", "xh", "text"), candidates, "d long, xh long, at int, m int, seed long, ctx long, said binary"))
+    maybe = arrow_map(docs.select("d", "xh", "text"), candidates, "d long, xh long, at int, m int, seed long, ctx long, said binary")
+    found = scratch(maybe if fits else maybe.join(twice.select("seed"), "seed", "left_semi").select(maybe.columns))
     distinct = scratch(found.groupBy("seed", "ctx").agg(F.min(F.struct("d", "xh", "at")).alias("first"), F.min("m").alias("m"), F.min("said").alias("said")))
     many = distinct.where("said is not null").groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
-    shared = distinct.join(many, "seed")
+    salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = distinct.where("said is not null").withColumn("salt", F.pmod("ctx", F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"]).drop("salt")
     cold = shared.where(F.col("n") <= HOT).select("seed", "ctx", "said", "first").repartition("seed").sortWithinPartitions("seed", "first").select("seed", "ctx", "said")
     by_automaton = arrow_map(cold, _match, "seed long, ctx long, mask long")
     said = F.split(F.col("said").cast("string"), r"[\x20\x09-\x0D]+")
@@ -269,7 +277,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = some.join(_repeats(some), ["d", "xh"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
+        for b in byte_slices(batches, 1, rows=256):
             rows = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 w, gone = words(text), 0

@@ -166,6 +166,39 @@ def test_language(spark, awkward, empty):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_language_is_naive_bayes(spark):
+    """Against a plain naive Bayes over dictionaries of hashed n-grams."""
+    import math
+
+    rng = random.Random(21)
+    kinds = {"en": "abcdefgh", "de": "efghijäö", "fr": "abhijklé"}
+    rows = [(i, " ".join("".join(rng.choices(kinds[lang], k=rng.randint(1, 6))) for _ in range(rng.randint(1, 12))) + rng.choice(["", " 12!", "Z"]), lang) for i, lang in enumerate(list(kinds) * 40)]
+    counts, docs = {}, {}
+    fold = langid._folding()
+    grams = lambda t: langid.bins(langid.letters(t, fold)).tolist()
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            docs[lang] = docs.get(lang, 0) + 1
+            for g in grams(t):
+                counts.setdefault(lang, {})[g] = counts.get(lang, {}).get(g, 0) + 1
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        log = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + langid.SMOOTHING * langid.BINS
+            log[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((own.get(g, 0) + langid.SMOOTHING) / total) for g in grams(t))
+        best = max(sorted(log), key=log.get)
+        assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(math.exp(x - log[best]) for x in log.values())) < 1e-4
+
+def test_long_texts_are_counted_once(monkeypatch):
+    """Texts beyond a chunk have the bins of the whole."""
+    fold, text = langid._folding(), "äbc" * 5000
+    want = np.unique(langid.bins(langid.letters(text, fold)), return_counts=True)
+    monkeypatch.setattr(langid, "CHUNK", 1000)
+    assert all((a == b).all() for a, b in zip(langid.bin_counts(text, fold), want))
+
+
+
 def greedy(p, t, least):
     fp, ft, out = [True] * len(p), [True] * len(t), 0
     while True:
@@ -329,9 +362,11 @@ def test_quality_of_scripts_without_case(spark):
 
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_substrings(spark, awkward, empty, hot, monkeypatch):
+@pytest.mark.parametrize("hot, bits", [(512, 28), (1, 28), (512, 1)])
+def test_substrings(spark, awkward, empty, hot, bits, monkeypatch):
+    """By automata, by windows of hot seeds, and with more seeds than a filter may hold."""
     monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "MOST_BITS", bits)
     rng = random.Random(6)
     passage = [f"p{i}" for i in range(45)]
     rows = [(300 + i, " ".join([f"u{rng.randint(0, 999)}" for _ in range(rng.randint(0, 30))] + passage[rng.randint(0, 20) : rng.randint(21, 45)] + ["z"] * rng.randint(0, 50))) for i in range(60)]
