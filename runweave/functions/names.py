@@ -71,14 +71,25 @@ def run_status(code: Column, timed_out: Column, timed: Column) -> Column:
     return F.when(timed_out, "timeout").when(~timed, "timing_error").when(code == 0, "ok").otherwise("failed")
 
 
-def run_key(path: Column) -> Column:
-    """Struct (dataset, method, k, n, type) of a runs file's path; a path of another form raises an error."""
-    form = r"^(?:.*/)?(.+)_([^_]+)_k(\d+)_N(\d+)_([^_.]+)[.]runs$"
+def run_key(path: Column, types: tuple[str, ...] = ("kmer", "unitig", "uniqrow"), methods: tuple[str, ...] = ("optimal", "worst", "nj", "upgma", "randomized")) -> Column:
+    """Struct (dataset, method, k, n, type) of a runs file's path.
+
+    A path of another form, or with a method or weighting that isn't known, raises an error.
+    """
+    form = rf"^(?:.*/)?(.+)_({'|'.join(methods)})_k(\d+)_N(\d+)_({'|'.join(types)})[.]runs$"
     part = lambda i: F.regexp_extract(path, form, i)
     checked = F.when(path.rlike(form), part(1)).otherwise(F.raise_error(F.concat(F.lit("not a runs file: "), path)).cast("string"))
     return F.struct(checked.alias("dataset"), part(2).alias("method"), part(3).cast("int").alias("k"), part(4).cast("int").alias("n"), part(5).alias("type"))
 
 
 def leaves(newick: Column) -> Column:
-    """Leaf names of a Newick tree from left to right."""
-    return F.regexp_extract_all(newick, F.lit(r"[(,]\s*([^():,;\s]+)\s*:"), F.lit(1))
+    """Leaf names of a Newick tree from left to right.
+
+    The text is parted at commas; of each part, what follows its last opening bracket and stands before a colon is a leaf.
+    A tree without a leaf, or with one called like the join of trees, raises an error.
+    """
+    pieces = F.transform(F.split(newick, ","), lambda x: F.substring_index(F.split_part(x, F.lit(")"), F.lit(1)), "(", -1))
+    found = F.transform(F.filter(pieces, lambda x: x.contains(":")), lambda x: stripped(F.split_part(x, F.lit(":"), F.lit(1))))
+    named = F.filter(found, lambda x: x != "")
+    sound = (F.size(named) > 0) & ~F.array_contains(named, "merge_root")
+    return F.when(sound, named).otherwise(F.raise_error(F.concat(F.lit("no leaves, or a leaf named merge_root: "), F.left(newick, F.lit(80)))).cast("array<string>"))

@@ -126,21 +126,22 @@ def distances_blocks(sets: DataFrame, colors: DataFrame, n: int) -> DataFrame:
     return _assembled(colors, margins, summed.where("i < j"), None)
 
 
-def distances_xor(sets: DataFrame, colors: DataFrame) -> DataFrame:
-    """(i, j, type, dist) row by row: every pair of columns against every distinct row. For few columns, and as a check."""
+def distances_xor(sets: DataFrame, colors: DataFrame, n: int) -> DataFrame:
+    """(i, j, type, dist) row by row: a distinct row makes the pairs of columns in which its bits differ, and no others."""
     a, b = colors.select(F.col("color").alias("i")), colors.select(F.col("color").alias("j"))
-    pairs = a.join(b, F.col("i") < F.col("j"))
-    apart = F.array_contains("colors", F.col("i")) != F.array_contains("colors", F.col("j"))
-    sums = sets.withColumn("one", F.lit(1)).crossJoin(pairs).groupBy("i", "j").agg(*[F.sum(F.when(apart, F.col(w)).otherwise(0)).cast("long").alias(t) for w, t in zip(("w_unitig", "w_kmer", "one"), TYPES)])
-    return sums.unpivot(["i", "j"], list(TYPES), "type", "dist")
+    sums = a.join(b, F.col("i") < F.col("j")).join(differences(sets, n), ["i", "j"], "left")
+    return sums.select("i", "j", *[F.coalesce(f"d_{t}", F.lit(0)).alias(t) for t in TYPES]).unpivot(["i", "j"], list(TYPES), "type", "dist")
 
 
 def bit_matrix_hamming(bits: DataFrame) -> DataFrame:
-    """(i, j, dist): differing rows of each pair of columns of (row_id, bits), without weights."""
-    spread = bits.groupBy("bits").agg(F.count("*").alias("n")).select("n", F.split("bits", "").alias("b"))
-    left = spread.select("n", "b", F.posexplode("b").alias("i", "x"))
-    pairs = left.select("n", "i", "x", F.posexplode("b").alias("j", "y")).where("i < j")
-    return pairs.groupBy("i", "j").agg(F.sum(F.when(F.col("x") != F.col("y"), F.col("n")).otherwise(0)).cast("long").alias("dist"))
+    """(i, j, dist): differing rows of each pair of columns of (row_id, bits), without weights.
+
+    By marginals and co-occurrence of the ones, so that a row makes pairs of its ones only.
+    """
+    ones = F.filter(F.transform(F.split("bits", ""), lambda x, p: F.when(x == "1", p)), lambda p: p.isNotNull())
+    sets = bits.groupBy("bits").agg(F.count("*").alias("w_unitig")).select(ones.alias("colors"), "w_unitig", F.lit(0).cast("long").alias("w_kmer"))
+    columns = bits.agg(F.max(F.length("bits")).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("color"), F.lit("").alias("name"))
+    return distances_identity(sets, columns).where("type = 'unitig'").select("i", "j", "dist")
 
 
 def row_modes(sets: DataFrame, n: int) -> DataFrame:

@@ -1,21 +1,16 @@
-"""Column orders: shortest and longest paths, trees, and the algebra of TSP instances.
+"""The algebra of TSP instances: inverted and scaled distances, padded matrices, tours back to names.
 
-Solvers work on one matrix of distances at a time, whose side is a number of columns: Spark groups the matrices of
-different weightings and solves them side by side.
+Tours and trees come from outside programs, whose files the readers parse; no solver runs here.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the export format: the city that turns a cycle to a path, nodes below which padding is added, how many
 #: copies are added, and the largest weight.
 DUMMY, SMALL, COPIES, LARGEST = "_DUMMY_CITY_SEPARATOR_", 35, 35, 10000
-#: Columns up to which paths are solved exactly.
-EXACT = 12
 
 
 def inverted(dists: DataFrame, by: list[str]) -> DataFrame:
@@ -51,166 +46,12 @@ def instance_rows(dists: DataFrame) -> DataFrame:
     return cells.groupBy("pa", "key").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["w"]).alias("weights")).withColumnRenamed("pa", "pos")
 
 
+def checked_tour(dim: Column, tour: Column, keys: Column) -> Column:
+    """The tour, if it is a permutation of `dim` nodes from the dummy on and there are as many keys; else an error."""
+    sound = (F.size(tour) == dim) & (F.size(keys) == dim) & (F.array_sort(tour) == F.sequence(F.lit(0), dim - 1)) & (F.element_at(keys, tour[0] + 1) == DUMMY)
+    return F.when(sound, tour).otherwise(F.raise_error(F.concat(F.lit("no tour from the dummy through all nodes of dimension "), dim.cast("string"))).cast("array<int>"))
+
+
 def decoded_tour(tour: Column, keys: Column) -> Column:
     """Names of a tour in order: dummies go, of repeated names the first stays."""
     return F.array_distinct(F.filter(F.transform(tour, lambda i: F.element_at(keys, i + 1)), lambda k: ~k.startswith("_DUMMY_")))
-
-
-def path_cost(d: np.ndarray, order: list[int]) -> int:
-    return int(sum(d[a, b] for a, b in zip(order, order[1:])))
-
-
-def exact_path(d: np.ndarray) -> list[int]:
-    """A shortest open path, by dynamic programming over sets of columns."""
-    n = len(d)
-    if n < 2:
-        return list(range(n))
-    cost = np.full((1 << n, n), np.iinfo(np.int64).max // 4, np.int64)
-    back = np.full((1 << n, n), -1, np.int16)
-    for i in range(n):
-        cost[1 << i, i] = 0
-    for s in range(1, 1 << n):
-        for i in range(n):
-            if s >> i & 1 and s != 1 << i:
-                before = cost[s ^ (1 << i)] + d[:, i]
-                back[s, i] = k = int(before.argmin())
-                cost[s, i] = before[k]
-    s, i = (1 << n) - 1, int(cost[-1].argmin())
-    out = []
-    while i >= 0:
-        out.append(i)
-        s, i = s ^ (1 << i), int(back[s, i])
-    return out[::-1]
-
-
-def heuristic_path(d: np.ndarray, rounds: int = 40) -> list[int]:
-    """A short open path: nearest neighbours, then reversals of stretches and moves of single columns while they help."""
-    n = len(d)
-    left, order = set(range(1, n)), [0] if n else []
-    while left:
-        last = order[-1]
-        nxt = min(left, key=lambda j: (d[last, j], j))
-        order.append(nxt)
-        left.remove(nxt)
-    o = np.array(order, int)
-    for _ in range(rounds):
-        better = False
-        for i in range(n - 1):
-            before = d[o[i - 1], o[i]] if i else 0
-            ends = o[i + 1 :]
-            after = np.r_[d[ends[:-1], ends[1:]], 0]
-            gain = before + after - (d[o[i - 1], ends] if i else 0) - np.r_[d[o[i], ends[1:]], 0]
-            j = int(gain.argmax())
-            if gain[j] > 0:
-                o[i : i + j + 2] = o[i : i + j + 2][::-1].copy()
-                better = True
-        for i in range(n):
-            x, rest = o[i], np.delete(o, i)
-            gap = d[rest[:-1], rest[1:]]
-            cost = np.r_[d[x, rest[0]], d[rest[:-1], x] + d[x, rest[1:]] - gap, d[rest[-1], x]] if n > 1 else np.zeros(1)
-            j = int(cost.argmin())
-            if path_cost(d, list(np.insert(rest, j, x))) < path_cost(d, list(o)):
-                o = np.insert(rest, j, x)
-                better = True
-        if not better:
-            break
-    return [int(x) for x in o]
-
-
-def tree_bound(d: np.ndarray) -> int:
-    """Weight of a minimum spanning tree: no open path is shorter."""
-    n = len(d)
-    if n < 2:
-        return 0
-    best, inside, total = d[0].astype(np.int64).copy(), np.zeros(n, bool), 0
-    inside[0] = True
-    for _ in range(n - 1):
-        i = int(np.where(inside, np.iinfo(np.int64).max, best).argmin())
-        total += int(best[i])
-        inside[i] = True
-        best = np.minimum(best, d[i])
-    return total
-
-
-def upgma(d: np.ndarray, names: list[str]) -> str:
-    """Newick tree of average linkage; of equally near pairs the first in order is joined."""
-    if len(names) == 1:
-        return f"({names[0]}:0);"
-    d = d.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    nodes = [(n, 1, 0.0) for n in names]
-    alive = list(range(len(names)))
-    while len(alive) > 1:
-        sub = d[np.ix_(alive, alive)]
-        a, b = divmod(int(sub.argmin()), len(alive))
-        i, j = sorted((alive[a], alive[b]))
-        h = d[i, j] / 2
-        (ti, ni, hi), (tj, nj, hj) = nodes[i], nodes[j]
-        nodes[i] = (f"({ti}:{h - hi:.6g},{tj}:{h - hj:.6g})", ni + nj, h)
-        d[i, :] = d[:, i] = (d[i] * ni + d[j] * nj) / (ni + nj)
-        d[i, i] = np.inf
-        alive.remove(j)
-    return nodes[alive[0]][0] + ";"
-
-
-def neighbour_joining(d: np.ndarray, names: list[str]) -> str:
-    """Newick tree of neighbour joining; of equally good pairs the first in order is joined."""
-    if len(names) == 1:
-        return f"({names[0]}:0);"
-    d, text, alive = d.astype(float).copy(), list(names), list(range(len(names)))
-    while len(alive) > 2:
-        m = len(alive)
-        sub = d[np.ix_(alive, alive)]
-        r = sub.sum(axis=1)
-        q = (m - 2) * sub - r[:, None] - r[None, :]
-        np.fill_diagonal(q, np.inf)
-        a, b = divmod(int(q.argmin()), m)
-        i, j = alive[a], alive[b]
-        li = d[i, j] / 2 + (r[a] - r[b]) / (2 * (m - 2))
-        text[i] = f"({text[i]}:{li:.6g},{text[j]}:{d[i, j] - li:.6g})"
-        new = (d[i] + d[j] - d[i, j]) / 2
-        d[i, :] = d[:, i] = new
-        d[i, i] = 0
-        alive.remove(j)
-    i, j = alive
-    return f"({text[i]}:{d[i, j]:.6g},{text[j]}:0);"
-
-
-def _matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names in order and the symmetric matrix of a group's pairs."""
-    names = sorted({*pdf.name_i, *pdf.name_j})
-    at = {x: i for i, x in enumerate(names)}
-    d = np.zeros((len(names),) * 2, np.int64)
-    i, j = pdf.name_i.map(at), pdf.name_j.map(at)
-    d[i, j] = d[j, i] = pdf.dist
-    return names, d
-
-
-def path_orders(dists: DataFrame, longest: bool = False) -> DataFrame:
-    """(type, pos, name, cost, bound, is_exact): an open path through all columns, one for each weighting.
-
-    Up to EXACT columns it is a shortest one (a longest, if asked), else a heuristic; bound is a spanning tree's weight
-    below which no path on the distances that were used can be.
-    """
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, d = _matrix(pdf)
-        used = d.max() - d if longest else d
-        used = used.copy()
-        np.fill_diagonal(used, 0)
-        exact = len(names) <= EXACT
-        order = exact_path(used) if exact else heuristic_path(used)
-        return pd.DataFrame({"type": key[0], "pos": range(len(names)), "name": [names[i] for i in order], "cost": path_cost(d, order), "bound": tree_bound(used), "is_exact": exact})
-
-    return dists.groupBy("type").applyInPandas(solve, "type string, pos int, name string, cost long, bound long, is_exact boolean")
-
-
-def tree_orders(dists: DataFrame, method: str) -> DataFrame:
-    """(type, tree): Newick tree of each weighting, by `nj` or `upgma`."""
-    grow = {"nj": neighbour_joining, "upgma": upgma}[method]
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, d = _matrix(pdf)
-        return pd.DataFrame({"type": [key[0]], "tree": [grow(d, names)]})
-
-    return dists.groupBy("type").applyInPandas(solve, "type string, tree string")

@@ -32,3 +32,13 @@ def timing_summary(runs: DataFrame) -> DataFrame:
 def first_lines(lines: DataFrame) -> DataFrame:
     """(value, pos): repeated lines go, the first stays in its place."""
     return lines.groupBy("value").agg(F.min("pos").alias("pos"))
+
+
+def collected_timings(lines: DataFrame) -> DataFrame:
+    """(part, value): the distinct lines of all timing tables, the header as part 0 and all others as part 1, in this order.
+
+    lines: (path, pos, value). The header is the first line of the first path.
+    """
+    header = lines.agg(F.min_by("value", F.struct("path", "pos")).alias("header"))
+    parted = lines.select("value").distinct().crossJoin(F.broadcast(header)).select((F.col("value") != F.col("header")).cast("int").alias("part"), "value")
+    return parted.orderBy("part", "value")

@@ -1,44 +1,37 @@
-"""From an incidence table to scored column orders, as one plan."""
+"""From an incidence table and given column orders to scores, as one plan."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import leaves
-from ..operators import evaluate, matrix, orders, sampling
+from ..operators import evaluate, matrix
 from .config import Config
 
 
-def tree_leaves(trees: DataFrame, method: str) -> DataFrame:
-    """(key, pos, name, type) of the leaves of (type, tree)."""
-    return trees.select(F.lit(method).alias("key"), F.posexplode(leaves(F.col("tree"))).alias("pos", "name"), "type")
+def tree_orders(trees: DataFrame, method: str) -> DataFrame:
+    """(method, type, pos, name): the leaves of (type, tree), of a tree that an outside program built."""
+    return trees.select(F.lit(method).alias("method"), "type", F.posexplode(leaves(F.col("tree"))).alias("pos", "name"))
+
+
+def tour_orders(tours: DataFrame, method: str) -> DataFrame:
+    """(method, type, pos, name): the names of (type, names), of a decoded tour that an outside solver found."""
+    return tours.select(F.lit(method).alias("method"), "type", F.posexplode("names").alias("pos", "name"))
 
 
-def scored_orders(incidence: DataFrame, lengths: DataFrame, colors: DataFrame, config: Config, k: int) -> DataFrame:
-    """(method, type, n_bit_changes, n_runs, n_cylinder_runs) of each enabled method and weighting.
+def scored_orders(incidence: DataFrame, lengths: DataFrame, colors: DataFrame, orders: DataFrame, config: Config, k: int, n: int) -> DataFrame:
+    """(method, type, n_bit_changes, n_runs, n_cylinder_runs) of each given order of an enabled method and weighting.
 
-    incidence: (row_id, color); lengths: (row_id, seq_len); colors: (color, name), color from 0.
+    incidence: (row_id, color); lengths: (row_id, seq_len); colors: n rows (color, name), color from 0; orders: (method,
+    type, pos, name). A single column has one order, without changes. Nothing runs before the result is asked for.
     """
-    n = colors.count()
-    if n < 2:  # a single column has one order, whatever the method
-        rows = matrix.row_counts(matrix.weighted_sets(matrix.row_sets(incidence), lengths, k)).where(F.col("type").isin(config.on_matrices))
-        methods = F.explode(F.array(*map(F.lit, config.on_methods))).alias("method")
-        zero = F.lit(0).cast("long")
-        return rows.select(methods, "type", zero.alias("n_bit_changes"), F.col("num_rows").alias("n_runs"), zero.alias("n_cylinder_runs"))
+    chosen = orders.where(F.col("method").isin(config.on_methods) & F.col("type").isin(config.on_matrices))
     sets = matrix.weighted_sets(matrix.row_sets(incidence), lengths, k)
-    dists = matrix.distances_hybrid(sets, colors, n).where(F.col("type").isin(config.on_matrices)).cache()
     rows = matrix.row_counts(sets)
-    found = []
-    for method in config.on_methods:
-        if method == "random":
-            found.append(sampling.random_order(colors, "name", config.random_seed).crossJoin(dists.select("type").distinct()).select(F.lit(method).alias("key"), "pos", "name", "type"))
-        elif method in ("best", "worst"):
-            found.append(orders.path_orders(dists, method == "worst").select(F.lit(method).alias("key"), "pos", "name", "type"))
-        else:
-            found.append(tree_leaves(orders.tree_orders(dists, method), method))
-    every = reduce(DataFrame.unionByName, found).withColumn("key", F.concat_ws("/", "key", "type"))
-    scored = evaluate.order_runs(every.select("key", "pos", "name"), dists, rows)
+    if n < 2:
+        zero = F.lit(0).cast("long")
+        return chosen.select("method", "type").distinct().join(rows, "type").select("method", "type", zero.alias("n_bit_changes"), F.col("num_rows").alias("n_runs"), zero.alias("n_cylinder_runs"))
+    keyed = chosen.select(F.concat_ws("/", "method", "type").alias("key"), "pos", "name")
+    scored = evaluate.order_runs(keyed, matrix.distances_hybrid(sets, colors, n), rows)
     return scored.where(F.substring_index("key", "/", -1) == F.col("type")).select(F.substring_index("key", "/", 1).alias("method"), "type", "n_bit_changes", "n_runs", "n_cylinder_runs")

@@ -1,54 +1,83 @@
-"""Configuration: checked options and the plan of all runs."""
+"""Configuration: a table of options with defaults and rules, and the plan of all runs."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Fixed values of the format: weightings and methods, in the order in which runs are planned.
 MATRICES = ("kmer", "unitig", "uniqrow")
-METHODS = ("nj", "upgma", "best", "worst", "random")
+METHODS = ("optimal", "worst", "nj", "upgma", "randomized")
 
 
-def enabled(given: dict, known: tuple[str, ...], what: str) -> list[str]:
-    """Names that are switched on, in the order of `known`; unknown names, other types and none at all raise ValueError."""
-    if not isinstance(given, dict):
-        raise ValueError(f"{what} must be a mapping")
-    if unknown := sorted(set(given) - set(known)):
-        raise ValueError(f"unknown {what}: {', '.join(unknown)}")
-    if any(not isinstance(v, bool) for v in given.values()):
-        raise ValueError(f"{what} must be true or false")
-    if not (on := [k for k in known if given.get(k, False)]):
-        raise ValueError(f"no {what} is enabled")
-    return on
+@dataclass(frozen=True)
+class Option:
+    """A default, and a rule that names the fault of a value, or gives None."""
 
+    default: object
+    fault: Callable[[object], str | None]
 
-def whole_number(value, what: str, least: int = 0) -> int:
-    """A whole number of at least `least`; booleans are none."""
-    if isinstance(value, bool) or not isinstance(value, int) or value < least:
-        raise ValueError(f"{what} must be a whole number of {least} or more")
-    return value
 
+def whole(least: int | None = None) -> Callable[[object], str | None]:
+    """Whole numbers, from `least` on; True and False are none."""
+    return lambda v: None if type(v) is int and (least is None or v >= least) else f"is no whole number{'' if least is None else f' of {least} or more'}: {v!r}"
 
-@dataclass
-class Config:
-    """Options of a run over all datasets."""
 
-    kmer_sizes: list[int] = field(default_factory=lambda: [31])
-    random_seed: int = 42
-    sampling_steps: int = 0
-    matrices: dict = field(default_factory=lambda: dict.fromkeys(MATRICES, True))
-    outputs: dict = field(default_factory=lambda: dict.fromkeys(METHODS, True) | {"worst": False})
-    sketch_k: int = 21
-    sketch_size: int = 10000
+def several(one: Callable[[object], str | None]) -> Callable[[object], str | None]:
+    """Lists, not empty, of values under one rule."""
+    return lambda v: "is no list of values" if not isinstance(v, list) or not v else next((f"holds a value that {f}" for x in v if (f := one(x))), None)
 
-    def __post_init__(self):
-        self.kmer_sizes = [whole_number(k, "k", 3) for k in self.kmer_sizes]
-        self.random_seed, self.sampling_steps = whole_number(self.random_seed, "random_seed"), whole_number(self.sampling_steps, "sampling_steps")
-        self.on_matrices, self.on_methods = enabled(self.matrices, MATRICES, "matrices"), enabled(self.outputs, METHODS, "outputs")
+
+def switches(*known: str) -> Callable[[object], str | None]:
+    """Mappings of known names to true or false that leave one of the names on, those not given being on."""
+
+    def fault(v: object) -> str | None:
+        if not isinstance(v, dict):
+            return "is no mapping"
+        strange = [k for k in v if k not in known]
+        odd = [k for k in v if not isinstance(v[k], bool)]
+        if strange or odd:
+            return f"has unknown names {sorted(map(str, strange))} or values beside true and false {sorted(map(str, odd))}"
+        return None if any(v.get(k, True) for k in known) else "switches everything off"
+
+    return fault
+
+
+OPTIONS = {
+    "kmer_sizes": Option([31], several(whole(3))),
+    "random_seed": Option(1, whole()),
+    "sampling_steps": Option(0, whole(0)),
+    "matrices": Option({}, switches(*MATRICES)),
+    "outputs": Option({}, switches(*METHODS)),
+    "sketch_k": Option(31, whole(1)),
+    "sketch_size": Option(10000, whole(1)),
+}
+
+
+class Config(SimpleNamespace):
+    """Options of a run over all datasets: those given, the others by default. All faults are told in one ValueError."""
+
+    def __init__(self, **given):
+        faults = [f"unknown option {k}" for k in given if k not in OPTIONS]
+        values = {k: given.get(k, o.default) for k, o in OPTIONS.items()}
+        faults += [f"{k} {f}" for k, v in values.items() if (f := OPTIONS[k].fault(v))]
+        if faults:
+            raise ValueError("; ".join(faults))
+        super().__init__(**values)
+
+    @property
+    def on_matrices(self) -> list[str]:
+        return [m for m in MATRICES if self.matrices.get(m, True)]
+
+    @property
+    def on_methods(self) -> list[str]:
+        return [m for m in METHODS if self.outputs.get(m, True)]
 
 
 def planned_runs(spark: SparkSession, config: Config, sizes: DataFrame) -> DataFrame:
-    """(dataset, n, k, method, type): every combination that is enabled; sizes: (dataset, n)."""
+    """(dataset, n, k, method, type): every combination that is enabled; sizes: (dataset, n). Options are few."""
     one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], c)
     return sizes.crossJoin(one(config.kmer_sizes, "k int")).crossJoin(one(config.on_methods, "method string")).crossJoin(one(config.on_matrices, "type string"))

@@ -7,13 +7,16 @@ sells the part; a row's sequence length is its number of line items. All 25 nati
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names as N
 from .operators import evaluate, fragments, matrix, orders, reports, sampling
+from .plans import analysis
 from .plans import config as C
+from .sources import readers, writers
 
 K, SEED, COLUMNS = 31, 42, 25
 
@@ -133,12 +136,13 @@ def distance_suppliers(spark, d):
 
 
 def distance_xor(spark, d):
-    return matrix.distances_xor(_sets(spark, d), _colors(spark, d))
+    return matrix.distances_xor(_sets(spark, d), _colors(spark, d), COLUMNS)
 
 
 def bit_matrix_hamming(spark, d):
-    bits = matrix.row_sets(_incidence(spark, d)).select("row_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda c: F.when(F.array_contains("colors", c), "1").otherwise("0")), "").alias("bits"))
-    return matrix.bit_matrix_hamming(bits)
+    """A text matrix with a header, written from the incidence table and read back."""
+    rows = matrix.row_sets(_incidence(spark, d))
+    return matrix.bit_matrix_hamming(readers.parsed_bits(writers.bit_matrix_lines(rows, [f"c{i}" for i in range(COLUMNS)])))
 
 
 def _foreign_pairs(spark, d) -> DataFrame:
@@ -150,9 +154,7 @@ def _foreign_pairs(spark, d) -> DataFrame:
 
 
 def pair_normalise(spark, d):
-    from .sources.readers import normalised_pairs
-
-    return normalised_pairs(_foreign_pairs(spark, d))
+    return readers.normalised_pairs(_foreign_pairs(spark, d))
 
 
 def selected_distances(spark, d):
@@ -192,8 +194,6 @@ def newick_leaf_order(spark, d):
 def _orders(spark, d) -> DataFrame:
     """Three orders of the columns: by name, by key and shuffled."""
     c = _colors(spark, d)
-    from pyspark.sql import Window
-
     rank = lambda key, *by: c.select(F.lit(key).alias("key"), (F.row_number().over(Window.orderBy(*by)) - 1).alias("pos"), "name")
     return rank("name", "name").union(rank("color", "color")).union(rank("random", sampling.seeded_key(SEED, F.col("name"))))
 
@@ -213,49 +213,126 @@ def order_validation(spark, d):
     return evaluate.order_checks(ordered, 4)
 
 
-def _region_dists(spark, d) -> DataFrame:
-    sold = _t(spark, d, "lineitem").where("l_linenumber <= 1").select(F.col("l_partkey").alias("row_id"), "l_suppkey")
-    sold = sold.join(_t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
-    sets = matrix.weighted_sets(matrix.row_sets(sold.select("row_id", F.col("n_regionkey").alias("color"))), _lengths(spark, d), K)
-    return matrix.distances_identity(sets, _t(spark, d, "region").select(F.col("r_regionkey").alias("color"), F.col("r_name").alias("name")))
+def scored_orders(spark, d):
+    """Four orders under each weighting, as outside programs might give them; the configuration leaves `worst` out."""
+    given = {"nj": ("name",), "optimal": ("color",), "worst": ("name",), "randomized": (sampling.seeded_key(SEED, F.col("name")),)}
+    at = lambda by: F.row_number().over(Window.orderBy(*by)) - 1
+    ranked = reduce(DataFrame.union, [_colors(spark, d).select(F.lit(m).alias("method"), at(by).alias("pos"), "name") for m, by in given.items()])
+    every = ranked.select("method", F.explode(F.array(*map(F.lit, C.MATRICES))).alias("type"), "pos", "name")
+    return analysis.scored_orders(_incidence(spark, d), _lengths(spark, d), _colors(spark, d), every, C.Config(outputs={"worst": False}), K, COLUMNS)
 
 
-def best_path_small(spark, d):
-    return orders.path_orders(_region_dists(spark, d)).select("type", "cost").distinct()
+# --- files: lines made of the tables by the writers, and read back by the parsers ------------------------------------
 
 
-def worst_path_small(spark, d):
-    return orders.path_orders(_region_dists(spark, d), longest=True).select("type", "cost").distinct()
+def _lines(df: DataFrame, path, pos, value) -> DataFrame:
+    return df.select(path.alias("path"), F.lit(0).cast("long").alias("block"), pos.alias("pos"), value.alias("value"))
 
 
-def heuristic_order(spark, d):
-    return orders.path_orders(_dists(spark, d))
+def _customer_sets(spark, d) -> DataFrame:
+    """(color_set_id, colors) of the lines of a dump: a set for each customer."""
+    own = F.array(F.col("c_nationkey"), (F.col("c_nationkey") * 7 + 3) % COLUMNS)
+    lines = _lines(_t(spark, d, "customer"), F.lit("dump"), F.col("c_custkey"), writers.color_set_line(F.col("c_custkey"), own))
+    return readers.parsed_color_sets(lines, COLUMNS)
 
 
-def worst_order(spark, d):
-    return orders.path_orders(_dists(spark, d), longest=True)
+def manifest_colors(spark, d):
+    """Manifests of the nations' suppliers, with comments and blank lines between."""
+    key = F.col("s_suppkey")
+    line = F.when(key % 7 == 0, "# left out").when(key % 11 == 0, "  ").otherwise(F.concat(F.lit("/data/"), "s_name", F.lit(".fa.gz")))
+    return readers.colors(_t(spark, d, "supplier").select(F.concat(F.lit("set_"), F.col("s_nationkey").cast("string")).alias("dataset"), key.alias("pos"), line.alias("line")))
 
 
-def nj_order(spark, d):
-    return orders.tree_orders(_dists(spark, d), "nj").select("type", F.posexplode(N.leaves(F.col("tree"))).alias("pos", "name"))
+def common_parents(spark, d):
+    """The deepest folder that holds all pages of hosts with one first label."""
+    folder = F.concat(F.lit("/"), F.regexp_extract("url", "://(.*)/[^/]*$", 1))
+    return _t(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^./]*)", 1).alias("label")).agg(F.coalesce(readers.common_parent(folder), F.lit("")).alias("dataset"))
 
 
-def upgma_order(spark, d):
-    return orders.tree_orders(_dists(spark, d), "upgma").select("type", F.posexplode(N.leaves(F.col("tree"))).alias("pos", "name"))
+def color_set_dump(spark, d):
+    return _customer_sets(spark, d).select("color_set_id", _joined())
 
 
-def scored_orders(spark, d):
-    from .plans.analysis import scored_orders as plan
+def dump_weights(spark, d):
+    """Weights of a dump whose unitigs are the orders, as wrapped FASTA records."""
+    seq = F.repeat(F.lit("ACGT"), (F.lit(5) + F.col("o_orderkey") % 23).cast("int"))
+    records = writers.unitig_records(_t(spark, d, "orders").select(F.col("o_orderkey").alias("unitig_id"), F.col("o_custkey").alias("color_set_id"), seq.alias("sequence")))
+    return matrix.dump_weights(_customer_sets(spark, d), readers.parsed_unitigs(records), K).select("color_set_id", _joined(), "w_unitig", "w_kmer")
+
+
+def metadata_kmers(spark, d):
+    """Metadata lines of a dump, and the line of k-mers that was missing."""
+    n = _t(spark, d, "lineitem").agg(F.count("*").alias("u"), F.countDistinct("l_partkey").alias("c"))
+    lines = n.select(F.explode(F.array(F.concat(F.lit("num_unitigs="), F.col("u")), F.concat(F.lit("num_color_sets="), F.col("c")), F.lit("a note"))).alias("value"))
+    return writers.metadata_with_kmers(readers.parsed_metadata(lines), _sets(spark, d).agg(F.sum("w_kmer").alias("n_kmers")))
+
+
+def distance_table(spark, d):
+    """A distance table with every pair in both orientations, the later one larger, and each name with itself."""
+    dists = _dists(spark, d).where("type = 'kmer'")
+    back = dists.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("name_j").alias("name_i"), F.col("name_i").alias("name_j"), (F.col("dist") + 1).alias("dist"))
+    same = dists.select("i", F.col("i").alias("j"), "name_i", F.col("name_i").alias("name_j"), "dist")
+    parts = [writers.distance_lines(x).select(F.lit(n).alias("pos"), "value") for n, x in enumerate((dists.drop("type"), back, same))]
+    return readers.parsed_distances(reduce(DataFrame.union, parts))
+
+
+def tsplib_keys(spark, d):
+    """Keys of the instance that is written for the unitig distances."""
+    lines = writers.tsplib_lines(orders.instance_rows(_dists(spark, d).where("type = 'unitig'")))
+    return readers.parsed_keys(_lines(lines, F.lit("instance"), F.col("line"), F.col("value"))).select(F.posexplode("keys").alias("pos", "key"))
+
+
+def tour_files(spark, d):
+    """Tours through each order's suppliers, from the dummy on and backwards, as texts of tour files."""
+    listed = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    n = F.size("s")
+    text = F.concat((n + 1).cast("string"), F.lit("\n0 "), F.array_join(F.transform(F.reverse(F.sequence(F.lit(1), n)), lambda i: i.cast("string")), " "), F.lit("\n"))
+    keys = listed.select("path", F.concat(F.array(F.lit(orders.DUMMY)), F.transform("s", lambda x: F.concat(F.lit("S"), x.cast("string")))).alias("keys"))
+    tours = readers.parsed_tours(listed.select("path", text.alias("value"))).join(keys, "path")
+    names = orders.decoded_tour(orders.checked_tour(F.col("dim"), F.col("tour"), F.col("keys")), F.col("keys"))
+    return tours.select(F.col("path").cast("long").alias("l_orderkey"), F.array_join(names, " ").alias("names"))
+
 
-    return plan(_incidence(spark, d), _lengths(spark, d), _colors(spark, d), C.Config(), K)
+def order_file(spark, d):
+    lines = writers.order_lines(_t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit(" /in/"), "c_name", F.lit(".fasta ")).alias("name")))
+    return readers.parsed_order(lines.select(F.regexp_extract("value", "([0-9]+)[.]fasta", 1).cast("long").alias("pos"), "value"))
+
+
+def _part_runs(spark, d) -> DataFrame:
+    """(path, n_bit_changes, n_runs, n_cylinder_runs): a runs file for each part, its numbers from its line items."""
+    of = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n_bit_changes"), F.countDistinct("l_suppkey").alias("n_runs"), F.countDistinct("l_orderkey").alias("n_cylinder_runs"))
+    path = F.concat(F.lit("10_runs/set_"), F.col("l_partkey").cast("string"), F.lit("_optimal_k31_N"), F.col("n_bit_changes").cast("string"), F.lit("_kmer.runs"))
+    return of.select(path.alias("path"), "n_bit_changes", "n_runs", "n_cylinder_runs")
+
+
+def runs_files(spark, d):
+    lines = writers.run_lines(_part_runs(spark, d)).select("path", F.concat_ws("\t", "key", F.col("value").cast("string")).alias("value"))
+    return readers.parsed_runs(lines)
+
+
+def timing_table(spark, d):
+    """Timing lines with a header; every fifth user is not known."""
+    names = ["experiment", "run", "user"]
+    rows = _t(spark, d, "events").select(F.col("event_type").alias("experiment"), F.col("event_id").alias("run"), F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("user"))
+    header = spark.createDataFrame([("\t".join(names),)], "value string")
+    return readers.parsed_timings(header.union(writers.timing_lines(rows, names)), names)
+
+
+def timing_collection(spark, d):
+    """Timing tables of each kind of event, all with the same header, put together."""
+    rows = _t(spark, d, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat_ws("\t", "event_type", F.col("user_id").cast("string")).alias("value"))
+    header = rows.select("path", F.lit(-1).cast("long").alias("pos"), F.lit("experiment\tuser").alias("value")).distinct()
+    return reports.collected_timings(header.union(rows))
+
+
+def vertical_statistics(spark, d):
+    of = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.max("c_custkey").alias("last"), F.max(F.when(F.col("c_custkey") % 9 == 0, F.col("c_name"))).alias("ninth"))
+    return writers.vertical(of, "nation")
 
 
 def runs_aggregate(spark, d):
-    """Runs files as lines: one file for each part, its numbers from its line items."""
-    of = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("a"), F.countDistinct("l_suppkey").alias("b"), F.countDistinct("l_orderkey").alias("c"))
-    path = F.concat(F.lit("10_runs/set_"), F.col("l_partkey").cast("string"), F.lit("_best_k31_N"), F.col("a").cast("string"), F.lit("_kmer.runs"))
-    lines = of.select(path.alias("path"), "a", "b", "c").select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("n_bit_changes", "a"), ("n_runs", "b"), ("n_cylinder_runs", "c"))])).alias("x")).select("path", "x.*")
-    return reports.final_runs(lines)
+    """Runs files as (path, key, value)."""
+    return reports.final_runs(writers.run_lines(_part_runs(spark, d)))
 
 
 def timing_summary(spark, d):
@@ -272,7 +349,7 @@ def timing_dedupe(spark, d):
 def timing_fields(spark, d):
     e = _t(spark, d, "events")
     code = (F.col("event_id") % 5 - 2).cast("int") * 9
-    return e.select("event_id", N.exit_code(code).alias("exit_code"), N.run_status(code, F.col("event_id") % 31 == 0, F.col("event_id") % 37 != 0).alias("status"), F.round(N.cpu_percent(F.col("user_id").cast("double"), F.col("value")), 6).alias("cpu_pct"), N.kilobytes(F.col("user_id") * 1000 + 500, F.when(F.col("event_id") % 2 == 0, "bytes").otherwise("kib")).alias("max_ram_kb"))
+    return e.select("event_id", N.exit_code(code).alias("exit_code"), N.run_status(code, F.col("event_id") % 31 == 0, F.col("event_id") % 37 != 0).alias("status"), F.round(N.cpu_percent(F.col("user_id").cast("double"), F.col("value")), 6).alias("cpu_pct"), N.percent_text(F.floor(F.col("value")).cast("double")).alias("cpu_text"), N.kilobytes(F.col("user_id") * 1000 + 500, F.when(F.col("event_id") % 2 == 0, "bytes").otherwise("kib")).alias("max_ram_kb"))
 
 
 def fasta_kmer_counts(spark, d):
@@ -281,11 +358,11 @@ def fasta_kmer_counts(spark, d):
 
 def config_product(spark, d):
     sizes = _t(spark, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"))
-    return C.planned_runs(spark, C.Config(kmer_sizes=[15, 31]), sizes)
+    return C.planned_runs(spark, C.Config(kmer_sizes=[15, 31], outputs={"worst": False}), sizes).withColumn("minimizer", N.minimizer_size(F.col("k")))
 
 
 def text_color_sets(spark, d):
-    found = fragments.fragment_sets(_t(spark, d, "documents"), fragments.text_shingles(F.col("text"), 5), "source")
+    found = fragments.fragment_sets(_t(spark, d, "documents"), fragments.text_shingles(F.col("text"), 5, joined=False), "source")
     return found.select(F.array_join("colors", " ").alias("colors"), "n_fragments")
 
 
@@ -295,12 +372,12 @@ def minhash_distance(spark, d):
 
 
 _ALL = (
-    canonical_names, manifest_clean, manifest_sizes, sample_sizes, seeded_selection, random_order, color_sets, color_sets_sparse,
-    color_set_weights, matrix_row_counts, marginals, cooccurrence, differences, row_mode_histogram, distance_identity,
-    distance_hybrid, distance_blocks, distance_suppliers, distance_xor, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
-    tsp_scale, tsp_matrix_rows, tour_decode, newick_leaf_order, order_runs, row_flip_count, order_validation, best_path_small,
-    worst_path_small, heuristic_order, worst_order, nj_order, upgma_order, scored_orders, runs_aggregate, timing_summary,
-    timing_dedupe, timing_fields, fasta_kmer_counts, config_product, text_color_sets, minhash_distance,
+    canonical_names, manifest_clean, manifest_sizes, manifest_colors, common_parents, sample_sizes, seeded_selection, random_order, color_sets, color_sets_sparse,
+    color_set_weights, color_set_dump, dump_weights, metadata_kmers, matrix_row_counts, marginals, cooccurrence, differences, row_mode_histogram, distance_identity,
+    distance_hybrid, distance_blocks, distance_suppliers, distance_xor, distance_table, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
+    tsp_scale, tsp_matrix_rows, tsplib_keys, tour_decode, tour_files, newick_leaf_order, order_file, order_runs, row_flip_count, order_validation, scored_orders,
+    runs_aggregate, runs_files, timing_summary, timing_dedupe, timing_fields, timing_table, timing_collection, vertical_statistics, fasta_kmer_counts, config_product,
+    text_color_sets, minhash_distance,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -326,15 +403,13 @@ _PAIR_SUMS = """sum(w_unitig)::bigint as {p}_unitig, sum(w_kmer)::bigint as {p}_
 _WORDS = "list_filter(string_split(text, ' '), lambda x: x <> '')"
 _SHINGLES = f"""w as (select source, {_WORDS} as w from documents where len({_WORDS}) >= 5),
 sh as (select distinct source, array_to_string(w[i:i + 4], ' ') as f from (select source, w, unnest(range(1, len(w) - 3)) as i from w))"""
-_SMALL = f"""inc as (select distinct l_partkey as row_id, n_regionkey as color from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_linenumber <= 1),
-len as (select l_partkey as row_id, count(*) as seq_len from lineitem group by 1),
-rws as (select row_id, list(color order by color) as colors from inc group by 1),
-sets as (select colors, count(*)::bigint as w_unitig, sum(greatest(seq_len - {K}, 0) + 1)::bigint as w_kmer, 1::bigint as w_uniqrow from rws join len using (row_id) group by 1),
-d as (select a.r_regionkey as i, b.r_regionkey as j, t.type, sum(case when list_contains(colors, a.r_regionkey) <> list_contains(colors, b.r_regionkey) then
-  case t.type when 'unitig' then w_unitig when 'kmer' then w_kmer else w_uniqrow end else 0 end)::bigint as dist
-  from region a, region b, sets, (select unnest(['unitig', 'kmer', 'uniqrow']) as type) t where a.r_regionkey <> b.r_regionkey group by all),
-paths as (select t.type, [r_regionkey] as p, r_regionkey as last, 0::bigint as cost from region, (select unnest(['unitig', 'kmer', 'uniqrow']) as type) t
-  union all select paths.type, list_append(p, d.j), d.j, cost + d.dist from paths join d on d.type = paths.type and d.i = last and not list_contains(p, d.j))"""
+_KEYS = f"""keys as (select 0 as pos, '{orders.DUMMY}' as key union all select row_number() over (order by n_name), n_name from nation
+  union all select {COLUMNS} + r.c, (select min(n_name) from nation) from range(1, {orders.COPIES + 1}) r(c) where {COLUMNS} < {orders.SMALL})"""
+_CSET = f"cset as (select c_custkey as id, list_sort(list_distinct([c_nationkey, (c_nationkey * 7 + 3) % {COLUMNS}])) as colors from customer)"
+_SCORES = """sym as (select name_i as x, name_j as y, type, dist from dists union all select name_j, name_i, type, dist from dists)
+select key as {key}, sym.type, sum(dist * path)::bigint as n_bit_changes, (sum(dist * path) + max(num_rows))::bigint as n_runs, sum(dist)::bigint as n_cylinder_runs
+from steps join sym on name = x and nxt = y join counts on counts.type = sym.type group by 1, 2"""
+_STEPS = "steps as (select key, name, lead(name) over (partition by key order by pos) as nxt, 1 as path from ord union all select key, arg_min(name, pos), arg_max(name, pos), 0 from ord group by key)"
 
 SQL: dict[str, str] = {
     "canonical_names": rf"""with p as (select url as path from pages union all select p_name from part),
@@ -384,24 +459,43 @@ select name_i, name_j, type, case when top > {orders.LARGEST} then greatest(1, r
     "tsp_matrix_rows": f"""with {_DIST}, u as (select name_i, name_j, dist, max(dist) over () as top from dists where type = 'unitig'),
 w as (select name_i, name_j, case when top > {orders.LARGEST} then greatest(1, round_even(dist / (top / {orders.LARGEST}.0::double), 0)::int) else dist::int end as w from u),
 sym as (select name_i as x, name_j as y, w from w union all select name_j, name_i, w from w),
-names as (select n_name as key, row_number() over (order by n_name) as pos from nation),
-keys as (select 0 as pos, '{orders.DUMMY}' as key union all select pos, key from names union all select {COLUMNS} + r.c, (select min(n_name) from nation) from range(1, {orders.COPIES + 1}) r(c) where {COLUMNS} < {orders.SMALL})
+{_KEYS}
 select a.pos::int as pos, a.key, string_agg(coalesce(sym.w, 0)::varchar, ' ' order by b.pos) as weights from keys a cross join keys b left join sym on sym.x = a.key and sym.y = b.key group by a.pos, a.key""",
     "tour_decode": f"with {_INC} select row_id, string_agg('N' || color::varchar, ' ' order by color) as names from inc group by 1",
     "newick_leaf_order": "select l_orderkey, string_agg('P' || l_partkey::varchar, ' ' order by l_linenumber, l_partkey) || ' Z' as leaves from lineitem group by 1",
     "order_runs": f"""with {_DIST}, {_COUNTS},
 ord as (select 'name' as key, row_number() over (order by n_name) as pos, n_name as name from nation union all select 'color', row_number() over (order by n_nationkey), n_name from nation
   union all select 'random', row_number() over (order by md5('{SEED}:' || n_name)), n_name from nation),
-steps as (select key, name, lead(name) over (partition by key order by pos) as nxt, 1 as path from ord union all select key, arg_min(name, pos), arg_max(name, pos), 0 from ord group by key),
-sym as (select name_i as x, name_j as y, type, dist from dists union all select name_j, name_i, type, dist from dists)
-select key, sym.type, sum(dist * path)::bigint as n_bit_changes, (sum(dist * path) + max(num_rows))::bigint as n_runs, sum(dist)::bigint as n_cylinder_runs
-from steps join sym on name = x and nxt = y join counts on counts.type = sym.type group by 1, 2""",
+{_STEPS}, {_SCORES.format(key="key")}""",
+    "scored_orders": f"""with {_DIST}, {_COUNTS},
+ord as (select 'nj' as key, row_number() over (order by n_name) as pos, n_name as name from nation union all select 'optimal', row_number() over (order by n_nationkey), n_name from nation
+  union all select 'randomized', row_number() over (order by md5('{SEED}:' || n_name)), n_name from nation),
+{_STEPS}, {_SCORES.format(key="method")}""",
+    "manifest_colors": """select 'set_' || s_nationkey as dataset, (row_number() over (partition by s_nationkey order by s_suppkey) - 1)::int as color, s_name as name
+from supplier where s_suppkey % 7 <> 0 and s_suppkey % 11 <> 0""",
+    "common_parents": """with p as (select regexp_extract(url, '://([^./]*)', 1) as label, string_split('/' || regexp_extract(url, '://(.*)/[^/]*$', 1), '/') as x from pages),
+m as (select label, min(x) as lo, max(x) as hi from p group by 1),
+k as (select label, lo, list_min(list_filter(range(1, greatest(len(lo), len(hi)) + 2), lambda i: lo[i] is distinct from hi[i] or lo[i] is null)) - 1 as n from m)
+select label, coalesce(lo[n], '') as dataset from k""",
+    "color_set_dump": f"with {_CSET} select id as color_set_id, {_JOIN} as colors from cset",
+    "dump_weights": f"""with {_CSET}, u as (select o_custkey as id, count(*)::bigint as w_unitig, sum(greatest(4 * (5 + o_orderkey % 23) - {K}, 0) + 1)::bigint as w_kmer from orders group by 1)
+select cset.id as color_set_id, {_JOIN} as colors, coalesce(w_unitig, 0)::bigint as w_unitig, coalesce(w_kmer, 0)::bigint as w_kmer from cset left join u on u.id = cset.id""",
+    "metadata_kmers": f"""with {_SETS} select 'num_unitigs' as key, count(*)::varchar as value from lineitem union all select 'num_color_sets', count(distinct l_partkey)::varchar from lineitem
+union all select 'num_kmers', sum(w_kmer)::bigint::varchar from sets""",
+    "distance_table": f"with {_DIST} select least(name_i, name_j) as a, greatest(name_i, name_j) as b, (dist + 1)::bigint as dist from dists where type = 'kmer'",
+    "tsplib_keys": f"with {_KEYS} select pos::int as pos, key from keys",
+    "tour_files": "select l_orderkey, string_agg('S' || s, ' ' order by s desc) as names from (select distinct l_orderkey, l_suppkey as s from lineitem) group by 1",
+    "order_file": "select c_custkey as pos, c_name as name from customer",
+    "runs_files": """select '10_runs/set_' || l_partkey || '_optimal_k31_N' || count(*) || '_kmer.runs' as path, 'set_' || l_partkey as dataset, 'optimal' as method, 31 as k, count(*)::int as n, 'kmer' as type,
+count(*)::bigint as n_bit_changes, count(distinct l_suppkey)::bigint as n_runs, count(distinct l_orderkey)::bigint as n_cylinder_runs from lineitem group by l_partkey""",
+    "timing_table": """select event_type as experiment, event_id::varchar as run, case when event_id % 5 <> 0 then user_id::varchar end as "user" from events""",
+    "timing_collection": """select 0 as part, 'experiment' || chr(9) || 'user' as value union all select distinct 1, event_type || chr(9) || user_id from events""",
+    "vertical_statistics": """with s as (select c_nationkey as nation, count(*)::varchar as n, max(c_custkey)::varchar as last, max(case when c_custkey % 9 = 0 then c_name end) as ninth from customer group by 1)
+select nation, 'n' as "column", n as value from s union all select nation, 'last', last from s union all select nation, 'ninth', coalesce(ninth, 'NA') from s""",
     "row_flip_count": f"""with {_INC}, rws as (select row_id, list(color) as colors from inc group by 1)
 select sum(case when list_contains(colors, c) <> list_contains(colors, c + 1) then 1 else 0 end)::bigint as n_flips from rws, range({COLUMNS - 1}) r(c)""",
     "order_validation": "select l_orderkey as key, count(*)::bigint as n_lines, count(distinct l_suppkey)::bigint as n_names, count(*) = 4 and count(distinct l_suppkey) = 4 as is_valid from lineitem group by 1",
-    "best_path_small": f"with recursive {_SMALL} select type, min(cost)::bigint as cost from paths where len(p) = 5 group by 1",
-    "worst_path_small": f"with recursive {_SMALL} select type, max(cost)::bigint as cost from paths where len(p) = 5 group by 1",
-    "runs_aggregate": """select '10_runs/set_' || l_partkey || '_best_k31_N' || count(*) || '_kmer.runs' as path, 'set_' || l_partkey as dataset, 'best' as method, 31 as k, count(*)::int as n, 'kmer' as type,
+    "runs_aggregate": """select '10_runs/set_' || l_partkey || '_optimal_k31_N' || count(*) || '_kmer.runs' as path, 'set_' || l_partkey as dataset, 'optimal' as method, 31 as k, count(*)::int as n, 'kmer' as type,
 count(*)::bigint as n_bit_changes, count(distinct l_suppkey)::bigint as n_runs, count(distinct l_orderkey)::bigint as n_cylinder_runs from lineitem group by l_partkey""",
     "timing_summary": """with r as (select *, case when event_id % 17 = 0 then 'failed' when event_id % 29 = 0 then 'timeout' else 'ok' end as status from events)
 select event_type as experiment, round(avg(value) filter (status = 'ok'), 6) as mean_s, round(stddev_samp(value) filter (status = 'ok'), 6) as stddev_s, round(min(value) filter (status = 'ok'), 6) as min_s,
@@ -410,10 +504,10 @@ count(*) filter (status = 'timeout')::bigint as n_timeout, 0::bigint as n_timing
     "timing_dedupe": "select event_type || '|' || user_id as value, min(event_id) as pos from events group by 1",
     "timing_fields": """with e as (select *, ((event_id % 5 - 2) * 9)::int as code from events)
 select event_id, case when code < 0 then 128 - code else code end as exit_code, case when event_id % 31 = 0 then 'timeout' when event_id % 37 = 0 then 'timing_error' when code = 0 then 'ok' else 'failed' end as status,
-round(case when value > 0 then 100.0::double * user_id::double / value end, 6) as cpu_pct,
+round(case when value > 0 then 100.0::double * user_id::double / value end, 6) as cpu_pct, printf('%.1f%%', floor(value)) as cpu_text,
 round_even(case when event_id % 2 = 0 then (user_id * 1000 + 500) / 1000::double else (user_id * 1000 + 500) * 1024 / 1000::double end, 0)::bigint as max_ram_kb from e""",
     "fasta_kmer_counts": rf"select source, count(*)::bigint as w_unitig, sum(greatest(length(regexp_replace(text, '[ \n]+', '', 'g')) - {K}, 0) + 1)::bigint as w_kmer from documents group by 1",
-    "config_product": """select source as dataset, count(*)::bigint as n, k, method, type from documents, (select unnest([15, 31]) as k), (select unnest(['nj', 'upgma', 'best', 'random']) as method), (select unnest(['kmer', 'unitig', 'uniqrow']) as type) group by source, k, method, type""",
+    "config_product": """select source as dataset, count(*)::bigint as n, k, method, type, least(20, k - 2)::int as minimizer from documents, (select unnest([15, 31]) as k), (select unnest(['optimal', 'nj', 'upgma', 'randomized']) as method), (select unnest(['kmer', 'unitig', 'uniqrow']) as type) group by source, k, method, type""",
     "text_color_sets": f"with {_SHINGLES}, s as (select f, string_agg(source, ' ' order by source) as colors from sh group by 1) select colors, count(*)::bigint as n_fragments from s group by 1",
     "minhash_distance": f"""with {_SHINGLES}, h as (select source, md5(f) as h from sh), r as (select source, h, row_number() over (partition by source order by h) as r from h),
 k as (select source, h from r where r <= 200), p as (select distinct a.source as x, b.source as y from k a, k b where a.source < b.source),

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import lzma
-import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +14,7 @@ from ..functions import names as N
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, value): lines of text files, numbered from 0 in each file.
+    """(path, block, pos, value): lines of text files, numbered from 0 in each file; block is the start of their split.
 
     Spark splits only at line ends and keeps file order within a partition; a file's splits are numbered by counts.
     """
@@ -22,7 +22,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("path", "block", "least", before.alias("start"))
-    return lines.join(starts, ["path", "block"]).select("path", (F.col("at") - F.col("least") + F.col("start")).alias("pos"), "value")
+    return lines.join(starts, ["path", "block"]).select("path", "block", (F.col("at") - F.col("least") + F.col("start")).alias("pos"), "value")
+
+
+def counted(lines: DataFrame, which: Column, name: str) -> DataFrame:
+    """`lines` with a running number, from 0 in each path, of those for which `which` holds; null for the others.
+
+    Numbers are counted within blocks, and blocks by their counts: no file is gathered into one task.
+    """
+    marked = lines.withColumn("which", which)
+    sizes = marked.where("which").groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("path", "block", "which").orderBy("pos")) - 1
+    starts = sizes.select("path", "block", before.alias("start"))
+    return marked.withColumn("inside", inside).join(starts, ["path", "block"], "left").withColumn(name, F.when(F.col("which"), F.col("inside") + F.col("start"))).drop("which", "inside", "start")
 
 
 def stem(path: Column) -> Column:
@@ -50,27 +63,78 @@ def colors(lines: DataFrame) -> DataFrame:
     return named.select("dataset", color.alias("color"), N.sample_name(F.col("line")).alias("name"))
 
 
-def first_existing(paths: list[str]) -> str:
-    """The first path that exists, for the places where a names file may lie."""
+def _file_system(spark: SparkSession, path: str):
+    """The path as Spark's file systems know it, and the file system that it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that exists on its file system, for the places where a names file may lie."""
     for p in paths:
-        if os.path.exists(p):
+        if exists(spark, p):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
+def common_parent(folders: Column) -> Column:
+    """Aggregate: the name of the deepest folder that all `folders` (absolute paths) lie in or are; empty for the root.
+
+    What the first and the last path in order have in common, all others between them have too.
+    """
+    low, high = (f(F.split(F.regexp_replace(folders, "/+$", ""), "/")) for f in (F.min, F.max))
+    apart = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(low), F.size(high))), lambda i: F.when(~F.get(low, i).eqNullSafe(F.get(high, i)) | F.get(low, i).isNull(), i)), lambda i: i.isNotNull())
+    return F.get(F.slice(low, 1, F.get(apart, F.lit(0))), F.get(apart, F.lit(0)) - 1)
+
+
+def dataset_inputs(spark: SparkSession, given: list[str]) -> tuple[str, DataFrame]:
+    """Name of the dataset and its distinct sequence files (path), sorted, from files and folders that a user names.
+
+    Folders are searched with all below; a file must have the suffix of a sequence file. The name is that of the deepest
+    folder that holds all that was given. What doesn't exist, another suffix and no file at all are errors. The few paths
+    that are given are looked up on the driver, on any file system that Spark reads.
+    """
+    folders, parts = [], []
+    for p in given:
+        at, fs = _file_system(spark, p)
+        if not fs.exists(at):
+            raise FileNotFoundError(p)
+        whole = fs.makeQualified(at).toUri().getPath()
+        if fs.getFileStatus(at).isDirectory():
+            folders.append(whole)
+            parts.append(sequence_files(spark, p))
+        elif spark.range(1).select(F.lit(whole).rlike(N.SEQUENCE_SUFFIX)).first()[0]:
+            folders.append(whole.rsplit("/", 1)[0])
+            parts.append(spark.createDataFrame([(fs.makeQualified(at).toString(),)], "path string"))
+        else:
+            raise ValueError(f"not a sequence file: {p}")
+    found = reduce(DataFrame.union, parts).distinct().orderBy("path") if parts else None
+    if found is None or found.isEmpty():
+        raise FileNotFoundError("no sequence files in " + ", ".join(given))
+    return spark.createDataFrame([(f,) for f in folders], "f string").agg(common_parent(F.col("f"))).first()[0], found
+
+
 def color_sets(spark: SparkSession, path: str, n_colors: int) -> DataFrame:
+    return parsed_color_sets(numbered_lines(spark, path), n_colors)
+
+
+def parsed_color_sets(lines: DataFrame, n_colors: int) -> DataFrame:
     """(color_set_id, colors): sorted distinct colors; ids are given or count the lines without one.
 
-    Colors outside the manifest, tokens that are no number, and gaps in the ids raise an error; of equal ids the last holds.
+    lines: (path, block, pos, value). Colors outside the manifest, tokens that are no number, and gaps in the ids raise an
+    error; of equal ids the last holds.
     """
-    lines = numbered_lines(spark, path).where(N.stripped(F.col("value")) != "")
     tokens = F.split(N.stripped(F.col("value")), r"\s+")
     given = F.regexp_extract("value", r"(?:^|\s)color_set_id=(\d+)", 1)
-    parsed = lines.select("pos", F.when(given != "", given.cast("long")).alias("given"), F.filter(tokens, lambda t: ~t.startswith("size=") & ~t.startswith("color_set_id=")).alias("t"))
-    implicit = parsed.where("given is null").rdd.map(lambda r: (r.pos,)).sortBy(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    numbered = parsed.join(spark.createDataFrame(implicit, "pos long, running long"), "pos", "left")
+    numbered = counted(lines.where(N.stripped(F.col("value")) != ""), given == "", "running")
     value = lambda t: F.when(t.rlike(r"^\d{1,9}$") & (t.try_cast("int") < n_colors), t.try_cast("int")).otherwise(F.raise_error(F.concat(F.lit("bad color "), t)).cast("int"))
-    sets = numbered.select("pos", F.coalesce("given", "running").alias("color_set_id"), F.array_sort(F.array_distinct(F.transform("t", value))).alias("colors"))
+    listed = F.filter(tokens, lambda t: ~t.startswith("size=") & ~t.startswith("color_set_id="))
+    sets = numbered.select("pos", F.when(given != "", given.cast("long")).otherwise(F.col("running")).alias("color_set_id"), F.array_sort(F.array_distinct(F.transform(listed, value))).alias("colors"))
     last = sets.groupBy("color_set_id").agg(F.max_by("colors", "pos").alias("colors"))
     whole = last.agg(F.max("color_set_id").alias("top"), F.count("*").alias("n"))
     checked = last.crossJoin(F.broadcast(whole)).withColumn("ok", F.assert_true(F.col("n") == F.col("top") + 1, "gap in the color set ids"))
@@ -78,21 +142,29 @@ def color_sets(spark: SparkSession, path: str, n_colors: int) -> DataFrame:
 
 
 def unitigs(spark: SparkSession, path: str) -> DataFrame:
-    """(color_set_id, seq_len): a row for each FASTA record; lines of a wrapped sequence are added up."""
-    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("r")).where("trim(r) <> ''")
+    return parsed_unitigs(spark.read.option("lineSep", "\n>").text(path))
+
+
+def parsed_unitigs(records: DataFrame) -> DataFrame:
+    """(color_set_id, seq_len): a row for each FASTA record (value); lines of a wrapped sequence are added up."""
+    some = records.select(F.regexp_replace("value", r"^>", "").alias("r")).where("trim(r) <> ''")
     head, body = F.split("r", "\n", 2)[0], F.coalesce(F.get(F.split("r", "\n", 2), F.lit(1)), F.lit(""))
     given = F.regexp_extract(head, r"(?:^|\s)color_set_id=(\d+)", 1)
     checked = F.when(given != "", given.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no color set in "), head)).cast("long"))
-    return records.select(checked.alias("color_set_id"), F.length(F.regexp_replace(body, r"\s+", "")).cast("long").alias("seq_len"))
+    return some.select(checked.alias("color_set_id"), F.length(F.regexp_replace(body, r"\s+", "")).cast("long").alias("seq_len"))
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
+    return parsed_metadata(spark.read.text(path))
+
+
+def parsed_metadata(lines: DataFrame) -> DataFrame:
     """(key, value) of `key=value` lines."""
-    return spark.read.text(path).where(F.col("value").contains("=")).select(F.split_part("value", F.lit("="), F.lit(1)).alias("key"), F.split_part("value", F.lit("="), F.lit(2)).alias("value"))
+    return lines.where(F.col("value").contains("=")).select(F.split_part("value", F.lit("="), F.lit(1)).alias("key"), F.split_part("value", F.lit("="), F.lit(2)).alias("value"))
 
 
 def distances(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b, dist): lines of three fields; plain, gzip or xz. Equal ends go, ends are ordered, the last of repeated pairs holds."""
+    """(a, b, dist) of a distance table; plain, gzip or xz."""
     if path.endswith(".xz"):
         def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -103,6 +175,11 @@ def distances(spark: SparkSession, path: str) -> DataFrame:
         lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpacked, "path string, pos long, value string")
     else:
         lines = numbered_lines(spark, path)
+    return parsed_distances(lines)
+
+
+def parsed_distances(lines: DataFrame) -> DataFrame:
+    """(a, b, dist) of (pos, value) lines of three fields. Equal ends go, ends are ordered, the last of repeated pairs holds."""
     t = F.split(N.stripped(F.col("value")), r"\s+")
     return normalised_pairs(lines.select(N.sample_name(t[0]).alias("a"), N.sample_name(t[1]).alias("b"), t[2].cast("long").alias("dist"), "pos"))
 
@@ -113,20 +190,37 @@ def normalised_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def order(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, name) of a column order; blank lines are kept."""
-    return numbered_lines(spark, path).select("pos", N.sample_name(F.col("value")).alias("name"))
+    return parsed_order(numbered_lines(spark, path))
+
+
+def parsed_order(lines: DataFrame) -> DataFrame:
+    """(pos, name) of the lines of a column order; blank lines are kept."""
+    return lines.select("pos", N.sample_name(F.col("value")).alias("name"))
 
 
 def tour(spark: SparkSession, path: str) -> DataFrame:
-    """(path, dim, tour): dimension and node numbers of a tour file."""
+    return parsed_tours(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_tours(texts: DataFrame) -> DataFrame:
+    """(path, dim, tour): dimension and node numbers of (path, value), value the text of a tour file.
+
+    A tour that is no permutation of its dimension raises an error.
+    """
     t = F.transform(F.split(N.stripped(F.col("value")), r"\s+"), lambda x: x.cast("int"))
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), t.alias("t")).select("path", F.col("t")[0].alias("dim"), F.filter("t", lambda x, i: i > 0).alias("tour"))
+    parsed = texts.select("path", t.alias("t")).select("path", F.col("t")[0].alias("dim"), F.filter("t", lambda x, i: i > 0).alias("tour"))
+    sound = (F.size("tour") == F.col("dim")) & (F.array_sort("tour") == F.sequence(F.lit(0), F.col("dim") - 1))
+    return parsed.select("path", "dim", F.when(sound, F.col("tour")).otherwise(F.raise_error(F.concat(F.lit("not a permutation of its dimension: "), "path")).cast("array<int>")).alias("tour"))
 
 
 def instance_keys(spark: SparkSession, path: str) -> DataFrame:
-    """(path, keys) of the last line with `keys:` in a TSP instance."""
-    lines = numbered_lines(spark, path).where(F.col("value").contains("keys"))
-    return lines.groupBy("path").agg(F.max_by("value", "pos").alias("v")).select("path", F.split(N.stripped(F.substring_index("v", "keys:", -1)), ",").alias("keys"))
+    return parsed_keys(numbered_lines(spark, path))
+
+
+def parsed_keys(lines: DataFrame) -> DataFrame:
+    """(path, keys) of the last of (path, pos, value) lines with `keys:` in each TSP instance."""
+    some = lines.where(F.col("value").contains("keys"))
+    return some.groupBy("path").agg(F.max_by("value", "pos").alias("v")).select("path", F.split(N.stripped(F.substring_index("v", "keys:", -1)), ",").alias("keys"))
 
 
 def newick(spark: SparkSession, path: str) -> DataFrame:
@@ -135,11 +229,18 @@ def newick(spark: SparkSession, path: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, dataset, method, k, n, type, n_bit_changes, n_runs, n_cylinder_runs) of runs files; any other line raises an error."""
+    return parsed_runs(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_runs(lines: DataFrame) -> DataFrame:
+    """(path, dataset, method, k, n, type, n_bit_changes, n_runs, n_cylinder_runs) of (path, value) lines of runs files.
+
+    Any other line, a value that is missing and one that is there twice raise an error.
+    """
     keys = ["n_bit_changes", "n_runs", "n_cylinder_runs"]
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\t").alias("t"))
+    some = lines.select("path", F.split("value", "\t").alias("t"))
     good = (F.size("t") == 2) & F.col("t")[0].isin(keys) & F.col("t")[1].rlike("^[0-9]+$")
-    parsed = lines.select("path", F.when(good, F.col("t")[0]).otherwise(F.raise_error(F.concat(F.lit("bad line in "), F.col("path"))).cast("string")).alias("key"), F.col("t")[1].cast("long").alias("v"))
+    parsed = some.select("path", F.when(good, F.col("t")[0]).otherwise(F.raise_error(F.concat(F.lit("bad line in "), F.col("path"))).cast("string")).alias("key"), F.col("t")[1].cast("long").alias("v"))
     wide = parsed.groupBy("path").pivot("key", keys).agg(F.collect_list("v"))
     one = lambda k: F.when(F.size(k) == 1, F.col(k)[0]).otherwise(F.raise_error(F.concat(F.lit(f"{k} is not there once in "), F.col("path"))).cast("long")).alias(k)
     return wide.select("path", N.run_key(F.col("path")).alias("key"), *map(one, keys)).select("path", "key.*", *keys)
@@ -148,8 +249,18 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
 def bit_matrix(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
     """Column names, and (row_id, bits) of a text matrix whose first line holds the names."""
     lines = numbered_lines(spark, path)
-    header = lines.where("pos = 0").first()
-    return header.value.split("\t"), lines.where("pos > 0 and value <> ''").select((F.col("pos") - 1).alias("row_id"), F.col("value").alias("bits"))
+    return lines.where("pos = 0").first().value.split("\t"), parsed_bits(lines)
+
+
+def parsed_bits(lines: DataFrame) -> DataFrame:
+    """(row_id, bits) of the (pos, value) lines after the header; blank lines go."""
+    return lines.where("pos > 0 and value <> ''").select((F.col("pos") - 1).alias("row_id"), F.col("value").alias("bits"))
+
+
+def parsed_timings(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of tab-separated timing lines (value) below a header; NA and None are null."""
+    t = F.split("value", "\t")
+    return lines.where(F.col("value") != "\t".join(columns)).select(*[F.when(~t[i].isin("NA", "None"), t[i]).alias(c) for i, c in enumerate(columns)])
 
 
 def timings(spark: SparkSession, path: str) -> DataFrame:

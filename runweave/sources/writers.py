@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,8 +30,10 @@ def order_lines(orders: DataFrame) -> DataFrame:
 
 
 def run_lines(runs: DataFrame) -> DataFrame:
-    """(key, value) in the order of a runs file."""
-    return runs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("n_bit_changes", "n_runs", "n_cylinder_runs")])).alias("x")).select("x.*")
+    """(key, value) in the order of a runs file, behind the other columns of `runs`."""
+    keys = ("n_bit_changes", "n_runs", "n_cylinder_runs")
+    others = [c for c in runs.columns if c not in keys]
+    return runs.select(*others, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])).alias("x")).select(*others, "x.*")
 
 
 def write_final(runs: DataFrame, path: str) -> None:
@@ -55,10 +57,37 @@ def vertical(stats: DataFrame, key: str) -> DataFrame:
     return stats.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in cols]).unpivot([key], cols, "column", "value")
 
 
+def color_set_line(color_set_id: Column, colors: Column) -> Column:
+    return F.concat_ws(" ", F.concat(F.lit("color_set_id="), color_set_id), F.concat(F.lit("size="), F.size(colors).cast("string")), F.array_join(F.transform(colors, lambda c: c.cast("string")), " "))
+
+
 def color_set_lines(sets: DataFrame) -> DataFrame:
     """(value): lines of a color-set dump, in the order of ids."""
-    body = F.array_join(F.transform("colors", lambda c: c.cast("string")), " ")
-    return sets.orderBy("color_set_id").select(F.concat_ws(" ", F.concat(F.lit("color_set_id="), "color_set_id"), F.concat(F.lit("size="), F.size("colors").cast("string")), body).alias("value"))
+    return sets.orderBy("color_set_id").select(color_set_line(F.col("color_set_id"), F.col("colors")).alias("value"))
+
+
+def unitig_records(unitigs: DataFrame, width: int = 60) -> DataFrame:
+    """(value): FASTA records of (unitig_id, color_set_id, sequence), without the `>` that parts them; lines of `width`."""
+    head = F.concat(F.lit(" unitig_id="), F.col("unitig_id").cast("string"), F.lit(" color_set_id="), F.col("color_set_id").cast("string"))
+    rest = F.regexp_replace("sequence", f"(.{{{width}}})(?=.)", "$1\n")
+    return unitigs.select(F.concat(head, F.lit("\n"), rest, F.lit("\n")).alias("value"))
+
+
+def write_unitigs(unitigs: DataFrame, path: str, width: int = 60) -> None:
+    """A FASTA file for each partition."""
+    unitig_records(unitigs, width).select(F.concat(F.lit(">"), F.regexp_replace("value", "\n$", "")).alias("value")).write.mode("overwrite").text(path)
+
+
+def timing_lines(timings: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): tab-separated lines of the columns, NA where null."""
+    return timings.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns]).alias("value"))
+
+
+def bit_matrix_lines(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(pos, value): a header of names and a line of bits for each (row_id, colors), row_id from 0."""
+    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda c: F.when(F.array_contains("colors", c), "1").otherwise("0")), "")
+    header = rows.sparkSession.createDataFrame([(0, "\t".join(names))], "pos long, value string")
+    return header.unionByName(rows.select((F.col("row_id") + 1).cast("long").alias("pos"), bits.alias("value")))
 
 
 def metadata_lines(n_unitigs: int, n_kmers: int, n_color_sets: int) -> list[str]:

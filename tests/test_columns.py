@@ -5,13 +5,13 @@ import lzma
 import os
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from runweave import queries
 from runweave.functions import names as N
 from runweave.operators import evaluate, fragments, matrix, orders, reports, sampling
+from runweave.plans import analysis
 from runweave.plans import config as C
 from runweave.sources import readers, writers
 
@@ -53,7 +53,7 @@ def test_distances_agree(spark, seed):
     sets = spark.createDataFrame(rows, "colors array<int>, w_unitig long, w_kmer long")
     colors = spark.createDataFrame([(i, f"c{i}") for i in range(n)], "color int, name string")
     want = {(i, j, t): sum(w for s, u, k in rows for w in [{"unitig": u, "kmer": k, "uniqrow": 1}[t]] if (i in s) != (j in s)) for i, j in itertools.combinations(range(n), 2) for t in matrix.TYPES}
-    for df in (matrix.distances_identity(sets, colors), matrix.distances_hybrid(sets, colors, n), matrix.distances_blocks(sets, colors, n), matrix.distances_xor(sets, colors)):
+    for df in (matrix.distances_identity(sets, colors), matrix.distances_hybrid(sets, colors, n), matrix.distances_blocks(sets, colors, n), matrix.distances_xor(sets, colors, n)):
         assert {(r.i, r.j, r.type): r.dist for r in df.collect()} == want
 
 
@@ -94,16 +94,56 @@ def test_readers(spark, tmp_path):
     assert readers.instance_keys(spark, put("i.tsp", "NAME : x\nCOMMENT : keys:D,S1,S2\n")).first()["keys"] == ["D", "S1", "S2"]
     nw = readers.newick(spark, put("t.nw", "((A:0.1, B:0.2)x:0.3,C:1);\n"))
     assert nw.select(N.leaves(F.col("tree")).alias("x")).first().x == ["A", "B", "C"]
-    r = readers.runs(spark, put("set_a_best_k31_N7_kmer.runs", "n_runs\t3\nn_bit_changes\t1\nn_cylinder_runs\t2\n")).first()
-    assert (r.dataset, r.method, r.k, r.n, r.type, r.n_bit_changes, r.n_runs, r.n_cylinder_runs) == ("set_a", "best", 31, 7, "kmer", 1, 3, 2)
+    r = readers.runs(spark, put("set_a_optimal_k31_N7_kmer.runs", "n_runs\t3\nn_bit_changes\t1\nn_cylinder_runs\t2\n")).first()
+    assert (r.dataset, r.method, r.k, r.n, r.type, r.n_bit_changes, r.n_runs, r.n_cylinder_runs) == ("set_a", "optimal", 31, 7, "kmer", 1, 3, 2)
     for bad in ("n_runs\t3\n", "n_runs\t3\nn_runs\t3\nn_bit_changes\t1\nn_cylinder_runs\t2\n", "other\t1\n", "n_runs\tx\n"):
         with pytest.raises(Exception):
-            readers.runs(spark, put(f"b{abs(hash(bad))}_best_k31_N7_kmer.runs", bad)).collect()
+            readers.runs(spark, put(f"b{abs(hash(bad))}_optimal_k31_N7_kmer.runs", bad)).collect()
     head, bits = readers.bit_matrix(spark, put("m.txt", "A\tB\tC\n011\n110\n011\n"))
     assert head == ["A", "B", "C"] and {(x.i, x.j): x.dist for x in matrix.bit_matrix_hamming(bits).collect()} == {(0, 1): 2, (0, 2): 3, (1, 2): 1}
     times = readers.timings(spark, put("x.time", "experiment\trun\treal_s\ne\t1\tNA\ne\t2\t3.5\n")).collect()
     assert [x.real_s for x in times] == [None, "3.5"]
-    assert readers.first_existing([str(tmp_path / "no"), m]) == m
+    assert readers.first_existing(spark, [str(tmp_path / "no"), m]) == m
+    with pytest.raises(FileNotFoundError):
+        readers.first_existing(spark, [str(tmp_path / "no")])
+    for bad in ("3\n0 2 2\n", "4\n0 1 2\n"):
+        with pytest.raises(Exception, match="permutation"):
+            readers.tour(spark, put(f"t{abs(hash(bad))}.sol", bad)).collect()
+    for bad in ("(A,B);", "(A:1,merge_root:2);"):
+        with pytest.raises(Exception, match="no leaves"):
+            readers.newick(spark, put(f"t{abs(hash(bad))}.nw", bad)).select(N.leaves(F.col("tree"))).collect()
+    for bad in ("set_a_other_k31_N7_kmer.runs", "set_a_nj_k31_N7_bits.runs"):
+        with pytest.raises(Exception, match="not a runs file"):
+            readers.runs(spark, put(bad, "n_runs\t3\nn_bit_changes\t1\nn_cylinder_runs\t2\n")).collect()
+
+
+def test_implicit_color_set_ids(spark, tmp_path):
+    """Lines without an id are counted over the splits of a file."""
+    (tmp_path / "s.txt").write_text("".join("\n" if i % 10 == 3 else f"size=1 {i % 7}\n" for i in range(4000)))
+    want = dict(enumerate([i % 7] for i in range(4000) if i % 10 != 3))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r.color_set_id: r.colors for r in readers.color_sets(spark, str(tmp_path / "s.txt"), 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_dataset_inputs(spark, tmp_path):
+    for f in ("d/a/S1.fa", "d/a/S2.fna.gz", "d/b/c/S3.fasta", "d/b/notes.txt"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text(">x\nA\n")
+    at = lambda f: str(tmp_path / f)
+    names = lambda df: [r.path.rsplit("/", 1)[1] for r in df.collect()]
+    dataset, found = readers.dataset_inputs(spark, [at("d/a"), at("d/b")])
+    assert dataset == "d" and names(found) == ["S1.fa", "S2.fna.gz", "S3.fasta"]
+    dataset, found = readers.dataset_inputs(spark, [at("d/a/S2.fna.gz"), at("d/a/S1.fa"), at("d/a")])
+    assert dataset == "a" and names(found) == ["S1.fa", "S2.fna.gz"]
+    assert readers.dataset_inputs(spark, [at("d/b/c")])[0] == "c"
+    for bad, kind in (([at("d/none")], FileNotFoundError), ([at("d/b/notes.txt")], ValueError), ([], FileNotFoundError)):
+        with pytest.raises(kind):
+            readers.dataset_inputs(spark, bad)
 
 
 def test_numbered_lines_over_splits(spark, tmp_path):
@@ -150,30 +190,8 @@ def test_sampling(spark):
     assert {k: sorted(v) for k, v in got.items()} == {(7, 0): [7], (7, 1): [1, 7], (100, 1): [1, 10, 100], (100, 2): [1, 3, 10, 32, 100]}
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_paths(seed):
-    r = np.random.default_rng(seed)
-    n = int(r.integers(1, 8))
-    d = r.integers(0, 40, (n, n))
-    d = np.triu(d, 1) + np.triu(d, 1).T
-    best = min(orders.path_cost(d, list(p)) for p in itertools.permutations(range(n)))
-    exact, rough = orders.exact_path(d), orders.heuristic_path(d)
-    assert sorted(exact) == sorted(rough) == list(range(n))
-    assert orders.path_cost(d, exact) == best <= orders.path_cost(d, rough) and orders.tree_bound(d) <= best
-
-
-def test_trees(spark):
-    d = np.array([[0, 2, 8, 8], [2, 0, 8, 8], [8, 8, 0, 4], [8, 8, 4, 0]])
-    for grow in (orders.upgma, orders.neighbour_joining):
-        tree = grow(d, list("abcd"))
-        found = spark.createDataFrame([(tree,)], "t string").select(N.leaves(F.col("t")).alias("x")).first().x
-        assert sorted(found) == list("abcd") and abs(found.index("a") - found.index("b")) == 1
-        assert spark.createDataFrame([(grow(d[:1, :1], ["q"]),)], "t string").select(N.leaves(F.col("t")).alias("x")).first().x == ["q"]
-    assert orders.upgma(d, list("abcd")) == "((a:1,b:1):3,(c:2,d:2):2);"
-
-
 def test_runs_are_flips(spark, sf):
-    """Path sums of distances equal bit flips counted row by row; best <= random <= worst where solved exactly."""
+    """Path sums of distances equal bit flips counted row by row."""
     inc, lens = queries._incidence(spark, sf).where("color < 10"), queries._lengths(spark, sf)
     colors = queries._colors(spark, sf).where("color < 10")
     flips = matrix.flips_by_row(matrix.row_sets(inc), colors.select(F.col("color").alias("pos"), "color")).first().n_flips
@@ -181,22 +199,28 @@ def test_runs_are_flips(spark, sf):
     one = colors.select(F.lit("o").alias("key"), F.col("color").alias("pos"), "name")
     scored = evaluate.order_runs(one, matrix.distances_hybrid(sets, colors, 10), matrix.row_counts(sets)).where("type = 'unitig'").first()
     assert scored.n_bit_changes == flips and scored.n_runs == flips + sum(r.w_unitig for r in sets.collect())
-    from runweave.plans.analysis import scored_orders
-
-    by = {(r.method, r.type): r.n_bit_changes for r in scored_orders(inc, lens, colors, C.Config(outputs=dict.fromkeys(C.METHODS, True)), 31).collect()}
-    assert all(by["best", t] <= by[m, t] <= by["worst", t] for t in matrix.TYPES for m in C.METHODS)
-
 
-def test_single_column(spark):
-    from runweave.plans.analysis import scored_orders
 
-    inc, lens = spark.createDataFrame([(1, 0), (2, 0)], "row_id long, color int"), spark.createDataFrame([(1, 40), (2, 3)], "row_id long, seq_len long")
-    got = scored_orders(inc, lens, spark.createDataFrame([(0, "a")], "color int, name string"), C.Config(), 31).collect()
-    assert {(r.type, r.n_bit_changes, r.n_runs, r.n_cylinder_runs) for r in got} == {("unitig", 0, 2, 0), ("kmer", 0, 11, 0), ("uniqrow", 0, 1, 0)} and len(got) == 12
+def test_given_orders(spark):
+    """Orders from a tree and a tour that outside programs made; a single column has no changes."""
+    inc = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 2)], "row_id long, color int")
+    lens = spark.createDataFrame([(1, 40), (2, 3), (3, 9)], "row_id long, seq_len long")
+    colors = spark.createDataFrame([(i, n) for i, n in enumerate("abc")], "color int, name string")
+    trees = spark.createDataFrame([("unitig", "((a:1,c:1)x:1,b:2);")], "type string, tree string")
+    tours = spark.createDataFrame([("unitig", list("abc"))], "type string, names array<string>")
+    given = analysis.tree_orders(trees, "upgma").union(analysis.tour_orders(tours, "optimal"))
+    got = {(r.method, r.type): (r.n_bit_changes, r.n_runs, r.n_cylinder_runs) for r in analysis.scored_orders(inc, lens, colors, given, C.Config(), 31, 3).collect()}
+    assert got == {("upgma", "unitig"): (5, 8, 6), ("optimal", "unitig"): (3, 6, 6)}
+    only = analysis.scored_orders(inc, lens, colors, given.where("name = 'a'"), C.Config(outputs={"upgma": False}), 31, 1).collect()
+    assert [tuple(r) for r in only] == [("optimal", "unitig", 0, 3, 0)]
 
 
 def test_dump_round_trip(spark, tmp_path):
     sets = spark.createDataFrame([(1, [0, 2]), (0, [1]), (2, [])], "color_set_id long, colors array<int>")
+    unitigs = spark.createDataFrame([(5, 1, "ACGTACGTA"), (6, 0, "AC"), (7, 1, "A" * 8)], "unitig_id long, color_set_id long, sequence string")
+    writers.write_unitigs(unitigs, str(tmp_path / "u"), width=4)
+    assert sorted(tuple(r) for r in readers.unitigs(spark, str(tmp_path / "u")).collect()) == [(0, 2), (1, 8), (1, 9)]
+    assert max(len(r.value) for r in spark.read.text(str(tmp_path / "u")).where("value not like '>%'").collect()) == 4
     writers.color_set_lines(sets).coalesce(1).write.text(str(tmp_path / "x"))
     assert {tuple(map(str, r)) for r in readers.color_sets(spark, str(tmp_path / "x"), 3).collect()} == {tuple(map(str, r)) for r in sets.collect()}
 
@@ -227,14 +251,23 @@ def test_fragments(spark):
         sizes[tuple(sorted(v))] = sizes.get(tuple(sorted(v)), 0) + 1
     assert {tuple(r.colors): r.n_fragments for r in fragments.fragment_sets(df, kmers, "s").collect()} == sizes
     assert fragments.same_set_stretches(df, kmers, "s").count() == len(sizes)
+    many = spark.createDataFrame([(f"s{i:03}", "ACGT" if i % 3 else "ACGTT") for i in range(150)] + [(None, "ACGT")], "s string, seq string")
+    sets = {len(r.colors): r.colors for r in fragments.fragment_sets(many, fragments.canonical_kmers(F.col("seq"), 4), "s").collect()}
+    assert sets == {150: [f"s{i:03}" for i in range(150)], 50: [f"s{i:03}" for i in range(0, 150, 3)]}
 
 
 def test_config(spark):
     sizes = spark.createDataFrame([("x", 3)], "dataset string, n int")
-    assert C.planned_runs(spark, C.Config(kmer_sizes=[15, 31]), sizes).count() == 2 * 4 * 3
-    for bad in ({"matrices": {"other": True}}, {"matrices": {"kmer": False}}, {"outputs": {"nj": 1}}, {"outputs": []}, {"random_seed": True}, {"sampling_steps": -1}, {"kmer_sizes": ["31"]}):
+    assert C.planned_runs(spark, C.Config(kmer_sizes=[15, 31], outputs={"worst": False}), sizes).count() == 2 * 4 * 3
+    plain = C.Config()
+    assert (plain.kmer_sizes, plain.random_seed, plain.sampling_steps, plain.sketch_k) == ([31], 1, 0, 31)
+    assert plain.on_methods == list(C.METHODS) and plain.on_matrices == list(C.MATRICES)
+    assert C.Config(matrices={"kmer": True}).on_matrices == list(C.MATRICES) and C.Config(matrices={"kmer": False}).on_matrices == ["unitig", "uniqrow"]
+    for bad in ({"matrices": {"other": True}}, {"matrices": dict.fromkeys(C.MATRICES, False)}, {"outputs": {"nj": 1}}, {"outputs": []}, {"random_seed": True}, {"sampling_steps": -1}, {"kmer_sizes": ["31"]}, {"kmer_sizes": []}, {"other": 1}):
         with pytest.raises(ValueError):
             C.Config(**bad)
+    with pytest.raises(ValueError, match="random_seed.*outputs"):
+        C.Config(random_seed=1.5, outputs={"nj": 1})
 
 
 def test_single_run_has_no_deviation(spark):
