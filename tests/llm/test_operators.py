@@ -267,6 +267,50 @@ def test_personal_data(spark, awkward, empty):
     assert red[100] == "Please call me at [PHONE] today. mail: [EMAIL] ok" and red[101] is None and red[102] == "There were 1234567 things"
 
 
+def test_bootstrapping_against_a_plain_version(spark):
+    """The scores of the graph, turn by turn, as sums over dictionaries."""
+    import math
+
+    rng = random.Random(31)
+    edges = {(f"p{rng.randint(0, 25)}", rng.randint(0, 60)) for _ in range(400)} | {("good", i) for i in range(100, 112)} | {("other", i) for i in range(110, 125)}
+    seeds = {(i, rng.randint(0, 1)) for i in range(0, 20)} | {(i, 4) for i in range(100, 110)}
+    size, by_pattern = {}, {}
+    for p, i in edges:
+        size[p] = size.get(p, 0) + 1
+        by_pattern.setdefault(p, set()).add(i)
+    support = {(p, k) for p in size for k in range(5) if sum((i, k) in seeds for i in by_pattern[p]) >= pii.SUPPORT}
+    trust = {s: 1.0 for s in seeds}
+    for _ in range(pii.ROUNDS):
+        score = {(p, k): sum(trust.get((i, k), 0) for i in by_pattern[p]) / (size[p] + pii.DOUBT) for p, k in support}
+        sure = {x: v for x, v in score.items() if v >= pii.CONFIDENT}
+        new = {s: 1.0 for s in seeds}
+        for i in {i for _, i in edges}:
+            for k in range(5):
+                err = [1 - v for (p, kind), v in sure.items() if kind == k and i in by_pattern[p]]
+                if err:
+                    new[i, k] = max(new.get((i, k), 0), 1 - math.prod(err))
+        trust = new
+    want = {}
+    for (i, k), t in sorted(trust.items(), key=lambda x: (-x[1], x[0][1])):
+        if t >= pii.TRUSTED:
+            want.setdefault(i, (k, round(t, 6)))
+    got = pii.trusted(spark.createDataFrame(sorted(edges), "pattern string, instance long"), spark.createDataFrame(sorted(seeds), "instance long, kind int")).collect()
+    assert {r.instance: (r.kind, round(r.trust, 6)) for r in got} == want and {110, 111} <= set(want)
+
+
+def test_secrets_are_discovered(spark):
+    """Assigned values are seeds; the same name then vouches for values that nothing quotes. Other codes stay."""
+    rng = random.Random(12)
+    code = lambda n=40: "".join(rng.choices("0123456789abcdef", k=n))
+    texts = [f'Some words{i} apikey = "{code()}" and more.' for i in range(12)]
+    loose, other = code(20) + "7a", "part a1b2c3d4e5f6 of build x99y88z77"
+    docs = spark.createDataFrame([*enumerate(texts), (100, f"my apikey {loose} it was"), (101, other), (102, "x of aaaaaaaaaaaaaaaaaaaaaa1")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(docs).collect()}
+    assert all(got[i].n_found == 1 and got[i].n_spans == 1 for i in range(12))
+    assert got[100].spans == f"secret:10:{10 + len(loose)}" and got[101].spans == "" and got[102].spans == ""
+    assert dict(pairs(pii.redact(docs)))[100] == "my apikey [SECRET] it was"
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "foo"), (3, "HTTP://A.Example.ORG/en/1?x"), (4, "http://org"), (5, "a://b.com/de/?"), (6, "http://h.org#/x"), (7, "x\ny://Ex.COM/fr/\nq?"), (8, "http://notorg/"), (None, "http://example.org/es/1"), (3, "HTTP://A.Example.ORG/en/1?x"), (9, "http://a.b.org/" + "y/" * 5000)]
     bad = [(100 + i, f"http://m.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(60)] + [(300 + i, f"http://m.com/de-old/{i}") for i in range(3)]
@@ -288,6 +332,58 @@ def test_url_purity(spark):
     assert got == {5: "block", 6: "allow"}
 
 
+def test_url_tree_against_a_plain_version(spark):
+    """All levels of the tree over dictionaries."""
+    rng = random.Random(17)
+    rules = (("block", "a.com", "/x/"), ("allow", "a.com", "/y/"), ("block", "b.com", "/x/q"), ("allow", "b.com", "/"), ("block", "c.com", "/y/z/"))
+    urls = [f"http://{rng.choice(['w.', ''])}{rng.choice('abcd')}.com/" + "/".join(rng.choice(["x", "y", "z", "q", str(rng.randint(1, 99999)), f"s{rng.randint(1, 9)}"]) for _ in range(rng.randint(0, 4))) for _ in range(900)]
+    got = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    shape = lambda s: "<num>" if s.isdigit() else s
+    rows = []
+    for r in sorted(got, key=lambda r: r.page_id):
+        fit = [(len(h + p), v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        rows.append({"host": r.host, "segs": [shape(s) for s in r.path.split("/") if s], "label": max(fit)[1] if fit else None, "t": ""})
+    count = lambda some: (sum(x["label"] == "block" for x in some), sum(x["label"] is not None for x in some))
+    b, n = count(rows)
+    for x in rows:
+        x["all"] = (b + 1) / (n + 2)
+    for h in {x["host"] for x in rows}:
+        own = [x for x in rows if x["host"] == h]
+        hb, hl = count(own)
+        for x in own:
+            x["own"] = (hb + urltree.WEIGHT * x["all"]) / (hl + urltree.WEIGHT)
+
+    def apart(b, n, nb, nl):
+        rb, rl = nb - b, nl - n
+        if n < urltree.LEAST or rl < urltree.LEAST or nb in (0, nl):
+            return False
+        p = nb / nl
+        return abs(b / n - rb / rl) / (p * (1 - p) * (1 / n + 1 / rl)) ** 0.5 >= urltree.DIFFERENT
+
+    for level in range(4):
+        going = [x for x in rows if len(x["segs"]) > level]
+        group = lambda *keys: {k: [x for x in going if tuple(x[y] if y != "seg" else x["segs"][level] for y in keys) == k] for k in {tuple(x[y] if y != "seg" else x["segs"][level] for y in keys) for x in going}}
+        ht, hts, t, ts = group("host", "t"), group("host", "t", "seg"), group("t"), group("t", "seg")
+        for x in going:
+            s = x["segs"][level]
+            here = apart(*count(hts[x["host"], x["t"], s]), *count(ht[x["host"], x["t"]]))
+            x["name"] = s if here or apart(*count(ts[x["t"], s]), *count(t[x["t"],])) else "*"
+        new = []
+        for x in going:
+            same = [y for y in going if y["t"] == x["t"] and y["name"] == x["name"]]
+            qb, ql = count(same)
+            pb, pl = count([y for y in same if y["host"] == x["host"]])
+            every = (qb + urltree.WEIGHT * x["all"]) / (ql + urltree.WEIGHT)
+            new.append((every, (pb + urltree.WEIGHT * every + urltree.OWN * x["own"]) / (pl + urltree.WEIGHT + urltree.OWN)))
+        for x, (every, own) in zip(going, new):
+            x["all"], x["own"], x["t"] = every, own, f"{x['t']}/{x['name']}"
+    assert len({x["t"] for x in rows}) > 4
+    for x, r in zip(rows, sorted(got, key=lambda r: r.page_id)):
+        assert (r.template, r.verdict) == (x["t"], x["label"] or ("block" if x["own"] >= urltree.REJECT else "allow")) and abs(r.share - x["own"]) < 1e-5
+    measured = urltree.held_out(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).first()
+    assert 0 <= measured.n_right <= min(measured.n_rejected, measured.n_blocked) <= measured.n_labelled
+
+
 def test_bpe(spark, awkward, empty):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.public_ranks()
@@ -321,6 +417,13 @@ def test_shards(spark, awkward, empty):
         assert [r.slot for r in mine] == list(range(len(mine)))
         assert len([1 for a, b in zip(mine, mine[1:]) if a.text_crc32 != b.text_crc32]) <= 6
     assert all(r.grown_shard in (r.shard, 24) for r in rows) and 60 < sum(r.grown_shard == 24 for r in rows) < 190
+    import math
+
+    def drawn(key, n):
+        score = lambda i: 1 / -math.log(((xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)) >> 11) + 0.5) / (1 << 53))
+        return max(range(n), key=lambda i: (score(i), i))
+
+    assert all((r.shard, r.grown_shard) == (drawn(r.doc_id, 24), drawn(r.doc_id, 25)) for r in rows)
     heavy = sharding.shards(many, weights=[3.0, 1.0]).groupBy("shard").count().collect()
     assert 2000 < {r.shard: r["count"] for r in heavy}[0] < 2500
     assert sharding.shards(empty).count() == 0
@@ -421,3 +524,25 @@ def test_licenses_in_text_that_compresses_well():
         before, after = (" ".join(rng.choice(prose) for _ in range(140)) for _ in range(2))
         hits = list(scanner.scan(f"{before}. {licenses.TEMPLATES['MIT-line']} {after}."))
         assert [(h[0], h[1], h[3]) for h in hits] == [("MIT-line", len(before) + 2, 1.0)]
+
+
+def test_licenses_against_every_place():
+    """Blocks pass over nothing that confirming each template over the whole text would find; templates may be long."""
+    rng = random.Random(14)
+    long = " ".join(f"term{rng.randint(0, 400)}" for _ in range(1200))
+    scanner = licenses.Scanner(licenses.TEMPLATES | {"long": long})
+    for _ in range(25):
+        text = []
+        for _ in range(3):
+            words = (long if rng.random() < 0.2 else rng.choice(list(licenses.TEMPLATES.values()))).split(" ")
+            for _ in range(rng.randint(0, max(1, len(words) // 12))):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["changed"], [words[at], "added"]])
+            text += [" ".join(words), " ".join(rng.choice(["of", "the", "software", "river", "stone"]) for _ in range(rng.randint(0, 900)))]
+        whole = " ".join(text)
+        given = [w.lower() for w in licenses._WORD.findall(whole)]
+        starts = [m.start() for m in licenses._WORD.finditer(whole)]
+        want = {(t.name, starts[w]) for t in scanner.known for w, _, _ in scanner.places(t, given, licenses.numbered(whole))}
+        assert {h[:2] for h in scanner.scan(whole)} == want
+    found = [h[:2] for h in scanner.scan(f"{long} {licenses.TEMPLATES['MIT-line']} {licenses.TEMPLATES['MIT-line']} {long}")]
+    assert sorted(name for name, _ in found) == ["MIT-line", "MIT-line", "long", "long"]
