@@ -18,7 +18,7 @@ from .common import remove, scratch, stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path; the longest wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Levels of the tree; segments below lie together in the last one.
+#: Levels that are always told apart. Below them a node whose labelled pages can't split any more ends in `**`.
 DEPTH = 6
 #: Standard deviations from which two shares differ; labelled pages that a branch needs to stay apart.
 DIFFERENT, LEAST = 2.0, 5
@@ -58,10 +58,8 @@ def shape(segment: Column) -> Column:
 
 
 def _shaped(path_: Column) -> Column:
-    """The first DEPTH segments by shape; what lies deeper is joined in the last one as `**`."""
-    parts = F.filter(F.split(path_, "/"), lambda x: x != "")
-    head = F.transform(F.slice(parts, 1, DEPTH), shape)
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(head, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(head)
+    """The segments by shape."""
+    return F.transform(F.filter(F.split(path_, "/"), lambda x: x != ""), shape)
 
 
 def _apart(b, l, nb, nl):
@@ -94,23 +92,30 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, shaped, template, share): the template and smoothed blocked share of each shaped path.
 
     pages: (host, shaped array<string>, blocked, labelled), aggregated by host and shaped path. A level is one round over
-    them; each round is stored, and the one before removed.
+    the paths that still go on; each round is stored, and the one before removed. From DEPTH on a path goes on only where
+    the pages under its template, over all hosts, could still split: enough of them labelled, some blocked and some not.
     """
     spark = pages.sparkSession
     total = pages.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("share_all"))
     by_host = pages.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
     root = by_host.crossJoin(F.broadcast(total)).select("host", "share_all", ((F.col("hb") + WEIGHT * F.col("share_all")) / (F.col("hl") + WEIGHT)).alias("share"))
-    now, path = stored(pages.join(root, "host").withColumn("template", F.lit("")))
-    for level in range(DEPTH):
-        deeper = F.size("shaped") > level
-        if now.where(deeper).isEmpty():
-            break
-        going = now.where(deeper).withColumn("seg", F.col("shaped")[level])
+    now, path = stored(pages.join(root, "host").select("*", F.lit("").alias("template"), (F.size("shaped") > 0).alias("open")))
+    level = 0
+    while not now.where("open").isEmpty():
+        going, ended = now.where("open").withColumn("seg", F.col("shaped")[level]), now.where("not open")
+        if level >= DEPTH:
+            sums = going.groupBy("template").agg(F.sum("blocked").alias("nb"), F.sum("labelled").alias("nl"))
+            splits = sums.select("template", ((F.col("nl") >= 2 * LEAST) & (F.col("nb") > 0) & (F.col("nb") < F.col("nl"))).alias("splits"))
+            going = going.join(splits, "template")
+            ended = ended.unionByName(going.where("not splits").select(*[F.concat("template", F.lit("/**")).alias(c) if c == "template" else F.lit(False).alias(c) if c == "open" else F.col(c) for c in ended.columns]))
+            going = going.where("splits").drop("splits")
         stepped = going.join(_named(going), ["host", "template", "seg"]).select(
-            "host", "shaped", "blocked", "labelled", F.col("own_all").alias("share_all"), F.col("own").alias("share"), F.concat("template", F.lit("/"), F.col("name")).alias("template")
+            "host", "shaped", "blocked", "labelled", F.col("own_all").alias("share_all"), F.col("own").alias("share"), F.concat("template", F.lit("/"), F.col("name")).alias("template"),
+            (F.size("shaped") > level + 1).alias("open"),
         )
-        before, (now, path) = path, stored(now.where(~deeper).unionByName(stepped))
+        before, (now, path) = path, stored(ended.unionByName(stepped))
         remove(spark, before)
+        level += 1
     return now.select("host", "shaped", "template", "share")
 
 
@@ -146,7 +151,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     Where a rule fits, its verdict holds; elsewhere a page is blocked if its template's share is REJECT or more. A null
     url, and one without `://`, has an empty host and path; such pages form a host of their own. Repeated rows and null
     keys keep their rows; ties can't arise; other columns are ignored; an empty table gives no rows. Paths are read
-    whole, segments from the DEPTH-th on lie together in `**`.
+    whole, however deep; `**` stands for segments below a node that can't split.
     """
     some = _placed(pages, id_col, url_col, rules)
     return some.join(_tree(some, F.lit(True)), ["host", "shaped"]).select(
