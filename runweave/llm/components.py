@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import remove, stored
 
+#: A node with more than this share of a round's edges is a hub; there can be no more than two for each of them.
+HUB = 1 / 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, most: float) -> DataFrame:
+    """rows joined with (u, m) of least by u. Hubs, whose n is over `most`, are few by that bound and broadcast, so that none fills a task."""
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
+    others = least.where(F.col("n") <= most).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (a, b: long, not null) can reach.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Minima are aggregated map-side before they are
-    joined back, so the neighbours of a hub are never gathered; the edges of each round are written and reread, and
+    joined back, by broadcast for hubs, so the neighbours of a hub are never gathered; the edges of each round are written and reread, and
     those of the round before removed. The number of rounds grows with the logarithm of the graph; reaching `rounds`
     raises an error instead of returning something half done. No edges: no rows.
     """
@@ -26,10 +36,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             )
         seen = size
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least, size[0] * HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, size[0] * HUB).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, (now, path) = path, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         remove(edges.sparkSession, before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

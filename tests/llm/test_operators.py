@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from runweave.llm import bpe, decontam, langid, licenses, pii, quality, sharding, simhash, substring, urltree
+from runweave.llm.components import components as components_of
 
 random.seed(7)
 WORDS = ["the", "of", "and", "tion", "Ä", "été", "x1", "a@b.org", "Zoo."]
@@ -57,6 +58,19 @@ def components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def test_components_with_hubs(spark):
+    """Hubs, chains, loops and repeated edges against union by hand."""
+    rng = random.Random(23)
+    edges = [(7, i) for i in range(2000, 3500)] + [(9, i) for i in range(3400, 3600)] + [(i, i + 1) for i in range(5000, 5040)] + [(1, 1), (8, 6), (8, 6), (6, 8)] + [(rng.randint(9000, 9600), rng.randint(9000, 9600)) for _ in range(250)]
+    up = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    got = components_of(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == up and got.count() == len(up)
+
+
 def test_simhash(awkward, empty):
     prints = [(i, fingerprint(t)) for i, t in pairs(awkward)]
     roots = components(sorted({p for _, p in prints}), lambda a, b: (a ^ b).bit_count() <= 3)
@@ -332,8 +346,10 @@ def test_url_purity(spark):
     assert got == {5: "block", 6: "allow"}
 
 
-def test_url_tree_against_a_plain_version(spark):
-    """All levels of the tree over dictionaries."""
+@pytest.mark.parametrize("depth", [6, 1])
+def test_url_tree_against_a_plain_version(spark, monkeypatch, depth):
+    """All levels of the tree over dictionaries; below `depth` only nodes that could split go on."""
+    monkeypatch.setattr(urltree, "DEPTH", depth)
     rng = random.Random(17)
     rules = (("block", "a.com", "/x/"), ("allow", "a.com", "/y/"), ("block", "b.com", "/x/q"), ("allow", "b.com", "/"), ("block", "c.com", "/y/z/"))
     urls = [f"http://{rng.choice(['w.', ''])}{rng.choice('abcd')}.com/" + "/".join(rng.choice(["x", "y", "z", "q", str(rng.randint(1, 99999)), f"s{rng.randint(1, 9)}"]) for _ in range(rng.randint(0, 4))) for _ in range(900)]
@@ -342,7 +358,8 @@ def test_url_tree_against_a_plain_version(spark):
     rows = []
     for r in sorted(got, key=lambda r: r.page_id):
         fit = [(len(h + p), v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
-        rows.append({"host": r.host, "segs": [shape(s) for s in r.path.split("/") if s], "label": max(fit)[1] if fit else None, "t": ""})
+        segs = [shape(s) for s in r.path.split("/") if s]
+        rows.append({"host": r.host, "segs": segs, "label": max(fit)[1] if fit else None, "t": "", "open": bool(segs)})
     count = lambda some: (sum(x["label"] == "block" for x in some), sum(x["label"] is not None for x in some))
     b, n = count(rows)
     for x in rows:
@@ -360,8 +377,16 @@ def test_url_tree_against_a_plain_version(spark):
         p = nb / nl
         return abs(b / n - rb / rl) / (p * (1 - p) * (1 / n + 1 / rl)) ** 0.5 >= urltree.DIFFERENT
 
-    for level in range(4):
-        going = [x for x in rows if len(x["segs"]) > level]
+    level = 0
+    while any(x["open"] for x in rows):
+        going = [x for x in rows if x["open"]]
+        if level >= depth:
+            under = {t: count([x for x in going if x["t"] == t]) for t in {x["t"] for x in going}}
+            for x in going:
+                nb, nl = under[x["t"]]
+                if nl < 2 * urltree.LEAST or nb in (0, nl):
+                    x["t"], x["open"] = x["t"] + "/**", False
+            going = [x for x in going if x["open"]]
         group = lambda *keys: {k: [x for x in going if tuple(x[y] if y != "seg" else x["segs"][level] for y in keys) == k] for k in {tuple(x[y] if y != "seg" else x["segs"][level] for y in keys) for x in going}}
         ht, hts, t, ts = group("host", "t"), group("host", "t", "seg"), group("t"), group("t", "seg")
         for x in going:
@@ -376,7 +401,9 @@ def test_url_tree_against_a_plain_version(spark):
             every = (qb + urltree.WEIGHT * x["all"]) / (ql + urltree.WEIGHT)
             new.append((every, (pb + urltree.WEIGHT * every + urltree.OWN * x["own"]) / (pl + urltree.WEIGHT + urltree.OWN)))
         for x, (every, own) in zip(going, new):
-            x["all"], x["own"], x["t"] = every, own, f"{x['t']}/{x['name']}"
+            x["all"], x["own"], x["t"], x["open"] = every, own, f"{x['t']}/{x['name']}", len(x["segs"]) > level + 1
+        level += 1
+    assert any(x["t"].endswith("/**") for x in rows) == (depth == 1) and (depth == 6 or any(x["t"].count("/") > 2 for x in rows))
     assert len({x["t"] for x in rows}) > 4
     for x, r in zip(rows, sorted(got, key=lambda r: r.page_id)):
         assert (r.template, r.verdict) == (x["t"], x["label"] or ("block" if x["own"] >= urltree.REJECT else "allow")) and abs(r.share - x["own"]) < 1e-5
@@ -384,6 +411,14 @@ def test_url_tree_against_a_plain_version(spark):
     assert 0 <= measured.n_right <= min(measured.n_rejected, measured.n_blocked) <= measured.n_labelled
 
 
+def test_deep_urls_are_told_apart(spark):
+    """Branches far below the levels that are always told apart are judged by their own labels."""
+    rules, deep = (("block", "x.net", "/a/b/c/d/e/f/g/ads/1"), ("allow", "x.net", "/a/b/c/d/e/f/g/news/1")), "http://x.net/a/b/c/d/e/f/g"
+    rows = [(i, f"{deep}/{kind}/{i}") for i in range(1000, 1060) for kind in ("ads", "news")] + [(5, f"{deep}/ads/77"), (6, f"{deep}/news/77")]
+    got = {r.page_id: (r.verdict, r.template) for r in urltree.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect() if r.page_id < 10}
+    assert got[5][0] == "block" and got[6][0] == "allow" and got[5][1].endswith("/ads/**") and got[6][1].endswith("/news/**")
+
+
 def test_bpe(spark, awkward, empty):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.public_ranks()
