@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -103,6 +103,11 @@ def unused(columns: Iterable[str], *stems: str) -> list[str]:
     return out
 
 
+def named(column: str) -> Column:
+    """The column of just that name, whatever signs the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8; bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -158,7 +163,7 @@ def kgram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 
 def text_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key and the text, under fixed names, so that no other column of the input can clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
 
 
 def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:

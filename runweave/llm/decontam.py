@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_filter, kgram_hashes, record, scratch, seed_filter, slices, unused
+from .common import arrow_map, in_filter, kgram_hashes, named, record, scratch, seed_filter, slices, unused
 
 MATCH, COVERAGE = 5, 0.5
 FILTER_BITS = 24
@@ -110,7 +110,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     items count once; equal texts under two item keys give two pairs. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("xh", F.xxhash64("text"))
+    some = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).withColumn("xh", F.xxhash64("text"))
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).distinct().withColumn("ih", F.xxhash64("item_id", "item"))
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +169,4 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     d, x = unused(docs.columns, "leak_id", "leak_hash")
     gone = scratch(leaks(docs, items, id_col=id_col, text_col=text_col, **names).select(F.col("doc_id").alias(d), F.col("xh").alias(x)).distinct())
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[d]) & (F.xxhash64(docs[text_col].cast("string")) == gone[x]), "left_anti")
+    return docs.join(gone, named(id_col).cast("long").eqNullSafe(gone[d]) & (F.xxhash64(named(text_col).cast("string")) == gone[x]), "left_anti")

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import arrow_map, byte_slices, record, remove, scratch, stored, unused
+from .common import arrow_map, byte_slices, named, record, remove, scratch, stored, unused
 
 #: Kinds of spans; those of the fixed patterns come first.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -234,7 +235,7 @@ def trusted(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The scan, stored, and (rid, more): the further spans of each row that has any, as [start, kind, end]."""
-    some = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("xh"), F.col(text_col).cast("string").alias("text"))
+    some = docs.select(F.monotonically_increasing_id().alias("rid"), named(id_col).cast("long").alias("doc_id"), F.xxhash64(named(text_col).cast("string")).alias("xh"), named(text_col).cast("string").alias("text"))
     scan = scratch(_scan(some))
     said = scan.where(F.size("said") > 0).select("rid", F.explode("said").alias("m")).select("rid", "m.*")
     edges = scratch(said.select("instance", F.explode("patterns").alias("pattern")).distinct())
@@ -272,7 +273,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     d, x, m = unused(docs.columns, "found_id", "found_hash", "found_spans")
     known = scratch(more.join(scan.select("rid", "doc_id", "xh"), "rid").select(F.col("doc_id").alias(d), F.col("xh").alias(x), F.col("more").alias(m)).dropDuplicates([d, x]))
     names, at = docs.columns, docs.columns.index(text_col)
-    joined = docs.join(known, docs[id_col].cast("long").eqNullSafe(known[d]) & (F.xxhash64(docs[text_col].cast("string")) == known[x]), "left").select(*[docs[c] for c in names], m)
+    joined = docs.join(known, named(id_col).cast("long").eqNullSafe(known[d]) & (F.xxhash64(named(text_col).cast("string")) == known[x]), "left").select(*map(named, names), m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, at):
@@ -285,6 +286,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         out += [text[done:s], f"[{KINDS[k].upper()}]"]
                     done = max(done, e)
                 texts.append("".join([*out, text[done:]]) if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(i).type) if i == at else b.column(i) for i in range(len(names))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(i).type) if i == at else b.column(i) for i in range(len(names))], names=plain)
 
-    return joined.mapInArrow(run, docs.schema)
+    # mapInArrow takes no names with backticks: plain ones meanwhile
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(plain, docs.schema)])
+    return joined.toDF(*plain, "more").mapInArrow(run, schema).toDF(*names)

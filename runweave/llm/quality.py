@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import named, unused
 
 #: The blank characters themselves, to trim.
 BLANKS = " \t\n\x0b\f\r"
@@ -183,7 +183,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
     A null or empty text has no word and fails. Repeated rows and null keys keep their rows; ties can't arise; other
     columns are ignored; an empty table gives no rows.
     """
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    some = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     found, name = judged(some, F.col("text"), phrases)
     return found.select("doc_id", *[F.col(f"{name}.{m}").alias(m) for m in MEASURES])
 
@@ -195,10 +195,10 @@ def clean(docs: DataFrame, text_col: str = "text", phrases: tuple[str, ...] = BO
     last byte. Null and empty texts fail and go. Repeated rows each stay or go alike; an empty table stays empty; columns
     of any name may be there beside the text.
     """
-    found, name = judged(docs, F.col(text_col), phrases)
+    found, name = judged(docs, named(text_col), phrases)
     # an explode of one text or none: as a filter, Catalyst would work out the whole verdict again beside the text
     left = F.explode(F.when(F.col(f"{name}.kept"), F.array(F.col(f"{name}.cleaned"))).otherwise(F.array().cast("array<string>")))
-    return found.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return found.select(*[left.alias(c) if c == text_col else named(c) for c in docs.columns])
 
 
 _SQL_ENDING, _SQL_INNER = (x.replace("IsThai", "Thai").replace("IsLao", "Lao").replace("'", "''") for x in (ENDING, INNER))

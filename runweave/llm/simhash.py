@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, in_filter, lower_words, record, scratch, seed_filter, slices, text_columns, unused
+from .common import arrow_map, byte_slices, cut, in_filter, lower_words, named, record, scratch, seed_filter, slices, text_columns, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -266,6 +266,8 @@ NEAR_SHINGLE, SIMILARITY, BINS, ROWS, BANDS = 5, 0.8, 256, 5, 20
 WIDE, SLACK = 20, 0.3
 #: Texts of a bucket that one task compares, by sketch and by their shingles; bits of the filter of candidates.
 NEAR_BUCKET, EXACT_BUCKET, FILTER_BITS = 2048, 512, 24
+#: Shingles that a text of an exact bucket has on average, at most; longer texts lie in smaller buckets.
+EXACT_SHINGLES = 8192
 #: Stands for a null doc_id, after all others.
 LAST = (1 << 63) - 1
 _MARK = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("fp", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
@@ -387,7 +389,7 @@ def exact_links(trees: np.ndarray, sets: list[np.ndarray], similarity: float = S
 def _confirmed(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (a, b, hashes of a, hashes of b): the pairs that reach the similarity."""
-        for b in slices(batches):
+        for b in byte_slices(batches, 2, rows=128):
             sets = zip(*(b.column(i).to_pylist() for i in (2, 3)))
             yield record(_EDGE, *b.filter(pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in sets], pa.bool_())).columns[:2])
 
@@ -420,7 +422,7 @@ def _near_kinds(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     some = text_columns(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("xh", F.xxhash64("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, 1):
             rows = []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text, shingle)
@@ -444,7 +446,7 @@ def _near_kinds(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     bits = docs.sparkSession.sparkContext.broadcast(seed_filter(chosen.select(F.col("x").alias("seed")), FILTER_BITS))
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, 1):
             b = b.filter(pa.array(in_filter(b.column(2).to_numpy(zero_copy_only=False).view(np.uint64), bits.value)))
             yield record(_SET, b.column(0), b.column(2), [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(1).to_pylist()])
 
@@ -452,8 +454,11 @@ def _near_kinds(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     sets = scratch(found.join(chosen, (F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x"))).select("node", "key", "hashes").dropDuplicates(["node"]))
     of = lambda node, hashes: sets.select(F.col("node").alias(node), F.col("hashes").alias(hashes))
     sure = arrow_map(maybe.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y"), _confirmed(similarity), "a long, b long")
-    trees = scratch(sets.select("node", "key").join(components(sure), "node", "left").select("node", "key", F.coalesce("root", "node").alias("tree")))
-    parted = trees.groupBy("key").agg(F.count("*").alias("n"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("key", "n")
+    sized = sets.select("node", "key", (F.octet_length("hashes") / 8).alias("size"))
+    trees = scratch(sized.join(components(sure), "node", "left").select("node", "key", "size", F.coalesce("root", "node").alias("tree")))
+    # a group of long texts counts as one of more texts, so that a bucket's hashes stay small; as many buckets as texts at most
+    count = F.greatest(F.count("*"), F.least(F.count("*") * EXACT_BUCKET, F.ceil(F.sum("size") / EXACT_SHINGLES)))
+    parted = trees.groupBy("key").agg(count.alias("n"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("key", "n")
     cells = _dealt(trees.join(parted, "key"), "node", EXACT_BUCKET).select("bucket", "tree", "node").join(sets.select("node", "hashes"), "node")
     more = arrow_map(cells.select("bucket", "tree", "hashes").repartition("bucket").sortWithinPartitions("bucket"), _exact_runs(similarity), "a long, b long")
     joined = components(more.distinct()).select(F.col("node").alias("tree"), F.col("root").alias("over"))
@@ -489,11 +494,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = kinds.join(first, "root").select("node", F.col("first.doc_id").alias("d"), F.col("first.xh").alias("x"))
     rows = scratch(marked.groupBy("doc_id", "xh", "node").agg(F.count("*").alias("n")).join(chosen, "node").select("doc_id", "xh", "n", ((F.col("doc_id") == F.col("d")) & (F.col("xh") == F.col("x"))).alias("stays")))
     d, x, whole = unused(docs.columns, "near_id", "near_hash", "near_row")
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string")))
+    key = (F.coalesce(named(id_col).cast("long"), F.lit(LAST)), F.xxhash64(named(text_col).cast("string")))
     pick = lambda r: r.select(F.col("doc_id").alias(d), F.col("xh").alias(x))
     same = (key[0] == F.col(d)) & (key[1] == F.col(x))
     kept = docs.join(pick(rows.where("not stays")), same, "left_anti")
     more = pick(rows.where("stays and n > 1"))
-    every = F.struct(*[F.col(c) for c in docs.columns])
+    every = F.struct(*[named(c) for c in docs.columns])
     again = kept.join(more, same, "left_semi").groupBy(key[0].alias(d), key[1].alias(x)).agg(F.min_by(every, F.to_json(every)).alias(whole)).select(f"{whole}.*")
     return kept.join(more, same, "left_anti").unionByName(again)
