@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, pii, quality, sharding, simhash, substring, urltree
+from . import bpe, decontam, divergence, langid, licenses, periods, pii, quality, sharding, simhash, substring, urltree, wordbpe
 from .common import table
 
 
@@ -60,6 +60,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, source, part, item, value, rank) of every group of documents; edge cases as in divergence.audit()."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; edge cases as in wordbpe.encode()."""
+    return wordbpe.digests(table(spark, sf_dir, "documents"), wordbpe.public_file())
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, each tenth key's words with a periodic tail; edge cases as in periods.find(), planted()."""
+    return periods.digests(table(spark, sf_dir, "documents"), change=periods.planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,7 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_quality,
         op9_substring_dedup,
         op10_license_scan,
+        op11_source_divergence,
+        op12_word_bpe,
+        op13_periodic_runs,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_quality": quality.VERDICTS_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_quality": quality.VERDICTS_SQL, "op11_source_divergence": divergence.AUDIT_SQL}
