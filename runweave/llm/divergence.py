@@ -8,6 +8,7 @@ out together up to a fixed number of bytes, and each such set reads the texts on
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +22,7 @@ from .common import arrow_map, byte_slices, cut, named, record, scratch
 #: Documents of a language that a kept term is in, and ranks of the terms that are told.
 LEAST_DOCS, TOP = 10, 10
 #: Terms of a shard; bytes of the shards that go out together.
-SHARD, AT_ONCE = 1 << 17, 64 << 20
+SHARD, AT_ONCE = 1 << 12, 64 << 20
 #: Cells (sources times terms) of a block that is compared at once; counted terms that a task holds before it passes them on.
 CELLS, HELD = 1 << 14, 1 << 18
 #: Smoothed shares are told in parts of UNIT, with PRIOR added to each count.
@@ -115,13 +116,15 @@ class Vocabulary:
         self.parts = [Transducer(*read(s)) for s in shards]
 
     def ordinals(self, some: list[bytes]) -> np.ndarray:
-        if len(self.parts) == 1:
-            found = self.parts[0].ordinals(some)
-            return np.where(found < 0, found, found + self.bases[0])
+        """As Transducer.ordinals(), in all of the language; a term walks through the one shard that may hold it."""
         out = np.full(len(some), -1, np.int64)
-        for base, part in zip(self.bases, self.parts):  # a term is in one shard at most, and leaves the others early
-            found = part.ordinals(some)
-            out[found >= 0] = found[found >= 0] + base
+        of: dict[int, list[int]] = defaultdict(list)
+        for i, term in enumerate(some):
+            of[bisect_right(self.firsts, term) - 1].append(i)
+        for shard, at in of.items():
+            if shard >= 0:
+                found = self.parts[shard].ordinals([some[i] for i in at])
+                out[at] = np.where(found < 0, found, found + self.bases[shard])
         return out
 
 

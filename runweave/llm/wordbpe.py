@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from .bpe import byte_characters
 from .common import arrow_map, byte_slices, named, record, text_columns
 
-#: Bytes of a generation of remembered parts and fragments; a worker keeps two, and forgets the older one when the younger is full.
-MEMORY = 32 << 20
+#: Bytes of a generation of remembered parts, and of fragments; a worker keeps two, and forgets the older one when the younger is full.
+MEMORY, FRAGMENT_MEMORY = 32 << 20, 8 << 20
 #: Bytes that an entry takes beside its two values.
 ENTRY = 104
-#: White space at which texts are parted; the file's normalizer makes one blank of each run, other white space is left to it.
-BLANK = re.compile("[ \n\t\r]+")
+#: Stands between parts that are normalized together: a word of its own between blanks. Parts in one call.
+BETWEEN, TOGETHER = "\ue000", 2000
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -43,7 +43,8 @@ def inner_pairs(tokens: list[str], end: str) -> set[str]:
 class Memory:
     """What was encoded, in two generations of bounded size."""
 
-    def __init__(self):
+    def __init__(self, size: int):
+        self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -54,7 +55,7 @@ class Memory:
 
     def age(self) -> None:
         """Between slices only: what a slice has learned must stay until it is put together."""
-        if self.held > MEMORY:
+        if self.held > self.size:
             self.young, self.old, self.held = {}, self.young, 0
 
     def missing(self, keys: set[str]) -> set[str]:
@@ -88,10 +89,11 @@ class Codec:
         self.mark = re.compile("|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) or r"(?!)")
         inside, shown = inner_pairs(list(model["vocab"]), self.end), byte_characters()
         # where a cut is certain: between a character and the next one, if no token holds both side by side
-        after = {a: [b for b in shown if a + b not in inside] for a in shown}
-        cut = "|".join(f"(?<={re.escape(a)})(?=[{''.join(map(re.escape, bs))}])" for a, bs in after.items() if bs)
-        self.boundary = re.compile(cut or r"(?!)")
-        self.parts, self.fragments = Memory(), Memory()
+        self.certain = np.ones((max(map(ord, shown)) + 1,) * 2, bool)
+        for a, b in inside:
+            self.certain[ord(a), ord(b)] = False
+        self.between = self.words.pre_tokenize_str(self.normal.normalize_str(f"a {BETWEEN} a"))[1][0]
+        self.parts, self.fragments = Memory(MEMORY), Memory(FRAGMENT_MEMORY)
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -102,11 +104,35 @@ class Codec:
         if not plain or not raw or spec["post_processor"] or spec["decoder"] or set(byte_characters()) - set(model["vocab"]):
             raise ValueError("no tokenizer of plain byte merges with word ends")
 
-    def cut(self, word: str) -> list[str]:
-        """The fragments of a word that is given by the characters of its bytes; the last one carries the word's end."""
-        found = self.boundary.split(word)
-        found[-1] += self.end
-        return found
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """The fragments of each word, given by the characters of its bytes; the last one of a word carries its end."""
+        joined = "".join(words)
+        code = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        bounds = np.flatnonzero(self.certain[code[:-1], code[1:]]) + 1
+        bounds = np.union1d(bounds, ends)
+        out, found, at, last = [], [], 0, iter(ends.tolist())
+        stop = next(last, None)
+        for b in bounds.tolist():
+            if b == stop:
+                found.append(joined[at:b] + self.end)
+                out.append(found)
+                found, stop = [], next(last, None)
+            else:
+                found.append(joined[at:b])
+            at = b
+        return out
+
+    def words_of(self, parts: list[str]) -> list[list[str]]:
+        """The words of each part, as the file's normalizer and pre-tokenizer make them; many parts go through them at once."""
+        found = {i: [w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(p))] for i, p in enumerate(parts) if BETWEEN in p}
+        plain = [i for i in range(len(parts)) if i not in found]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            words = iter(w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(f" {BETWEEN} ".join([parts[i] for i in some]))))
+            for i in some:
+                found[i] = list(iter(lambda: next(words, self.between), self.between))  # noqa: B023
+        return [found[i] for i in range(len(parts))]
 
     def _encode_fragment(self, fragment: str) -> bytes:
         ended = fragment.endswith(self.end) and len(fragment) > len(self.end)
@@ -117,28 +143,32 @@ class Codec:
         """Have all parts in memory, as little-endian unsigned ids."""
         self.parts.age()
         self.fragments.age()
-        todo = {}
+        new = []
         for part in self.parts.missing(parts):
             if part in self.marks:
                 self.parts.keep(part, self.marks[part])
             else:
-                todo[part] = [x for word, _ in self.words.pre_tokenize_str(self.normal.normalize_str(part)) for x in self.cut(word)]
-        for x in self.fragments.missing({x for found in todo.values() for x in found}):
+                new.append(part)
+        words = self.words_of(new)
+        fragments = iter(self.cut([w for of in words for w in of]))
+        cuts = [[x for _ in of for x in next(fragments)] for of in words]
+        for x in self.fragments.missing({x for found in cuts for x in found}):
             self.fragments.keep(x, self._encode_fragment(x))
-        for part, found in todo.items():
-            self.parts.keep(part, b"".join([self.fragments.young[x] for x in found]))
+        known = self.fragments.young
+        for part, found in zip(new, cuts):
+            self.parts.keep(part, b"".join([known[x] for x in found]))
 
     def split(self, text: str | None) -> list[str]:
         """The parts of a text between blanks; special tokens are parts of their own."""
         if not text:
             return []
         if not self.mark.search(text):
-            return BLANK.split(text)
+            return text.replace("\n", " ").split(" ")  # what other white space parts may hold is left to the file
         out, at = [], 0
         for m in self.mark.finditer(text):
-            out += [*BLANK.split(text[at : m.start()]), m.group()]
+            out += [*self.split(text[at : m.start()]), m.group()]
             at = m.end()
-        return out + BLANK.split(text[at:])
+        return out + self.split(text[at:])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
