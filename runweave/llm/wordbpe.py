@@ -13,7 +13,6 @@ import hashlib
 import json
 import os
 import re
-import sys
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -26,8 +25,10 @@ from .common import arrow_map, byte_slices, named, record, text_columns
 
 #: Bytes of a generation of remembered parts, and of fragments; a worker keeps two, and forgets the older one when the younger is full.
 MEMORY, FRAGMENT_MEMORY = 32 << 20, 8 << 20
-#: Bytes that an entry takes beside its two values.
-ENTRY = 104
+#: Bytes that an entry takes beside the characters and ids of its two values.
+ENTRY = 190
+#: All printable ASCII characters but the blank; they stand for themselves as bytes.
+PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
 #: Stands between parts that are normalized together: a word of its own between blanks. Parts in one call.
 BETWEEN, TOGETHER = "\ue000", 2000
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -51,7 +52,7 @@ class Memory:
 
     def keep(self, key: str, ids: bytes) -> None:
         self.young[key] = ids
-        self.held += sys.getsizeof(key) + sys.getsizeof(ids) + ENTRY
+        self.held += len(key) + len(ids) + ENTRY
 
     def age(self) -> None:
         """Between slices only: what a slice has learned must stay until it is put together."""
@@ -93,6 +94,7 @@ class Codec:
         for a, b in inside:
             self.certain[ord(a), ord(b)] = False
         self.between = self.words.pre_tokenize_str(self.normal.normalize_str(f"a {BETWEEN} a"))[1][0]
+        self.plain = self._plain_words(spec)
         self.parts, self.fragments = Memory(MEMORY), Memory(FRAGMENT_MEMORY)
 
     @staticmethod
@@ -104,6 +106,16 @@ class Codec:
         if not plain or not raw or spec["post_processor"] or spec["decoder"] or set(byte_characters()) - set(model["vocab"]):
             raise ValueError("no tokenizer of plain byte merges with word ends")
 
+    def _plain_words(self, spec: dict) -> re.Pattern | None:
+        """The file's own pattern for printable ASCII, if all that the file does to such text is lower case and this pattern."""
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        alone = len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "Regex" in steps[0].get("pattern", {})
+        bytewise = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        if not alone or not bytewise or kinds != ["NFC", "Replace", "Lowercase"] or self.normal.normalize_str(PRINTABLE) != PRINTABLE.lower():
+            return None
+        return re.compile(steps[0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") + "|\n")
+
     def cut(self, words: list[str]) -> list[list[str]]:
         """The fragments of each word, given by the characters of its bytes; the last one of a word carries its end."""
         joined = "".join(words)
@@ -125,13 +137,21 @@ class Codec:
 
     def words_of(self, parts: list[str]) -> list[list[str]]:
         """The words of each part, as the file's normalizer and pre-tokenizer make them; many parts go through them at once."""
-        found = {i: [w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(p))] for i, p in enumerate(parts) if BETWEEN in p}
-        plain = [i for i in range(len(parts)) if i not in found]
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
+        found: dict[int, list[str]] = {}
+        if self.plain:
+            ascii_ = [i for i, p in enumerate(parts) if p.isascii() and p.isprintable() and " " not in p]
+            words = iter(self.plain.findall("\n".join([parts[i] for i in ascii_]).lower() + "\n"))
+            for i in ascii_:
+                found[i] = list(iter(words.__next__, "\n"))
+        for i, p in enumerate(parts):
+            if BETWEEN in p:
+                found[i] = [w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(p))]
+        rest = [i for i in range(len(parts)) if i not in found]
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
             words = iter(w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(f" {BETWEEN} ".join([parts[i] for i in some]))))
             for i in some:
-                found[i] = list(iter(lambda: next(words, self.between), self.between))  # noqa: B023
+                found[i] = list(iter(lambda: next(words, self.between), self.between))  # noqa: B023 (the last part has no mark after it)
         return [found[i] for i in range(len(parts))]
 
     def _encode_fragment(self, fragment: str) -> bytes:
