@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names as N
-from .operators import evaluate, fragments, matrix, orders, reports, sampling
+from .operators import evaluate, fragments, graph, matrix, orders, reports, sampling, trees
 from .plans import analysis
 from .plans import config as C
 from .sources import readers, writers
@@ -318,6 +318,23 @@ def timing_table(spark, d):
     return readers.parsed_timings(header.union(writers.timing_lines(rows, names)), names)
 
 
+def _timing_file_lines(spark, d) -> DataFrame:
+    """Lines of timing files of two kinds, the second with one column more, in between; a header is repeated now and then."""
+    e, path = _t(spark, d, "events"), F.concat_ws("_", "event_type", (F.col("user_id") % 2).cast("string"))
+    older, run = F.col("user_id") % 2 == 1, F.col("event_id").cast("string")
+    seconds = F.when(F.col("event_id") % 7 == 0, "NA").otherwise(F.floor("value").cast("string"))
+    head = F.when(older, "experiment\treal_s_py\trun\treal_s").otherwise("experiment\trun\treal_s")
+    line = F.when(older, F.concat_ws("\t", "event_type", F.lit("None"), run, seconds)).otherwise(F.concat_ws("\t", "event_type", run, seconds))
+    heads = e.select(path.alias("path"), F.lit(0).cast("long").alias("pos"), head.alias("value")).distinct()
+    rows = e.select(path.alias("path"), (F.col("event_id") + 1).alias("pos"), F.when(F.col("event_id") % 11 == 0, head).otherwise(line).alias("value"))
+    return heads.unionByName(rows)
+
+
+def timing_headers(spark, d):
+    """Timing files, each read by its own header."""
+    return readers.united_timings(_timing_file_lines(spark, d), ["experiment", "run", "real_s", "real_s_py"])
+
+
 def timing_collection(spark, d):
     """Timing tables of each kind of event, all with the same header, put together."""
     rows = _t(spark, d, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat_ws("\t", "event_type", F.col("user_id").cast("string")).alias("value"))
@@ -371,13 +388,57 @@ def minhash_distance(spark, d):
     return fragments.sketch_distances(sketched, 200, 5).select("name_i", "name_j", "shared", F.round("mash", 6).alias("mash"))
 
 
+def _graph(spark, d) -> DataFrame:
+    return graph.unitigs(_t(spark, d, "documents"), 5, "source", "text")
+
+
+def compacted_graph(spark, d):
+    """All paths of the graph of five-word shingles of the documents, colored by source."""
+    return _graph(spark, d).select(F.array_join("names", " ").alias("colors"), "n_fragments", "sequence")
+
+
+def graph_weights(spark, d):
+    """Color sets of a dump of the graph, whose sequences have a letter for each word: lines are written and read back."""
+    colors = _t(spark, d, "documents").select(F.col("source").alias("name")).distinct().select((F.row_number().over(Window.orderBy("name")) - 1).alias("color"), "name")
+    found = _graph(spark, d).withColumn("sequence", F.repeat(F.lit("W"), F.size(graph.text_words(F.col("sequence")))))
+    sets, units = writers.dump_tables(found, colors)
+    lines = _lines(sets, F.lit("dump"), F.col("color_set_id"), writers.color_set_line(F.col("color_set_id"), F.col("colors")))
+    read = matrix.dump_weights(readers.parsed_color_sets(lines, 1 << 30), readers.parsed_unitigs(writers.unitig_records(units)), 5)
+    named = read.select("color_set_id", "w_kmer", F.explode("colors").alias("color")).join(colors, "color").groupBy("color_set_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("colors"), F.max("w_kmer").alias("w_kmer"))
+    return named.select("colors", "w_kmer")
+
+
+def spanning_tree(spark, d):
+    return trees.spanning_tree(_dists(spark, d).select("type", "i", "j", "dist"))
+
+
+def linkage_merges(spark, d):
+    """Merges of the average-linkage trees of the columns."""
+    merges, _ = trees.average_linkage(_dists(spark, d).select("type", "i", "j", "dist"), _colors(spark, d).select(F.col("color").alias("column")))
+    return merges.select("type", "a", "b", "size", F.round("height", 6).alias("height"))
+
+
+def grown_orders(spark, d):
+    """Orders of the columns from both kinds of trees, scored under the weighting that they were grown from, beside the order of names."""
+    dists, colors = _dists(spark, d), _colors(spark, d)
+    some = dists.select("type", "i", "j", "dist")
+    tour = trees.tour_order(trees.spanning_tree(some))
+    _, leaves = trees.average_linkage(some, colors.select(F.col("color").alias("column")))
+    by_name = colors.select((F.row_number().over(Window.orderBy("name")) - 1).alias("pos"), F.col("color").alias("column")).crossJoin(F.broadcast(leaves.select("type").distinct()))
+    every = [x.select(F.concat(F.lit(f"{m}/"), "type").alias("key"), "pos", "column") for m, x in (("spanning", tour), ("upgma", leaves), ("name", by_name))]
+    keyed = reduce(DataFrame.union, every).join(colors, F.col("column") == F.col("color")).select("key", "pos", "name")
+    scored = evaluate.order_runs(keyed, dists, matrix.row_counts(_sets(spark, d)))
+    own = scored.where(F.substring_index("key", "/", -1) == F.col("type"))
+    return own.select(F.substring_index("key", "/", 1).alias("method"), "type", "n_bit_changes", "n_runs", "n_cylinder_runs")
+
+
 _ALL = (
     canonical_names, manifest_clean, manifest_sizes, manifest_colors, common_parents, sample_sizes, seeded_selection, random_order, color_sets, color_sets_sparse,
     color_set_weights, color_set_dump, dump_weights, metadata_kmers, matrix_row_counts, marginals, cooccurrence, differences, row_mode_histogram, distance_identity,
     distance_hybrid, distance_blocks, distance_suppliers, distance_xor, distance_table, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
     tsp_scale, tsp_matrix_rows, tsplib_keys, tour_decode, tour_files, newick_leaf_order, order_file, order_runs, row_flip_count, order_validation, scored_orders,
     runs_aggregate, runs_files, timing_summary, timing_dedupe, timing_fields, timing_table, timing_collection, vertical_statistics, fasta_kmer_counts, config_product,
-    text_color_sets, minhash_distance,
+    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -489,6 +550,14 @@ union all select 'num_kmers', sum(w_kmer)::bigint::varchar from sets""",
     "runs_files": """select '10_runs/set_' || l_partkey || '_optimal_k31_N' || count(*) || '_kmer.runs' as path, 'set_' || l_partkey as dataset, 'optimal' as method, 31 as k, count(*)::int as n, 'kmer' as type,
 count(*)::bigint as n_bit_changes, count(distinct l_suppkey)::bigint as n_runs, count(distinct l_orderkey)::bigint as n_cylinder_runs from lineitem group by l_partkey""",
     "timing_table": """select event_type as experiment, event_id::varchar as run, case when event_id % 5 <> 0 then user_id::varchar end as "user" from events""",
+    "timing_headers": """select event_type || '_' || user_id % 2 as path, event_type as experiment, event_id::varchar as run,
+case when event_id % 7 <> 0 then floor(value)::bigint::varchar end as real_s, null::varchar as real_s_py from events where event_id % 11 <> 0""",
+    "graph_weights": f"with {_SHINGLES}, s as (select f, string_agg(source, ' ' order by source) as colors from sh group by 1) select colors, count(*)::bigint as w_kmer from s group by 1",
+    "spanning_tree": f"""with recursive {_DIST},
+grow as (select distinct type, [0] as inside, null::struct(dist bigint, i int, j int) as e from dists
+  union all select type, list_append(inside, case when list_contains(inside, m.i) then m.j else m.i end), m from (
+    select g.type, inside, min(struct_pack(dist := dist::bigint, i := i::int, j := j::int)) as m from grow g join dists d on d.type = g.type and list_contains(inside, i) <> list_contains(inside, j) group by g.type, inside))
+select type, e.i as i, e.j as j, e.dist as dist from grow where e is not null""",
     "timing_collection": """select 0 as part, 'experiment' || chr(9) || 'user' as value union all select distinct 1, event_type || chr(9) || user_id from events""",
     "vertical_statistics": """with s as (select c_nationkey as nation, count(*)::varchar as n, max(c_custkey)::varchar as last, max(case when c_custkey % 9 = 0 then c_name end) as ninth from customer group by 1)
 select nation, 'n' as "column", n as value from s union all select nation, 'last', last from s union all select nation, 'ninth', coalesce(ninth, 'NA') from s""",

@@ -263,10 +263,41 @@ def parsed_timings(lines: DataFrame, columns: list[str]) -> DataFrame:
     return lines.where(F.col("value") != "\t".join(columns)).select(*[F.when(~t[i].isin("NA", "None"), t[i]).alias(c) for i, c in enumerate(columns)])
 
 
-def timings(spark: SparkSession, path: str) -> DataFrame:
-    """Timing tables with a header; NA and None are null."""
-    raw = spark.read.option("sep", "\t").option("header", True).csv(path)
-    return raw.select(*[F.when(~F.col(c).isin("NA", "None"), F.col(c)).alias(c) for c in raw.columns])
+def timing_rows(lines: DataFrame) -> DataFrame:
+    """(path, pos, fields): each line of timing files below their headers, as a map from the header's names to its values.
+
+    lines: (path, pos, value), pos 0 being the header of its file. Each file has a header of its own; lines equal to it go,
+    as collected tables may repeat it. NA and None are null. A line with more or fewer fields than its header, a name that
+    a header holds twice and an empty name are errors.
+    """
+    heads = lines.where("pos = 0").select("path", F.col("value").alias("head"))
+    some = lines.where("pos > 0").join(heads, "path").where("value <> head").select("path", "pos", F.split("value", "\t").alias("t"), F.split("head", "\t").alias("names"))
+    sound = (F.size("t") == F.size("names")) & (F.size(F.array_distinct("names")) == F.size("names")) & ~F.array_contains("names", "")
+    fault = F.concat(F.lit("line "), F.col("pos").cast("string"), F.lit(" does not fit the header of "), F.col("path"))
+    values = F.transform("t", lambda x: F.when(~x.isin("NA", "None"), x))
+    return some.select("path", "pos", F.when(sound, F.map_from_arrays("names", values)).otherwise(F.raise_error(fault).cast("map<string,string>")).alias("fields"))
+
+
+def timing_names(lines: DataFrame) -> list[str]:
+    """All names that headers of timing files hold, in the order of their first places; headers are few."""
+    heads = lines.where("pos = 0").select("value").distinct()
+    names = heads.select(F.posexplode(F.split("value", "\t")).alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+    return [r.name for r in names.orderBy("at", "name").collect()]
+
+
+def united_timings(lines: DataFrame, names: list[str]) -> DataFrame:
+    """(path, *names) of timing files with different headers; a name that a file's header lacks is null there."""
+    return _named(timing_rows(lines), names)
+
+
+def _named(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select("path", *[F.col("fields")[n].alias(n) for n in names])
+
+
+def timings(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(*names) of all timing files in the order of their lines, each by its own header; names: those of all headers, if none are given."""
+    lines = numbered_lines(spark, path)
+    return _named(timing_rows(lines).orderBy("path", "pos"), names or timing_names(lines)).drop("path")
 
 
 def sequence_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import kmers
+from ..functions.steps import Steps
+
 
 def write_distances(dists: DataFrame, path: str) -> None:
     """Distance tables as Parquet, a folder for each weighting."""
@@ -90,6 +93,41 @@ def bit_matrix_lines(rows: DataFrame, names: list[str]) -> DataFrame:
     return header.unionByName(rows.select((F.col("row_id") + 1).cast("long").alias("pos"), bits.alias("value")))
 
 
-def metadata_lines(n_unitigs: int, n_kmers: int, n_color_sets: int) -> list[str]:
-    """Lines of a dump's metadata."""
-    return [f"num_unitigs={n_unitigs}", f"num_kmers={n_kmers}", f"num_color_sets={n_color_sets}"]
+def metadata_lines(unitigs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(value): lines of a dump's metadata, from (sequence) and (color_set_id)."""
+    lines = lambda n, name: n.select(F.concat(F.lit(f"num_{name}="), F.col("n").cast("string")).alias("value"))
+    kmer_sum = unitigs.agg(F.coalesce(F.sum(kmers(F.length("sequence"), k)), F.lit(0)).cast("long").alias("n"))
+    return lines(unitigs.agg(F.count("*").alias("n")), "unitigs").union(lines(kmer_sum, "kmers")).union(lines(sets.agg(F.count("*").alias("n")), "color_sets"))
+
+
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`rows` with numbers from 0 in the order of `by`, which must tell them apart: from a range sort and the counts of its parts."""
+    steps = Steps(rows.sparkSession)
+    ranged = steps.kept(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33).alias("_part")
+    counts = ranged.groupBy(part).agg(F.min("_at").alias("_base"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("_part", (before - F.col("_base")).alias("_shift"))  # a row for each part of the sort
+    return ranged.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
+def dump_tables(unitigs: DataFrame, colors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(color_set_id, colors) and (unitig_id, color_set_id, sequence) of a coloured graph (unitig, names, sequence).
+
+    colors: (color, name). Sets are numbered in the order of their colors, unitigs in that of their sequences and places.
+    """
+    steps = Steps(unitigs.sparkSession)
+    sets = unitigs.select("names").distinct()
+    listed = sets.select("names", F.explode("names").alias("name")).join(colors, "name").groupBy("names").agg(F.array_sort(F.collect_list("color")).alias("colors"))
+    ids = steps.kept(numbered(listed, ["colors"], "color_set_id"))
+    joined = unitigs.join(ids.select("names", "color_set_id"), "names").select("color_set_id", "sequence", "unitig")
+    return ids.select("color_set_id", "colors"), steps.kept(numbered(joined, ["sequence", "unitig"], "unitig_id").select("unitig_id", "color_set_id", "sequence"))
+
+
+def write_dump(unitigs: DataFrame, colors: DataFrame, k: int, folder: str, dataset: str) -> None:
+    """A whole index dump in `folder`: color sets, unitigs and metadata of a coloured graph; see dump_tables()."""
+    sets, records = dump_tables(unitigs, colors)
+    stem = f"{folder}/{dataset}_k{k}"
+    color_set_lines(sets).write.mode("overwrite").text(f"{stem}.color_sets.txt")
+    write_unitigs(records, f"{stem}.unitigs.fa")
+    metadata_lines(records, sets, k).coalesce(1).write.mode("overwrite").text(f"{stem}.metadata.txt")

@@ -117,6 +117,26 @@ def test_readers(spark, tmp_path):
             readers.runs(spark, put(bad, "n_runs\t3\nn_bit_changes\t1\nn_cylinder_runs\t2\n")).collect()
 
 
+def test_timings_of_different_headers(spark, tmp_path):
+    """Fields go by the header of their own file; what a header lacks is null; wrong widths and repeated names are errors."""
+    put = lambda name, text: (tmp_path / name).write_text(text) and f"{tmp_path}/*.time"
+    put("a.time", "experiment\trun\treal_s\ne\t1\t3.5\nexperiment\trun\treal_s\ne\t2\tNA\n")
+    glob = put("b.time", "experiment\treal_s_py\trun\treal_s\nf\tNone\t7\t1.5\n")
+    got = readers.timings(spark, glob)
+    assert got.columns == ["experiment", "real_s_py", "run", "real_s"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [("e", None, "1", "3.5"), ("e", None, "2", None), ("f", None, "7", "1.5")]))
+    assert [tuple(r) for r in readers.timings(spark, f"{tmp_path}/b.time", ["run", "missing"]).collect()] == [("7", None)]
+    for n, text in enumerate(("a\tb\n1\n", "a\tb\n1\t2\t3\n", "a\ta\n1\t2\n", "a\t\n1\t2\n")):
+        put(f"{n}.bad", text)
+        with pytest.raises(Exception, match="does not fit the header"):
+            readers.timings(spark, f"{tmp_path}/{n}.bad", ["a"]).collect()
+
+
+def test_manifest_is_written(spark):
+    lines = writers.manifest_lines(spark.createDataFrame([("/b/x.fa",), ("/a/y.fa",), ("/b/x.fa",)], "path string"))
+    assert [r.path for r in lines.collect()] == ["/a/y.fa", "/b/x.fa"]
+
+
 def test_implicit_color_set_ids(spark, tmp_path):
     """Lines without an id are counted over the splits of a file."""
     (tmp_path / "s.txt").write_text("".join("\n" if i % 10 == 3 else f"size=1 {i % 7}\n" for i in range(4000)))
