@@ -95,33 +95,58 @@ def distances_hybrid(sets: DataFrame, colors: DataFrame, n: int) -> DataFrame:
     return _assembled(colors, marginals(sparse), cooccurrence(sparse), differences(sets.where(is_dense), n))
 
 
-def distances_blocks(sets: DataFrame, colors: DataFrame, n: int) -> DataFrame:
-    """As distances_identity(), by matrix products in each task: for many dense rows over up to a few thousand columns.
+def block_sums(sets: DataFrame, block: int = 1024) -> DataFrame:
+    """(i, j, c_unitig, c_kmer, c_uniqrow) for i <= j: summed weights of the rows that hold both, by products of column blocks.
 
-    A task keeps one n x n sum for each weighting; products of a chunk are exact in double precision, as its weights are
-    checked to stay below 2**53.
+    A row goes, cut to two blocks of columns, to each pair of blocks in which it holds some; pairs are dealt out with a part
+    of a hash of the row, so that one pair is the work of many tasks. A task sums one pair of blocks at a time: what it
+    holds depends on `block`, not on the number of columns. Products of a chunk are exact in double precision, as its
+    weights are checked to stay below 2**53.
     """
-    if n > 4096:
-        raise ValueError("too many columns for one block; use distances_hybrid")
+    some = sets.where(F.size("colors") > 0).select("colors", "w_unitig", "w_kmer")
+    of = lambda c: F.floor(c / block).cast("int")
+    parts = F.transform(F.array_distinct(F.transform("colors", of)), lambda b: F.struct(b.alias("b"), F.transform(F.filter("colors", lambda c: of(c) == b), lambda c: (c - b * block).cast("int")).alias("c")))
+    left = some.withColumn("row", F.xxhash64("colors")).select(parts.alias("p"), "row", "w_unitig", "w_kmer").select(F.posexplode("p").alias("at", "x"), "p", "row", "w_unitig", "w_kmer")
+    pairs = left.select("x", F.explode(F.slice("p", F.col("at") + 1, F.size("p"))).alias("y"), "row", "w_unitig", "w_kmer")
+    rows = pairs.select(F.col("x.b").alias("bi"), F.col("y.b").alias("bj"), F.col("x.c").alias("ci"), F.col("y.c").alias("cj"), "w_unitig", "w_kmer", "row")
+    parts_of_pair = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition("bi", "bj", F.pmod("row", F.lit(parts_of_pair))).sortWithinPartitions("bi", "bj").drop("row")
+
+    def ones(lists: pd.Series) -> np.ndarray:
+        x, sizes = np.zeros((len(lists), block)), lists.str.len().to_numpy()
+        x[np.repeat(np.arange(len(lists)), sizes), np.concatenate(lists.to_numpy()).astype(int)] = 1
+        return x
+
+    def told(pair: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
+        some = total.any(axis=0)
+        i, j = np.nonzero(np.triu(some) if pair[0] == pair[1] else some)
+        return pd.DataFrame({"i": i + pair[0] * block, "j": j + pair[1] * block} | {f"c_{t}": total[k][i, j] for k, t in enumerate(TYPES)})
 
     def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((3, n, n), np.int64)
+        now, total = None, None
         for f in frames:
-            for at in range(0, len(f), 2048):
-                part = f.iloc[at : at + 2048]
-                x = np.zeros((len(part), n))
-                sizes = part.colors.str.len().to_numpy()
-                if sizes.sum():
-                    x[np.repeat(np.arange(len(part)), sizes), np.concatenate(part.colors.to_numpy()).astype(int)] = 1
-                for t, w in enumerate((part.w_unitig.to_numpy(), part.w_kmer.to_numpy(), np.ones(len(part)))):
-                    if w.astype(float).sum() >= 2**53:
-                        raise OverflowError("weights too large for exact products")
-                    total[t] += (x.T @ (x * w[:, None])).astype(np.int64)
-        i, j = np.nonzero(np.triu(total.any(axis=0)))
-        yield pd.DataFrame({"i": i, "j": j} | {f"c_{t}": total[k][i, j] for k, t in enumerate(TYPES)})
+            for pair, of_pair in f.groupby(["bi", "bj"]):
+                if pair != now:
+                    if now:
+                        yield told(now, total)
+                    now, total = pair, np.zeros((3, block, block), np.int64)
+                for at in range(0, len(of_pair), 1024):
+                    part = of_pair.iloc[at : at + 1024]
+                    x, y = ones(part.ci), ones(part.cj)
+                    for t, w in enumerate((part.w_unitig.to_numpy(), part.w_kmer.to_numpy(), np.ones(len(part)))):
+                        if w.astype(float).sum() >= 2**53:
+                            raise OverflowError("weights too large for exact products")
+                        total[t] += (x.T @ (y * w[:, None])).astype(np.int64)
+        if now:
+            yield told(now, total)
 
     schema = "i int, j int, " + ", ".join(f"c_{t} long" for t in TYPES)
-    summed = sets.select("colors", "w_unitig", "w_kmer").mapInPandas(product, schema).groupBy("i", "j").agg(*[F.sum(f"c_{t}").alias(f"c_{t}") for t in TYPES])
+    return dealt.mapInPandas(product, schema).groupBy("i", "j").agg(*[F.sum(f"c_{t}").alias(f"c_{t}") for t in TYPES])
+
+
+def distances_blocks(sets: DataFrame, colors: DataFrame, block: int = 1024) -> DataFrame:
+    """As distances_identity(), by products of column blocks in each task: for dense rows, and any number of columns."""
+    summed = block_sums(sets, block)
     margins = summed.where("i = j").select(F.col("i").alias("color"), *[F.col(f"c_{t}").alias(f"m_{t}") for t in TYPES])
     return _assembled(colors, margins, summed.where("i < j"), None)
 

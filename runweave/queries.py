@@ -122,7 +122,7 @@ def distance_hybrid(spark, d):
 
 
 def distance_blocks(spark, d):
-    return matrix.distances_blocks(_sets(spark, d), _colors(spark, d), COLUMNS)
+    return matrix.distances_blocks(_sets(spark, d), _colors(spark, d), 8)  # more than one block of 25 columns
 
 
 def distance_suppliers(spark, d):

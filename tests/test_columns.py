@@ -53,10 +53,26 @@ def test_distances_agree(spark, seed):
     sets = spark.createDataFrame(rows, "colors array<int>, w_unitig long, w_kmer long")
     colors = spark.createDataFrame([(i, f"c{i}") for i in range(n)], "color int, name string")
     want = {(i, j, t): sum(w for s, u, k in rows for w in [{"unitig": u, "kmer": k, "uniqrow": 1}[t]] if (i in s) != (j in s)) for i, j in itertools.combinations(range(n), 2) for t in matrix.TYPES}
-    for df in (matrix.distances_identity(sets, colors), matrix.distances_hybrid(sets, colors, n), matrix.distances_blocks(sets, colors, n), matrix.distances_xor(sets, colors, n)):
+    for df in (matrix.distances_identity(sets, colors), matrix.distances_hybrid(sets, colors, n), matrix.distances_blocks(sets, colors), matrix.distances_blocks(sets, colors, 4), matrix.distances_xor(sets, colors, n)):
         assert {(r.i, r.j, r.type): r.dist for r in df.collect()} == want
 
 
+def test_blocks_of_many_columns(spark):
+    """More columns than one block, or than the product of all of them could hold."""
+    rng, n = random.Random(12), 5000
+    rows = [(sorted(rng.sample(range(n), rng.choice([0, 1, 3, 40]))), rng.randint(0, 5), rng.randint(0, 90)) for _ in range(60)]
+    rows = list({tuple(s): (s, u, k) for s, u, k in rows}.values())
+    want = {}
+    for s, u, k in rows:
+        for i, j in itertools.combinations_with_replacement(s, 2):
+            x = want.setdefault((i, j), [0, 0, 0])
+            x[0], x[1], x[2] = x[0] + u, x[1] + k, x[2] + 1
+    got = matrix.block_sums(spark.createDataFrame(rows, "colors array<int>, w_unitig long, w_kmer long"), 600)
+    assert {(r.i, r.j): [r.c_unitig, r.c_kmer, r.c_uniqrow] for r in got.collect()} == want
+    empty = spark.createDataFrame([([], 1, 1)], "colors array<int>, w_unitig long, w_kmer long")
+    assert matrix.block_sums(empty).count() == 0
+
+
 def test_names(spark):
     cases = {"/data/S1.fa.gz": "S1", "a/b/S.1.fasta": "S.1", " x.fna \n": "x", ".fa": "", ".hidden": ".hidden", "n.": "n", "dir/sub/": "sub", "UP.FA": "UP", "x.fa.gz.fa": "x.fa.gz", "plain": "plain", "t.txt": "t"}
     df = spark.createDataFrame([(k,) for k in cases], "p string").select("p", N.sample_name(F.col("p")).alias("n"))
