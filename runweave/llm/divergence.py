@@ -8,7 +8,7 @@ out together up to a fixed number of bytes, and each such set reads the texts on
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +24,7 @@ LEAST_DOCS, TOP = 10, 10
 #: Terms of a shard; bytes of the shards that go out together.
 SHARD, AT_ONCE = 1 << 12, 64 << 20
 #: Cells (sources times terms) of a block that is compared at once; counted terms that a task holds before it passes them on.
-CELLS, HELD = 1 << 14, 1 << 18
+CELLS, HELD = 1 << 14, 1 << 19
 #: Smoothed shares are told in parts of UNIT, with PRIOR added to each count.
 UNIT, PRIOR = 1_000_000_000, 2
 
@@ -116,15 +116,12 @@ class Vocabulary:
         self.parts = [Transducer(*read(s)) for s in shards]
 
     def ordinals(self, some: list[bytes]) -> np.ndarray:
-        """As Transducer.ordinals(), in all of the language; a term walks through the one shard that may hold it."""
+        """As Transducer.ordinals(), in all of the language, of terms in ascending order; each walks through the one shard that may hold it."""
         out = np.full(len(some), -1, np.int64)
-        of: dict[int, list[int]] = defaultdict(list)
-        for i, term in enumerate(some):
-            of[bisect_right(self.firsts, term) - 1].append(i)
-        for shard, at in of.items():
-            if shard >= 0:
-                found = self.parts[shard].ordinals([some[i] for i in at])
-                out[at] = np.where(found < 0, found, found + self.bases[shard])
+        bounds = [bisect_left(some, first) for first in self.firsts] + [len(some)]
+        for part, base, low, high in zip(self.parts, self.bases, bounds, bounds[1:]):
+            found = part.ordinals(some[low:high])
+            out[low:high] = np.where(found < 0, found, found + base)
         return out
 
 
@@ -168,23 +165,26 @@ def _recounted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(lang, block, source, ordinal, n) of the kept terms of rows (lang, source, text)."""
         known = shared.value
-        found: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        found: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
 
         def flush():
-            for (lang, source), of in found.items():
+            for lang, sources in found.items():
                 if "vocabulary" not in known[lang]:  # made once in a worker, which keeps the broadcast value
                     known[lang]["vocabulary"] = Vocabulary(known[lang]["shards"])
-                at, n = known[lang]["vocabulary"].ordinals(list(of)), np.fromiter(of.values(), np.int64, len(of))
-                at, n = at[at >= 0], n[at >= 0]
-                same = lambda x: pa.array([x]).take(pa.array(np.zeros(len(at), np.int32)))  # noqa: E731, B023
-                yield record(_CELL, same(lang), at // known[lang]["width"], same(source), at, n)
+                distinct = sorted(set().union(*sources.values()))
+                place = dict(zip(distinct, known[lang]["vocabulary"].ordinals(distinct).tolist()))
+                for source, of in sources.items():
+                    at, n = np.fromiter(map(place.__getitem__, of), np.int64, len(of)), np.fromiter(of.values(), np.int64, len(of))
+                    at, n = at[at >= 0], n[at >= 0]
+                    same = lambda x: pa.array([x]).take(pa.array(np.zeros(len(at), np.int32)))  # noqa: E731, B023
+                    yield record(_CELL, same(lang), at // known[lang]["width"], same(source), at, n)
             found.clear()
 
         for b in byte_slices(batches, 2):
             for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if lang in known:
-                    found[lang, source].update(terms(text))
-            if sum(map(len, found.values())) > HELD:
+                    found[lang][source].update(terms(text))
+            if sum(len(of) for sources in found.values() for of in sources.values()) > HELD:
                 yield from flush()
         yield from flush()
 
