@@ -4,8 +4,8 @@ Seed entities are the spans of the fixed patterns, and values of high entropy th
 (`name = "value"`), which make a kind of their own, `secret`. The words and signs beside a mention induce lexical
 patterns, each for one class of values. Other values of a class (loosely written addresses and numbers, codes of letters
 and digits) are instances whose kind is open. Patterns and instances form a graph that Spark scores in turns: a pattern,
-for a kind, by the share of its distinct instances that are trusted; an instance by the confident patterns that vouch
-for it. Instances that end trusted give spans of their own, wherever they are mentioned. The graph holds hashes of values
+for a kind, by the share of its distinct instances that are trusted, beside the share of the kind that is known at all;
+an instance by the confident patterns that vouch for it. Instances that end trusted give spans of their own, wherever they are mentioned. The graph holds hashes of values
 rather than values; its edges are counted map-side and nothing of it is gathered or broadcast.
 """
 
@@ -28,13 +28,15 @@ from .common import arrow_map, byte_slices, named, record, remove, scratch, stor
 #: Kinds of spans; those of the fixed patterns come first.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE, SECRET = 4, 4
-#: Rounds of scoring; distinct seeds that a pattern needs for a kind; doubt added to a pattern's instances; score from
-#: which a pattern vouches; trust from which an instance gives spans.
-ROUNDS, SUPPORT, DOUBT, CONFIDENT, TRUSTED = 3, 3, 1.0, 0.7, 0.6
+#: Distinct seeds that a pattern needs for a kind; doubt added to a pattern's instances; score from which a pattern
+#: vouches; trust from which an instance counts as known and gives spans.
+SUPPORT, DOUBT, CONFIDENT, TRUSTED = 3, 1.0, 0.7, 0.6
 #: Characters beside a mention in which its context is looked for.
 REACH = 64
-#: Shortest and longest code of letters and digits; shortest assigned value that is a seed, and its bits of entropy a character.
-LEAST_CODE, MOST_CODE, LEAST_SECRET, LEAST_ENTROPY = 8, 512, 16, 3.0
+#: Shortest code of letters and digits; shortest assigned value that is a seed, and its bits of entropy a character.
+LEAST_CODE, LEAST_SECRET, LEAST_ENTROPY = 8, 16, 3.0
+#: Digits of a phone number at most.
+MOST_PHONE = 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CODE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
@@ -51,8 +53,9 @@ _WORD = re.compile(r"\w+|[^\w\s]")
 #: An assignment right before a value: a name, a sign and a quote.
 _ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]{0,40}[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}([\"'])\Z")
 #: Classes of values: a pattern vouches only for values of the class that it was induced from. Class of each kind.
-#: Numbers that a card's check digit fits are a class of their own, so that others are never taken for cards.
-CLASSES = ("mail", "dots", "number", "code", "checked")
+#: Numbers that a card's check digit fits are a class of their own, so that others are never taken for cards, and so are
+#: numbers of more digits than a phone has.
+CLASSES = ("mail", "dots", "number", "code", "checked", "long")
 CLASS_OF = (0, 1, 4, 2, 3)
 #: Loose shapes of the first three.
 _LOOSE = (
@@ -105,7 +108,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _normal(cls: int, value: str) -> str:
     """The form under which mentions of a value are one instance."""
-    if cls in (2, 4):
+    if cls in (2, 4, 5):
         return "".join(_DIGITS.findall(value))
     if cls == 0:
         return re.sub(r" ?(?:\[at\]|\(at\)|@) ?", "@", re.sub(r" ?(?:\[dot\]|\(dot\)|\.) ?", ".", value.lower()))
@@ -155,7 +158,7 @@ def codes(text: str) -> Iterator[tuple[int, int]]:
         while start > done and text[start - 1] in _CODE:
             start -= 1
         done = _TAIL.match(text, m.end()).end()
-        if LEAST_CODE <= done - start <= MOST_CODE and any(c.isalpha() for c in text[start:done]):
+        if done - start >= LEAST_CODE and any(c.isalpha() for c in text[start:done]):
             yield start, done
 
 
@@ -165,6 +168,11 @@ def is_checked(value: str) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits)
 
 
+def number_class(value: str) -> int:
+    """The class of a loosely written number."""
+    return 4 if is_checked(value) else 2 if len(_DIGITS.findall(value)) <= MOST_PHONE else 5
+
+
 def is_secret(text: str, start: int, end: int) -> bool:
     """Whether a code is a quoted value of high entropy that is assigned to a name."""
     m = _ASSIGNED.search(text, max(0, start - REACH), start) if start and text[start - 1] in "\"'" else None
@@ -189,7 +197,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int,
                 i += 1
             if furthest > s or (cls == 1 and not _DIGIT.search(text, s, e)):
                 continue
-            new.append((s, e, SECRET if cls == 3 and is_secret(text, s, e) else -1, 4 if cls == 2 and is_checked(text[s:e]) else cls))
+            new.append((s, e, SECRET if cls == 3 and is_secret(text, s, e) else -1, number_class(text[s:e]) if cls == 2 else cls))
         found += new
     for s, e, k, c in (*seeds, *found):
         yield k, s, e, value(s, e, c), contexts(text, s, e, c)
@@ -214,23 +222,35 @@ def _scan(docs: DataFrame) -> DataFrame:
 def trusted(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(instance, kind, trust): the instances that end trusted, seeds among them, each with its most trusted kind.
 
-    edges: distinct (pattern, instance); seeds: distinct (instance, kind). A pattern with SUPPORT seeds of a kind or more
-    scores, for that kind, the trust in its instances over their number and DOUBT; from CONFIDENT on it vouches. Trust in
-    an instance is the chance that not all patterns that vouch for it err. Of equal trusts the first kind wins.
+    edges: distinct (pattern, instance), a pattern's first word being its class; seeds: distinct (instance, kind). Not all
+    instances of a kind are known as such: the known share of a kind is estimated as the share of known instances, others
+    than itself, in a seed's best pattern, on average over its seeds. A pattern with SUPPORT seeds of a kind or more
+    scores, for that kind, the share of its instances that are trusted, smoothed by DOUBT instances of the class, over the
+    kind's known share; from CONFIDENT on it vouches. Trust in an instance is the
+    chance that not all patterns that vouch for it err; from TRUSTED on it counts as known. What counts as known only
+    grows, and the turns end when it doesn't. Of equal trusts the first kind wins.
     """
     spark = edges.sparkSession
     every = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    support = edges.join(seeds, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT).select("pattern", "kind")
+    support = edges.join(seeds, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
     near = scratch(edges.join(support.join(every, "pattern"), "pattern"))
+    best_of = near.join(seeds, ["instance", "kind"]).groupBy("instance", "kind").agg(F.max((F.col("seeds") - 1) / (F.col("n") - 1)).alias("share"))
+    known = scratch(best_of.groupBy("kind").agg(F.avg("share").alias("known")))  # a row for each kind
+    members = edges.select(F.substring_index("pattern", " ", 1).alias("class"), "instance").distinct()
+    usual = members.join(seeds, "instance").groupBy("class", "kind").agg(F.count("*").alias("m")).join(members.groupBy("class").agg(F.count("*").alias("of")), "class")
+    usual = scratch(usual.select("class", "kind", (F.col("m") / F.col("of")).alias("usual")))  # a row for each class and kind
     sure = seeds.select("instance", "kind", F.lit(1.0).alias("trust"))
-    now, path = stored(sure)
-    for _ in range(ROUNDS):
-        scores = near.join(now, ["instance", "kind"]).groupBy("pattern", "kind", "n").agg(F.sum("trust").alias("t")).select("pattern", "kind", (F.col("t") / (F.col("n") + DOUBT)).alias("p")).where(F.col("p") >= CONFIDENT)
-        vouched = near.join(scores, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("trust"))
+    (now, path), size = stored(sure), -1
+    while size != (size := now.count()):
+        score = F.least(F.lit(1.0), (F.col("t") + DOUBT * F.col("usual")) / (F.col("n") + DOUBT) / F.col("known"))
+        counted = near.join(now, ["instance", "kind"]).groupBy("pattern", "kind", "n").agg(F.count("*").alias("t"))
+        classed = counted.withColumn("class", F.substring_index("pattern", " ", 1)).join(F.broadcast(usual), ["class", "kind"])
+        scores = classed.join(F.broadcast(known), "kind").select("pattern", "kind", score.alias("p")).where(F.col("p") >= CONFIDENT)
+        vouched = near.join(scores, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("trust")).where(F.col("trust") >= TRUSTED)
         before, (now, path) = path, stored(sure.unionByName(vouched).groupBy("instance", "kind").agg(F.max("trust").alias("trust")))
         remove(spark, before)
     best = F.max_by(F.struct("kind", "trust"), F.struct("trust", -F.col("kind"))).alias("b")
-    return now.where(F.col("trust") >= TRUSTED).groupBy("instance").agg(best).select("instance", "b.kind", "b.trust")
+    return now.groupBy("instance").agg(best).select("instance", "b.kind", "b.trust")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -288,26 +288,35 @@ def test_bootstrapping_against_a_plain_version(spark):
     rng = random.Random(31)
     edges = {(f"p{rng.randint(0, 25)}", rng.randint(0, 60)) for _ in range(400)} | {("good", i) for i in range(100, 112)} | {("other", i) for i in range(110, 125)}
     seeds = {(i, rng.randint(0, 1)) for i in range(0, 20)} | {(i, 4) for i in range(100, 110)}
+    edges = {(f"{'ab'[i % 2 if i < 100 else 0]} {p}", i) for p, i in edges}
     size, by_pattern = {}, {}
     for p, i in edges:
         size[p] = size.get(p, 0) + 1
         by_pattern.setdefault(p, set()).add(i)
+    members = {c: {i for p, i in edges if p[0] == c} for c in "ab"}
+    usual = {(c, k): sum((i, k) in seeds for i in members[c]) / len(members[c]) for c in "ab" for k in range(5)}
     support = {(p, k) for p in size for k in range(5) if sum((i, k) in seeds for i in by_pattern[p]) >= pii.SUPPORT}
-    trust = {s: 1.0 for s in seeds}
-    for _ in range(pii.ROUNDS):
-        score = {(p, k): sum(trust.get((i, k), 0) for i in by_pattern[p]) / (size[p] + pii.DOUBT) for p, k in support}
+    share = {}
+    for i, k in seeds:
+        of = [(sum((j, k) in seeds for j in by_pattern[p]) - 1) / (size[p] - 1) for p, kind in support if kind == k and i in by_pattern[p]]
+        if of:
+            share.setdefault(k, []).append(max(of))
+    known = {k: sum(v) / len(v) for k, v in share.items()}
+    trust, before = {s: 1.0 for s in seeds}, None
+    while before is None or len(trust) != len(before):
+        before = trust
+        score = {(p, k): min(1, (sum((i, k) in trust for i in by_pattern[p]) + pii.DOUBT * usual[p[0], k]) / (size[p] + pii.DOUBT) / known[k]) for p, k in support}
         sure = {x: v for x, v in score.items() if v >= pii.CONFIDENT}
         new = {s: 1.0 for s in seeds}
         for i in {i for _, i in edges}:
             for k in range(5):
-                err = [1 - v for (p, kind), v in sure.items() if kind == k and i in by_pattern[p]]
-                if err:
+                err = [1 - min(v, 0.999999) for (p, kind), v in sure.items() if kind == k and i in by_pattern[p]]
+                if err and 1 - math.prod(err) >= pii.TRUSTED:
                     new[i, k] = max(new.get((i, k), 0), 1 - math.prod(err))
         trust = new
     want = {}
     for (i, k), t in sorted(trust.items(), key=lambda x: (-x[1], x[0][1])):
-        if t >= pii.TRUSTED:
-            want.setdefault(i, (k, round(t, 6)))
+        want.setdefault(i, (k, round(t, 6)))
     got = pii.trusted(spark.createDataFrame(sorted(edges), "pattern string, instance long"), spark.createDataFrame(sorted(seeds), "instance long, kind int")).collect()
     assert {r.instance: (r.kind, round(r.trust, 6)) for r in got} == want and {110, 111} <= set(want)
 
