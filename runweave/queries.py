@@ -6,6 +6,7 @@ sells the part; a row's sequence length is its number of line items. All 25 nati
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names as N
+from .functions.steps import shared_folder
 from .operators import evaluate, fragments, graph, matrix, orders, reports, sampling, trees
-from .plans import analysis
+from .plans import analysis, runs
 from .plans import config as C
 from .sources import readers, writers
 
@@ -222,6 +224,14 @@ def scored_orders(spark, d):
     return analysis.scored_orders(_incidence(spark, d), _lengths(spark, d), _colors(spark, d), every, C.Config(outputs={"worst": False}), K, COLUMNS)
 
 
+def whole_run(spark, d):
+    """All runs of a configuration with three samples of the columns, from line items to stored scores; orders are shuffles."""
+    config = C.Config(kmer_sizes=[K], random_seed=SEED, sampling_steps=1, outputs={m: m == "randomized" for m in C.METHODS})
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    runs.run_all(spark, config, {"parts": runs.Inputs(_incidence(spark, d), _lengths(spark, d), _colors(spark, d))}, folder)
+    return runs.results(spark, folder)
+
+
 # --- files: lines made of the tables by the writers, and read back by the parsers ------------------------------------
 
 
@@ -438,7 +448,7 @@ _ALL = (
     distance_hybrid, distance_blocks, distance_suppliers, distance_xor, distance_table, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
     tsp_scale, tsp_matrix_rows, tsplib_keys, tour_decode, tour_files, newick_leaf_order, order_file, order_runs, row_flip_count, order_validation, scored_orders,
     runs_aggregate, runs_files, timing_summary, timing_dedupe, timing_fields, timing_table, timing_collection, vertical_statistics, fasta_kmer_counts, config_product,
-    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders,
+    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders, whole_run,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -532,6 +542,14 @@ ord as (select 'name' as key, row_number() over (order by n_name) as pos, n_name
 ord as (select 'nj' as key, row_number() over (order by n_name) as pos, n_name as name from nation union all select 'optimal', row_number() over (order by n_nationkey), n_name from nation
   union all select 'randomized', row_number() over (order by md5('{SEED}:' || n_name)), n_name from nation),
 {_STEPS}, {_SCORES.format(key="method")}""",
+    "whole_run": f"""with {_DIST}, {_COUNTS},
+pick as (select n_name as name, row_number() over (order by md5('{SEED}:' || n_name), n_name) as r from nation),
+ord as (select n as key, r as pos, name from pick, (select unnest([1, 10, {COLUMNS}]) as n) where r <= n),
+{_STEPS},
+sym as (select name_i as x, name_j as y, type, dist from dists union all select name_j, name_i, type, dist from dists),
+scored as (select key, sym.type, sum(dist * path)::bigint as n_bit_changes, sum(dist)::bigint as n_cylinder_runs from steps join sym on name = x and nxt = y group by 1, 2
+  union all select 1, type, 0, 0 from counts)
+select 'parts' as dataset, {K} as k, key::int as n, 'randomized' as method, type, n_bit_changes, n_bit_changes + num_rows as n_runs, n_cylinder_runs from scored join counts using (type)""",
     "manifest_colors": """select 'set_' || s_nationkey as dataset, (row_number() over (partition by s_nationkey order by s_suppkey) - 1)::int as color, s_name as name
 from supplier where s_suppkey % 7 <> 0 and s_suppkey % 11 <> 0""",
     "common_parents": """with p as (select regexp_extract(url, '://([^./]*)', 1) as label, string_split('/' || regexp_extract(url, '://(.*)/[^/]*$', 1), '/') as x from pages),
