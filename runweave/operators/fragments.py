@@ -57,10 +57,14 @@ def same_set_stretches(samples: DataFrame, fragments: Column, sample: str) -> Da
 
 
 def sketches(samples: DataFrame, fragments: Column, sample: str, size: int) -> DataFrame:
-    """(name, sketch): the `size` least md5 values of each sample's fragments, sorted."""
-    hashed = samples.select(F.col(sample).alias("name"), F.explode(fragments).alias("f")).select("name", F.md5("f").alias("h")).distinct()
-    least = F.row_number().over(Window.partitionBy("name").orderBy("h"))
-    return hashed.withColumn("r", least).where(F.col("r") <= size).groupBy("name").agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    """(name, sketch): the `size` least md5 values of each sample's fragments, sorted.
+
+    Ranks that repeated values share are limited in each task before anything is shuffled, so no more than `size` values of
+    a sample leave a task, but for repeats of those.
+    """
+    hashed = samples.select(F.col(sample).alias("name"), F.explode(F.array_distinct(F.transform(fragments, F.md5))).alias("h"))
+    least = F.dense_rank().over(Window.partitionBy("name").orderBy("h"))
+    return hashed.withColumn("r", least).where(F.col("r") <= size).groupBy("name").agg(F.array_sort(F.collect_set("h")).alias("sketch"))
 
 
 def sketch_distances(sketched: DataFrame, size: int, k: int) -> DataFrame:

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions.steps import shared_folder
-from .operators import evaluate, fragments, graph, matrix, orders, reports, sampling, trees
+from .operators import buckets, evaluate, fragments, graph, matrix, orders, reports, sampling, trees
 from .plans import analysis, runs
 from .plans import config as C
 from .sources import readers, writers
 
 K, SEED, COLUMNS = 31, 42, 25
+#: Letters, and the bases that they stand for in sequences made of texts.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_BASES = ("ACGT" * 7)[:26]
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -442,13 +445,20 @@ def grown_orders(spark, d):
     return own.select(F.substring_index("key", "/", 1).alias("method"), "type", "n_bit_changes", "n_runs", "n_cylinder_runs")
 
 
+def sequence_color_sets(spark, d):
+    """31-mers of the documents' letters, each letter standing for a base, in buckets of minimizers of 15 bases."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    some = _t(spark, d, "documents").select("source", F.translate(letters, _LETTERS, _BASES).alias("s"))
+    return buckets.kmer_sets(some, "source", "s", K, 15).select(F.array_join("colors", " ").alias("colors"), "n_fragments")
+
+
 _ALL = (
     canonical_names, manifest_clean, manifest_sizes, manifest_colors, common_parents, sample_sizes, seeded_selection, random_order, color_sets, color_sets_sparse,
     color_set_weights, color_set_dump, dump_weights, metadata_kmers, matrix_row_counts, marginals, cooccurrence, differences, row_mode_histogram, distance_identity,
     distance_hybrid, distance_blocks, distance_suppliers, distance_xor, distance_table, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
     tsp_scale, tsp_matrix_rows, tsplib_keys, tour_decode, tour_files, newick_leaf_order, order_file, order_runs, row_flip_count, order_validation, scored_orders,
     runs_aggregate, runs_files, timing_summary, timing_dedupe, timing_fields, timing_table, timing_collection, vertical_statistics, fasta_kmer_counts, config_product,
-    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders, whole_run,
+    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders, whole_run, sequence_color_sets,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -596,6 +606,10 @@ round_even(case when event_id % 2 = 0 then (user_id * 1000 + 500) / 1000::double
     "fasta_kmer_counts": rf"select source, count(*)::bigint as w_unitig, sum(greatest(length(regexp_replace(text, '[ \n]+', '', 'g')) - {K}, 0) + 1)::bigint as w_kmer from documents group by 1",
     "config_product": """select source as dataset, count(*)::bigint as n, k, method, type, least(20, k - 2)::int as minimizer from documents, (select unnest([15, 31]) as k), (select unnest(['optimal', 'nj', 'upgma', 'randomized']) as method), (select unnest(['kmer', 'unitig', 'uniqrow']) as type) group by source, k, method, type""",
     "text_color_sets": f"with {_SHINGLES}, s as (select f, string_agg(source, ' ' order by source) as colors from sh group by 1) select colors, count(*)::bigint as n_fragments from s group by 1",
+    "sequence_color_sets": f"""with s as (select source, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') as s from documents),
+x as (select source, s[i:i + {K - 1}] as f from (select source, s, unnest(range(1, length(s) - {K - 2})) as i from s where length(s) >= {K})),
+c as (select distinct source, least(f, translate(reverse(f), 'ACGT', 'TGCA')) as f from x),
+g as (select f, string_agg(source, ' ' order by source) as colors from c group by 1) select colors, count(*)::bigint as n_fragments from g group by 1""",
     "minhash_distance": f"""with {_SHINGLES}, h as (select source, md5(f) as h from sh), r as (select source, h, row_number() over (partition by source order by h) as r from h),
 k as (select source, h from r where r <= 200), p as (select distinct a.source as x, b.source as y from k a, k b where a.source < b.source),
 m as (select x, y, h, count(*) as c from p join k on source = x or source = y group by 1, 2, 3), j as (select x, y, h, c, row_number() over (partition by x, y order by h) as r from m),
