@@ -189,11 +189,21 @@ def tour_decode(spark, d):
     return tours.select("row_id", F.array_join(orders.decoded_tour(F.col("tour"), keys), " ").alias("names"))
 
 
-def newick_leaf_order(spark, d):
-    """Leaves of a tree text for each order: its line items as leaves of nested pairs."""
+def _order_trees(spark, d) -> DataFrame:
+    """(l_orderkey, tree): a tree text for each order, its line items as leaves of nested pairs."""
     lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
     tree = F.concat(F.array_join(F.transform("x", lambda v: F.concat(F.lit("(P"), v["l_partkey"].cast("string"), F.lit(":0.1"))), ","), F.lit(",Z:1"), F.array_join(F.transform("x", lambda v: F.lit(")")), ""), F.lit(";"))
-    return lines.select("l_orderkey", F.array_join(N.leaves(tree), " ").alias("leaves"))
+    return lines.select("l_orderkey", tree.alias("tree"))
+
+
+def newick_leaf_order(spark, d):
+    return _order_trees(spark, d).select("l_orderkey", F.array_join(N.leaves(F.col("tree")), " ").alias("leaves"))
+
+
+def newick_nodes(spark, d):
+    """All nodes of the orders' trees: inner ones by their depth and leaves, leaves by their names."""
+    nodes = readers.tree_nodes(_order_trees(spark, d).select(F.col("l_orderkey").alias("path"), "tree"))
+    return nodes.select(F.col("path").alias("l_orderkey"), "depth", "name", "length", "first_leaf", "last_leaf")
 
 
 def _orders(spark, d) -> DataFrame:
@@ -458,7 +468,7 @@ _ALL = (
     distance_hybrid, distance_blocks, distance_suppliers, distance_xor, distance_table, bit_matrix_hamming, pair_normalise, selected_distances, tsp_invert,
     tsp_scale, tsp_matrix_rows, tsplib_keys, tour_decode, tour_files, newick_leaf_order, order_file, order_runs, row_flip_count, order_validation, scored_orders,
     runs_aggregate, runs_files, timing_summary, timing_dedupe, timing_fields, timing_table, timing_collection, vertical_statistics, fasta_kmer_counts, config_product,
-    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders, whole_run, sequence_color_sets,
+    text_color_sets, minhash_distance, timing_headers, compacted_graph, graph_weights, spanning_tree, linkage_merges, grown_orders, whole_run, sequence_color_sets, newick_nodes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -544,6 +554,9 @@ sym as (select name_i as x, name_j as y, w from w union all select name_j, name_
 select a.pos::int as pos, a.key, string_agg(coalesce(sym.w, 0)::varchar, ' ' order by b.pos) as weights from keys a cross join keys b left join sym on sym.x = a.key and sym.y = b.key group by a.pos, a.key""",
     "tour_decode": f"with {_INC} select row_id, string_agg('N' || color::varchar, ' ' order by color) as names from inc group by 1",
     "newick_leaf_order": "select l_orderkey, string_agg('P' || l_partkey::varchar, ' ' order by l_linenumber, l_partkey) || ' Z' as leaves from lineitem group by 1",
+    "newick_nodes": """with l as (select l_orderkey, 'P' || l_partkey as name, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as r, count(*) over (partition by l_orderkey) as n from lineitem)
+select l_orderkey, r::bigint as depth, name, 0.1::double as length, r - 1 as first_leaf, r - 1 as last_leaf from l
+union all select l_orderkey, r - 1, null, null, r - 1, n from l union all select l_orderkey, n, 'Z', 1.0, n, n from l where r = n""",
     "order_runs": f"""with {_DIST}, {_COUNTS},
 ord as (select 'name' as key, row_number() over (order by n_name) as pos, n_name as name from nation union all select 'color', row_number() over (order by n_nationkey), n_name from nation
   union all select 'random', row_number() over (order by md5('{SEED}:' || n_name)), n_name from nation),

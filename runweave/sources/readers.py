@@ -163,14 +163,39 @@ def parsed_metadata(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").contains("=")).select(F.split_part("value", F.lit("="), F.lit(1)).alias("key"), F.split_part("value", F.lit("="), F.lit(2)).alias("value"))
 
 
+def xz_lines(content: bytes, size: int = 1 << 20) -> Iterator[list[str]]:
+    """The lines of xz data, a list at a time of those that end within the next `size` bytes; streams may follow each other.
+
+    No more than `size` bytes and a broken-off line are ever unpacked at once. Data that ends too early is an error.
+    """
+    rest, packed = b"", content
+    while packed:
+        stream = lzma.LZMADecompressor()
+        part = stream.decompress(packed, size)
+        while True:
+            *whole, rest = (rest + part).split(b"\n")
+            if whole:
+                yield [x.removesuffix(b"\r").decode() for x in whole]
+            if stream.eof:
+                break
+            if stream.needs_input:
+                raise EOFError("xz data ends before its end mark")
+            part = stream.decompress(b"", size)
+        packed = stream.unused_data.lstrip(b"\0")  # padding between streams
+    if rest:
+        yield [rest.decode()]
+
+
 def distances(spark: SparkSession, path: str) -> DataFrame:
     """(a, b, dist) of a distance table; plain, gzip or xz."""
     if path.endswith(".xz"):
         def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for name, content in zip(f.path, f.content):
-                    text = lzma.decompress(content).decode().splitlines()
-                    yield pd.DataFrame({"path": name, "pos": range(len(text)), "value": text})
+                    at = 0
+                    for lines in xz_lines(content):
+                        yield pd.DataFrame({"path": name, "pos": range(at, at + len(lines)), "value": lines})
+                        at += len(lines)
 
         lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpacked, "path string, pos long, value string")
     else:
@@ -228,6 +253,44 @@ def newick(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("tree"))
 
 
+def tree_nodes(trees: DataFrame) -> DataFrame:
+    """(path, node, parent, depth, name, length, first_leaf, last_leaf): all nodes of Newick trees (path, tree).
+
+    node and parent are places of tokens, null for the root's parent; depth is 0 at the root; leaves are numbered from 0 in
+    each tree, a leaf being its own first and last. Quoted names lose their quotes; missing names and lengths are null.
+    Brackets that don't match raise an error. Depths are running sums, and a bracket finds its other one as the next of
+    its level.
+    """
+    text = r"(?:'(?:[^']|'')*'|[^(),;'])+"
+    tokens = trees.select("path", F.posexplode(F.regexp_extract_all("tree", F.lit(rf"[(),;]|{text}"), 0)).alias("at", "token")).where(~F.col("token").rlike(r"^[\s;]*$"))
+    own = Window.partitionBy("path").orderBy("at")
+    step = F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)
+    marked = tokens.select("*", F.lag("token").over(own).alias("before"), F.sum(step).over(own).alias("depth"), F.lead("token").over(own).alias("after"), F.sum(step).over(Window.partitionBy("path")).alias("left_open"))
+    sound = (F.col("depth") >= 0) & (F.col("left_open") == 0)
+    marked = marked.withColumn("depth", F.when(sound, F.col("depth")).otherwise(F.raise_error(F.concat(F.lit("brackets don't match in "), "path")).cast("long")))
+    is_text = ~F.col("token").isin("(", ")", ",")
+    is_leaf = is_text & (F.col("before").isNull() | F.col("before").isin("(", ","))
+    level = F.when(F.col("token") == ")", F.col("depth") + 1).otherwise(F.col("depth"))
+    placed = marked.select("path", "at", "token", "depth", "after", level.alias("level"), is_leaf.alias("leaf"), F.sum(is_leaf.cast("int")).over(own).alias("leaves"))
+    of_level = Window.partitionBy("path", "level").orderBy("at")
+    opened = F.last(F.when(F.col("token") == "(", F.col("at")), ignorenulls=True).over(of_level)
+    around = placed.where("token in ('(', ')') or leaf").withColumn("open", opened).withColumn("close", F.lead(F.struct("leaves", "after", "at")).over(Window.partitionBy("path", "level", F.col("token").isin("(", ")")).orderBy("at")))
+    label = F.when(F.col("leaf"), F.col("token")).otherwise(F.when(~F.col("close.after").isin("(", ")", ","), F.col("close.after")))
+    parts = F.regexp_extract(label, r"(?s)^\s*('(?:[^']|'')*'|[^:']*?)\s*(?::(.*))?$", 1), F.regexp_extract(label, r"(?s)^\s*(?:'(?:[^']|'')*'|[^:']*?)\s*(?::(.*))?$", 1)
+    bare = F.when(parts[0].startswith("'"), F.regexp_replace(F.substring(parts[0], F.lit(2), F.length(parts[0]) - 2), "''", "'")).otherwise(parts[0])
+    nodes = around.where("token = '(' or leaf").select(
+        "path", F.col("at").alias("node"), F.when(F.col("leaf"), F.col("open")).alias("inner"), "level", "leaf", F.nullif(bare, F.lit("")).alias("name"), F.nullif(F.trim(parts[1]), F.lit("")).cast("double").alias("length"),
+        F.when(F.col("leaf"), F.col("leaves") - 1).otherwise(F.col("leaves")).alias("first_leaf"), F.when(F.col("leaf"), F.col("leaves") - 1).otherwise(F.col("close.leaves") - 1).alias("last_leaf"),
+    )
+    # the parent of an inner node is the last bracket before it that opened one level further out
+    outer = around.where("token = '('").select("path", (F.col("level") + 1).alias("level"), F.col("at").alias("node"), F.lit(True).alias("opens"))
+    both = nodes.where("not leaf").select("path", "level", "node", F.lit(False).alias("opens")).unionByName(outer)
+    over = both.withColumn("outer", F.last(F.when(F.col("opens"), F.col("node")), ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("node"))).where("not opens").select("path", "node", "outer")
+    return nodes.join(over, ["path", "node"], "left").select(
+        "path", "node", F.when(F.col("leaf"), F.col("inner")).otherwise(F.col("outer")).alias("parent"), F.when(F.col("leaf"), F.col("level")).otherwise(F.col("level") - 1).alias("depth"), "name", "length", "first_leaf", "last_leaf"
+    )
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     return parsed_runs(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
 

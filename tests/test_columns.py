@@ -148,6 +148,75 @@ def test_timings_of_different_headers(spark, tmp_path):
             readers.timings(spark, f"{tmp_path}/{n}.bad", ["a"]).collect()
 
 
+def plain_nodes(tree):
+    """(depth, name, length, first leaf, last leaf, parent's leaves) of a Newick tree, by recursion."""
+    out, at, leaf = [], 0, 0
+
+    def label():
+        nonlocal at
+        name, start = None, at
+        if tree[at : at + 1] == "'":
+            end = at + 1
+            while tree[end] != "'" or tree[end : end + 2] == "''":
+                end += 2 if tree[end] == "'" else 1
+            name, at = tree[at + 1 : end].replace("''", "'"), end + 1
+        else:
+            while at < len(tree) and tree[at] not in "(),:;":
+                at += 1
+            name = tree[start:at].strip() or None
+        length = None
+        if tree[at : at + 1] == ":":
+            start = at = at + 1
+            while at < len(tree) and tree[at] not in "(),;":
+                at += 1
+            length = float(tree[start:at])
+        return name, length
+
+    def node(depth):
+        nonlocal at, leaf
+        first = leaf
+        inner = []
+        if tree[at] == "(":
+            while tree[at] in "(,":
+                at += 1
+                inner.append(node(depth + 1))
+            at += 1
+        else:
+            leaf += 1
+        name, length = label()
+        span = (first, leaf - 1)
+        out.append((depth, name, length, *span, None))
+        for i in inner:
+            out[i] = (*out[i][:5], span)
+        return len(out) - 1
+
+    node(0)
+    return sorted(out, key=repr)
+
+
+def test_tree_nodes(spark):
+    trees = ["((A:0.1,B:0.2)x:0.3,C:1);", "('it''s (a), b':1.5,(c,(d:2,e)'f g':3)h)root;", "A:1;", "((((a:1e-3))));", "(a,b,c);"]
+    got = readers.tree_nodes(spark.createDataFrame(list(enumerate(trees)), "path int, tree string")).collect()
+    for i, tree in enumerate(trees):
+        own = {r.node: r for r in got if r.path == i}
+        span = lambda n: (own[n].first_leaf, own[n].last_leaf) if n is not None else None  # noqa: E731, B023
+        assert sorted(((r.depth, r.name, r.length, *span(r.node), span(r.parent)) for r in own.values()), key=repr) == plain_nodes(tree)
+    for bad in ("((a,b);", "(a,b));"):
+        with pytest.raises(Exception, match="brackets don't match"):
+            readers.tree_nodes(spark.createDataFrame([(1, bad)], "path int, tree string")).collect()
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_xz_lines(size):
+    text = "".join(f"a{i}\tb{i}\t{i}\n" for i in range(300)) + "é\tlast\t1"
+    packed = lzma.compress(text[:2000].encode()) + b"\0" * 4 + lzma.compress(text[2000:].encode())
+    parts = list(readers.xz_lines(packed, size))
+    assert [x for p in parts for x in p] == text.split("\n") and (size > 7 or max(map(len, parts)) <= 7)
+    assert list(readers.xz_lines(lzma.compress(b""), size)) == []
+    with pytest.raises(EOFError):
+        list(readers.xz_lines(packed[:-20], size))
+
+
 def test_manifest_is_written(spark):
     lines = writers.manifest_lines(spark.createDataFrame([("/b/x.fa",), ("/a/y.fa",), ("/b/x.fa",)], "path string"))
     assert [r.path for r in lines.collect()] == ["/a/y.fa", "/b/x.fa"]
