@@ -75,10 +75,10 @@ def average_linkage(dists: DataFrame, columns: DataFrame) -> tuple[DataFrame, Da
     sums, which joins add up; nearest by (average, a, b). Rounds are few unless clusters grow one column at a time.
     """
     steps = Steps(dists.sparkSession)
-    types = dists.select("type").distinct()
-    leaves = steps.kept(types.join(columns).select("type", "column", F.col("column").alias("c"), F.lit(0).cast("long").alias("pos")), "leaves")
-    sizes = steps.kept(leaves.select("type", "c", F.lit(1).cast("long").alias("size")), "sizes")
     now = steps.kept(dists.select("type", F.col("i").alias("a"), F.col("j").alias("b"), F.col("dist").alias("sum")), "sums")
+    types = now.select("type").distinct()
+    leaves = steps.kept(types.crossJoin(columns).select("type", "column", F.col("column").alias("c"), F.lit(0).cast("long").alias("pos")), "leaves")
+    sizes = steps.kept(leaves.select("type", "c", F.lit(1).cast("long").alias("size")), "sizes")
     merges = None
     while not now.isEmpty():
         size = lambda c: sizes.select("type", F.col("c").alias(c), F.col("size").alias(f"{c}_size"))  # noqa: B023, E731

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names as N
-from .functions.steps import shared_folder
+from .functions.steps import Steps, shared_folder
 from .operators import buckets, evaluate, fragments, graph, matrix, orders, reports, sampling, trees
 from .plans import analysis, runs
 from .plans import config as C
@@ -443,7 +443,7 @@ def linkage_merges(spark, d):
 
 def grown_orders(spark, d):
     """Orders of the columns from both kinds of trees, scored under the weighting that they were grown from, beside the order of names."""
-    dists, colors = _dists(spark, d), _colors(spark, d)
+    dists, colors = Steps(spark).kept(_dists(spark, d)), _colors(spark, d)
     some = dists.select("type", "i", "j", "dist")
     tour = trees.tour_order(trees.spanning_tree(some))
     _, leaves = trees.average_linkage(some, colors.select(F.col("color").alias("column")))
