@@ -2,11 +2,12 @@
 
 Variable path segments (numbers, hashes, dates) become wildcards of their shape, so that pages fall together to a few
 shaped paths; the tree is built on their counts, level by level. Under each node a branch stays apart only where its
-share of blocked pages differs significantly from its siblings', on the host itself or over all hosts with that node;
-similar branches merge to a wildcard. A template's blocked share is smoothed towards that of the same template over all
-hosts, which is smoothed towards its own parent's, and towards that of its parent on the host. A template is rejected
-where the smoothed share is high. Labels are the verdicts of the rules; held_out() measures them against hosts whose
-labels the tree has not seen.
+share of blocked pages differs significantly from its siblings': on the host, on its domain, or over all hosts if several
+domains have labels there; similar branches merge to a wildcard. A node whose labelled pages could not split any more
+ends in `**`, at whatever depth. A template's blocked share is smoothed towards that of the same template on the domain,
+which is smoothed towards that over all hosts, and towards that of its parent on the host. What one domain alone has
+labels of does not go over to others. A template is rejected where the smoothed share is high. Labels are the verdicts of
+the rules; held_out() measures them on hosts, domains or rules whose labels the tree has not seen.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from .common import remove, scratch, stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path; the longest wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Levels that are always told apart. Below them a node whose labelled pages can't split any more ends in `**`.
-DEPTH = 6
 #: Standard deviations from which two shares differ; labelled pages that a branch needs to stay apart.
 DIFFERENT, LEAST = 2.0, 5
-#: Weight, in pages, of the same template over all hosts and of the parent on the host; blocked share from which a template
+#: Domains that must have labelled pages under a template before it tells anything about further domains.
+DOMAINS = 2
+#: Weight, in pages, of the same template on a wider level and of the parent on the host; blocked share from which a template
 #: is rejected. Chosen on labels of held-out hosts of the given pages.
 WEIGHT, OWN, REJECT = 4.0, 1.0, 0.8
 #: Shapes of variable segments, by regular expression; the first that fits holds.
@@ -35,6 +36,15 @@ def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"\A(?s:.*?)://([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
 
 
+def domain(host_: Column) -> Column:
+    """The last two labels of a host, without user and port; numeric addresses and single names are themselves.
+
+    No list of public suffixes is at hand: hosts under `co.uk` count as one domain, which only asks for more evidence.
+    """
+    bare = F.regexp_replace(host_, r"\A[^@]*@|:[0-9]*\z", "")
+    return F.when(bare.rlike(r"\A[0-9.]+\z"), bare).otherwise(F.regexp_extract(bare, r"([^.]*\.)?[^.]*\z", 0))
+
+
 def path(url: Column) -> Column:
     """What follows the host, up to `?`, `#` or the end; empty where there is no `://`."""
     return F.coalesce(F.regexp_extract(url, r"\A(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
@@ -69,51 +79,71 @@ def _apart(b, l, nb, nl):
     return F.when((l < LEAST) | (rest_l < LEAST) | (nb == 0) | (nb == nl), False).otherwise(z >= DIFFERENT)
 
 
+def _sums(df: DataFrame, *by: str) -> DataFrame:
+    """Blocked and labelled pages, and in how many rows some are labelled."""
+    return df.groupBy(*by).agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.count_if(F.col("labelled") > 0).alias("several"))
+
+
+def _differ(branches: DataFrame, name: str, *node: str) -> DataFrame:
+    """Columns `node`, seg, and whether that branch's share differs from the rest of its node's, as `name`."""
+    whole = branches.groupBy(*node).agg(F.sum("blocked").alias("nb"), F.sum("labelled").alias("nl"))
+    return branches.join(whole, list(node)).select(*node, "seg", "several", _apart(*map(F.col, ("blocked", "labelled", "nb", "nl"))).alias(name))
+
+
 def _named(now: DataFrame) -> DataFrame:
     """(host, template, seg, name, own, own_all): how each branch of this level is called, and its shares once merged.
 
-    now: (host, template, seg, blocked, labelled, share, share_all), without rows whose path has ended.
+    now: (host, domain, template, seg, blocked, labelled, share, share_all), without rows whose path has ended. Sums over
+    domains are made of those over hosts, and sums over all of those over domains.
     """
-    sums = lambda df, by, b, l, x, y: df.groupBy(*by).agg(F.sum(b).alias(x), F.sum(l).alias(y))
-    branch = now.groupBy("host", "template", "seg").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max("share").alias("up"), F.max("share_all").alias("up_all"))
-    shared = sums(branch, ["template", "seg"], "b", "l", "ab", "al")
-    both = branch.join(sums(branch, ["host", "template"], "b", "l", "nb", "nl"), ["host", "template"]).join(
-        shared.join(sums(shared, ["template"], "ab", "al", "nab", "nal"), "template").select("template", "seg", _apart(*map(F.col, ("ab", "al", "nab", "nal"))).alias("apart_all")), ["template", "seg"]
+    by_host = _sums(now, "host", "domain", "template", "seg")
+    by_domain = _sums(by_host, "domain", "template", "seg")
+    by_all = _sums(by_domain, "template", "seg")
+    up = now.groupBy("host", "template").agg(F.max("share").alias("up"), F.max("share_all").alias("up_all"))
+    told = (
+        by_host.drop("several")
+        .join(_differ(by_host, "on_host", "host", "template").drop("several"), ["host", "template", "seg"])
+        .join(_differ(by_domain, "on_domain", "domain", "template").drop("several"), ["domain", "template", "seg"])
+        .join(_differ(by_all, "on_all", "template"), ["template", "seg"])
     )
-    merged = scratch(both.select("host", "template", "seg", "b", "l", "up", "up_all", F.when(_apart(*map(F.col, ("b", "l", "nb", "nl"))) | F.col("apart_all"), F.col("seg")).otherwise("*").alias("name")))
-    pooled = sums(merged, ["host", "template", "name"], "b", "l", "pb", "pl")
-    every = sums(pooled, ["template", "name"], "pb", "pl", "qb", "ql")
-    own_all = (F.col("qb") + WEIGHT * F.col("up_all")) / (F.col("ql") + WEIGHT)
-    named = merged.select("host", "template", "seg", "name", "up", "up_all").join(pooled, ["host", "template", "name"]).join(every, ["template", "name"]).withColumn("own_all", own_all)
-    return named.select("host", "template", "seg", "name", "own_all", ((F.col("pb") + WEIGHT * F.col("own_all") + OWN * F.col("up")) / (F.col("pl") + WEIGHT + OWN)).alias("own"))
+    apart = F.col("on_host") | F.col("on_domain") | (F.col("on_all") & (F.col("several") >= DOMAINS))
+    merged = scratch(told.select("host", "domain", "template", "seg", "blocked", "labelled", F.when(apart, F.col("seg")).otherwise("*").alias("name")))
+
+    here = _sums(merged, "host", "domain", "template", "name").drop("several")
+    near = _sums(here, "domain", "template", "name")
+    far = _sums(near, "template", "name").select("template", "name", F.col("blocked").alias("qb"), F.col("labelled").alias("ql"), "several")
+    near = near.select("domain", "template", "name", F.col("blocked").alias("db"), F.col("labelled").alias("dl"))
+    shares = here.join(up, ["host", "template"]).join(near, ["domain", "template", "name"]).join(far, ["template", "name"])
+    shares = shares.withColumn("own_all", F.when(F.col("several") >= DOMAINS, (F.col("qb") + WEIGHT * F.col("up_all")) / (F.col("ql") + WEIGHT)).otherwise(F.col("up_all")))
+    shares = shares.withColumn("own_domain", (F.col("db") + WEIGHT * F.col("own_all")) / (F.col("dl") + WEIGHT))
+    own = (F.col("blocked") + WEIGHT * F.col("own_domain") + OWN * F.col("up")) / (F.col("labelled") + WEIGHT + OWN)
+    return merged.select("host", "template", "seg", "name").join(shares.select("host", "template", "name", "own_all", own.alias("own")), ["host", "template", "name"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, shaped, template, share): the template and smoothed blocked share of each shaped path.
 
     pages: (host, shaped array<string>, blocked, labelled), aggregated by host and shaped path. A level is one round over
-    the paths that still go on; each round is stored, and the one before removed. From DEPTH on a path goes on only where
-    the pages under its template, over all hosts, could still split: enough of them labelled, some blocked and some not.
+    the paths that still go on; each round is stored, and the one before removed. A path goes on only where the pages
+    under its template, over all hosts, could still split: enough of them labelled, some blocked and some not.
     """
     spark = pages.sparkSession
     total = pages.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("share_all"))
     by_host = pages.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("labelled").alias("hl"))
     root = by_host.crossJoin(F.broadcast(total)).select("host", "share_all", ((F.col("hb") + WEIGHT * F.col("share_all")) / (F.col("hl") + WEIGHT)).alias("share"))
-    now, path = stored(pages.join(root, "host").select("*", F.lit("").alias("template"), (F.size("shaped") > 0).alias("open")))
+    now, path = stored(pages.join(root, "host").select("*", domain(F.col("host")).alias("domain"), F.lit("").alias("template"), (F.size("shaped") > 0).alias("open")))
     level = 0
     while not now.where("open").isEmpty():
-        going, ended = now.where("open").withColumn("seg", F.col("shaped")[level]), now.where("not open")
-        if level >= DEPTH:
-            sums = going.groupBy("template").agg(F.sum("blocked").alias("nb"), F.sum("labelled").alias("nl"))
-            splits = sums.select("template", ((F.col("nl") >= 2 * LEAST) & (F.col("nb") > 0) & (F.col("nb") < F.col("nl"))).alias("splits"))
-            going = going.join(splits, "template")
-            ended = ended.unionByName(going.where("not splits").select(*[F.concat("template", F.lit("/**")).alias(c) if c == "template" else F.lit(False).alias(c) if c == "open" else F.col(c) for c in ended.columns]))
-            going = going.where("splits").drop("splits")
-        stepped = going.join(_named(going), ["host", "template", "seg"]).select(
-            "host", "shaped", "blocked", "labelled", F.col("own_all").alias("share_all"), F.col("own").alias("share"), F.concat("template", F.lit("/"), F.col("name")).alias("template"),
-            (F.size("shaped") > level + 1).alias("open"),
+        ended, open_ = now.where("not open"), now.where("open").withColumn("seg", F.col("shaped")[level])
+        under = open_.groupBy("template").agg(F.sum("blocked").alias("nb"), F.sum("labelled").alias("nl"))
+        splits = under.select("template", ((F.col("nl") >= 2 * LEAST) & (F.col("nb") > 0) & (F.col("nb") < F.col("nl"))).alias("splits"))
+        open_ = open_.join(splits, "template")
+        stopped = open_.where("not splits").withColumns({"template": F.concat("template", F.lit("/**")), "open": F.lit(False)})
+        going = open_.where("splits")
+        stepped = going.drop("share", "share_all").join(_named(going), ["host", "template", "seg"]).withColumns(
+            {"share": F.col("own"), "share_all": F.col("own_all"), "template": F.concat("template", F.lit("/"), F.col("name")), "open": F.size("shaped") > level + 1}
         )
-        before, (now, path) = path, stored(ended.unionByName(stepped))
+        before, (now, path) = path, stored(ended.unionByName(stopped.select(*now.columns)).unionByName(stepped.select(*now.columns)))
         remove(spark, before)
         level += 1
     return now.select("host", "shaped", "template", "share")
@@ -132,14 +162,16 @@ def _tree(some: DataFrame, seen) -> DataFrame:
     return scratch(templates(counts))
 
 
-def held_out(pages: DataFrame, url_col: str = "url", rules=RULES, folds: int = 5, fold: int = 0) -> DataFrame:
-    """(n_labelled, n_blocked, n_rejected, n_right): how templates judge hosts whose labels were kept from the tree.
+def held_out(pages: DataFrame, url_col: str = "url", rules=RULES, folds: int = 5, fold: int = 0, by: str = "host") -> DataFrame:
+    """(n_labelled, n_blocked, n_rejected, n_right): how templates judge pages whose labels were kept from the tree.
 
-    Hosts are dealt to folds by crc32. n_right of the n_rejected pages are blocked by a rule: their quotient is the purity
-    of rejections, n_right / n_blocked their recall. All are 0 where the fold has no labelled page.
+    by: "host", "domain" or "rule"; those are dealt to folds by crc32. n_right of the n_rejected pages are blocked by a
+    rule: their quotient is the purity of rejections, n_right / n_blocked their recall. All are 0 where the fold has no
+    labelled page.
     """
     some = _placed(pages.withColumn("page_id", F.lit(0)), "page_id", url_col, rules)
-    out = F.crc32(F.col("host").cast("binary")) % folds == fold
+    key = {"host": F.col("host"), "domain": domain(F.col("host")), "rule": F.coalesce("r.rule", F.lit(""))}[by]
+    out = F.crc32(key.cast("binary")) % folds == fold
     judged = some.join(_tree(some, ~out), ["host", "shaped"]).where(out & F.col("r.verdict").isNotNull())
     blocked, rejected = F.col("r.verdict") == "block", F.col("share") >= REJECT
     return judged.agg(F.count("*").alias("n_labelled"), F.count_if(blocked).alias("n_blocked"), F.count_if(rejected).alias("n_rejected"), F.count_if(blocked & rejected).alias("n_right"))
