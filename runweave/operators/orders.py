@@ -30,20 +30,32 @@ def selected_pairs(dists: DataFrame, selected: DataFrame, column: str = "name")
     return dists.join(a, "name_i", "left_semi").join(b, "name_j", "left_semi")
 
 
+def _filled(cells: Column, n: Column) -> Column:
+    """Weights of a row of n places from its known cells (pb, w) in order of pb; what lies between them is 0."""
+    gap = lambda c, i: c["pb"] - F.when(i == 0, 0).otherwise(F.get(cells, i - 1)["pb"] + 1)
+    parts = F.transform(cells, lambda c, i: F.concat(F.array_repeat(F.lit(0), gap(c, i)), F.array(c["w"])))
+    behind = n - F.when(F.size(cells) > 0, F.get(cells, F.size(cells) - 1)["pb"] + 1).otherwise(0)
+    return F.concat(F.flatten(parts), F.array_repeat(F.lit(0), behind))
+
+
 def instance_rows(dists: DataFrame) -> DataFrame:
     """(pos, key, weights): the full matrix of one weighting of (name_i, name_j, dist) with a dummy city and padding.
 
-    Few keys get COPIES copies of the first one; equal keys are 0 apart.
+    Few keys get COPIES copies of the first one; equal keys are 0 apart, and so are keys without a distance. Only the
+    numbers of places travel with the weights; zeros are filled in within each row.
     """
-    both = dists.select(F.col("name_i").alias("x"), F.col("name_j").alias("y"), "dist").union(dists.select("name_j", "name_i", "dist"))
-    listed = dists.select(F.explode(F.array("name_i", "name_j")).alias("key")).agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max(F.lit(0)).alias("z"))
+    listed = dists.select(F.explode(F.array("name_i", "name_j")).alias("key")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
     keys = F.concat(F.array(F.lit(DUMMY)), F.col("keys"), F.when(F.size("keys") < SMALL, F.array_repeat(F.col("keys")[0], COPIES)).otherwise(F.array().cast("array<string>")))
-    places = listed.select(F.posexplode(keys).alias("pos", "key"))
+    whole = listed.select(keys.alias("keys"))
+    places = whole.select(F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
     top = dists.agg(F.max("dist").alias("top"))
-    weights = both.crossJoin(F.broadcast(top)).select("x", "y", scaled(F.col("dist"), F.col("top")).alias("w"))
-    a, b = places.select(F.col("pos").alias("pa"), F.col("key").alias("x")), places.select(F.col("pos").alias("pb"), F.col("key").alias("y"))
-    cells = a.crossJoin(b).join(weights, ["x", "y"], "left").select("pa", F.col("x").alias("key"), F.struct("pb", F.coalesce("w", F.lit(0)).alias("w")).alias("c"))
-    return cells.groupBy("pa", "key").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["w"]).alias("weights")).withColumnRenamed("pa", "pos")
+    weights = dists.where("name_i <> name_j").crossJoin(F.broadcast(top)).select("name_i", "name_j", scaled(F.col("dist"), F.col("top")).alias("w"))
+    a, b = places.select(F.col("pos").alias("pa"), F.col("key").alias("name_i")), places.select(F.col("pos").alias("pb"), F.col("key").alias("name_j"))
+    above = weights.join(a, "name_i").join(b, "name_j").select("pa", "pb", "w")
+    rows = above.union(above.select("pb", "pa", "w")).groupBy("pa").agg(F.array_sort(F.collect_list(F.struct("pb", "w"))).alias("cells"))
+    none = F.array().cast("array<struct<pb:int,w:int>>")
+    held = places.join(rows, places.pos == rows.pa, "left").withColumn("cells", F.coalesce("cells", none))
+    return held.select("pos", "key", _filled(F.col("cells"), F.col("n")).alias("weights"))
 
 
 def checked_tour(dim: Column, tour: Column, keys: Column) -> Column:

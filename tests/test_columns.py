@@ -398,3 +398,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 9 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_instance_rows(spark, n):
+    """The full matrix cell by cell: zeros for the dummy, equal keys and a pair that has no distance."""
+    rng = random.Random(n)
+    dist = {(f"c{i:02}", f"c{j:02}"): rng.randint(1, 30000) for i in range(n) for j in range(i + 1, n) if (i, j) != (1, 2)}
+    got = orders.instance_rows(spark.createDataFrame([(a, b, d) for (a, b), d in dist.items()], "name_i string, name_j string, dist long")).orderBy("pos").collect()
+    keys = ["_DUMMY_CITY_SEPARATOR_", *sorted({k for pair in dist for k in pair})]
+    keys += [keys[1]] * 35 if len(keys) - 1 < 35 else []
+    top = max(dist.values())
+    known = lambda a, b: dist.get((a, b), dist.get((b, a), 0))
+    weight = lambda d: 0 if not d else max(1, round(d / (top / 10000)))
+    assert [(r.pos, r.key, r.weights) for r in got] == [(i, k, [weight(known(k, x)) for x in keys]) for i, k in enumerate(keys)]
