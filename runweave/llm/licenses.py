@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
 Blocks of text that share three-word runs with a template, as many as any wording close enough must share, are compressed
-alone and with each template as a zstandard raw dictionary. The bytes that a template saves, over the bytes that it takes
-itself, rank the templates; each is confirmed word by word, and the words in which the text differs are told. Each row is
-scanned by itself: nothing is shuffled but the hits.
+alone and with each template as a zstandard raw dictionary. The bytes that a template saves rank the templates; each is
+confirmed word by word, and the words in which the text differs are told. Where confirmed templates lie in one place, as a
+header in its license, the one that saves most wins it, and the others are told as lying within it. Each row is scanned by
+itself: nothing is shuffled but the hits.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ TEMPLATES = {
 LEAST_WORDS, GRAM = 0.9, 3
 _WORD = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
-_HIT = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("license", pa.string()), ("at", pa.int32()), ("gain", pa.float64()), ("found", pa.float64()), ("differences", pa.string())])
+_HIT = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("license", pa.string()), ("at", pa.int32()), ("gain", pa.float64()), ("found", pa.float64()), ("differences", pa.string()), ("within", pa.string())])
 
 
 def numbered(text: str) -> list[str]:
@@ -120,8 +121,8 @@ class Scanner:
                 if enough:
                     yield start, end, enough
 
-    def places(self, t: Template, given: list[str], alike: list[str | None]) -> Iterator[tuple[int, float, str]]:
-        """(word, found, differences) of each place where `alike` words hold the template closely enough.
+    def places(self, t: Template, given: list[str], alike: list[str | None]) -> Iterator[tuple[int, int, float, str]]:
+        """(word, end, found, differences) of each place where `alike` words hold the template closely enough.
 
         found: share of the template's words that are there in order; words that the text adds between them count against
         it. Numbers match any number; those that differ are told, as words are: `wanted>given`. The place with the longest
@@ -143,36 +144,64 @@ class Scanner:
                 some = given[low:high]
                 differing = [f"{' '.join(wanted[a:b])}>{' '.join(some[c:d])}" for kind, a, b, c, d in ops if kind != "equal"]
                 differing += [f"{wanted[a + i]}>{some[c + i]}" for a, c, n in hit for i in range(n) if wanted[a + i] != some[c + i]]
-                yield low + hit[0][1], found, "; ".join(differing)
+                yield low + hit[0][1], low + hit[-1][1] + hit[-1][2], found, "; ".join(differing)
                 alike[low + hit[0][1] : low + hit[-1][1] + hit[-1][2]] = [None] * (hit[-1][1] + hit[-1][2] - hit[0][1])
             else:
                 alike[best.b : best.b + best.size] = [None] * best.size
 
-    def scan(self, text: str) -> Iterator[tuple[str, int, float, float, str]]:
-        """(license, at, gain, found, differences) of each confirmed template, once for each place."""
+    def scan(self, text: str) -> Iterator[tuple[str, int, float, float, str, str | None]]:
+        """(license, at, gain, found, differences, within) of each confirmed template, once for each place."""
         hits = self.hits(text)
         if not hits:
             return
-        spots, seen = [(m.start(), m.end()) for m in _WORD.finditer(text)], set()
+        spots, found_at = [(m.start(), m.end()) for m in _WORD.finditer(text)], {}
         for a, b, enough in self.blocks(hits):
             b = min(b, len(spots))
             block = text[spots[a][0] : spots[b - 1][1]]
             raw = block.encode("utf-8", "surrogatepass")
             size = len(self.plain.compress(raw))
-            gains = sorted(((size - len(t.given.compress(raw))) / t.itself, i) for i, t in enumerate(self.known))
+            saved = [size - len(t.given.compress(raw)) for t in self.known]
             given, alike = [text[x:y].lower() for x, y in spots[a:b]], numbered(block)
-            for gain, i in sorted(gains, key=lambda g: (-g[0], self.known[g[1]].name)):
-                for word, found, differing in self.places(self.known[i], given, alike) if i in enough else ():
-                    hit = (self.known[i].name, spots[a + word][0])
-                    if hit not in seen:
-                        seen.add(hit)
-                        yield *hit, round(gain, 6), round(found, 6), differing
+            for i in sorted(enough, key=lambda i: (-saved[i], self.known[i].name)):
+                t = self.known[i]
+                for word, end, found, differing in self.places(t, given, alike):
+                    place = (t.name, spots[a + word][0])
+                    found_at.setdefault(place, (spots[a + end - 1][1], saved[i], round(saved[i] / t.itself, 6), round(found, 6), differing))
+        winners = within([(*place, *rest[:2]) for place, rest in found_at.items()])
+        for place, (_, _, *told) in found_at.items():
+            yield *place, *told, winners.get(place)
+
+
+def within(places: list[tuple[str, int, int, int]]) -> dict[tuple[str, int], str]:
+    """(license, at) -> license that wins there, for each of the (license, at, end, saved) that wins no place itself.
+
+    The most bytes saved win, then the longer place, then the name. A place is lost to a winner that holds half of it.
+    """
+    ranked = sorted(places, key=lambda p: (-p[3], p[1] - p[2], p[0], p[1]))
+    over: dict[int, list[int]] = {}
+    running: list[int] = []
+    for i in sorted(range(len(ranked)), key=lambda i: ranked[i][1]):  # places of one template lie apart: few run at once
+        at, end = ranked[i][1:3]
+        running = [j for j in running if ranked[j][2] > at]
+        for j in running:
+            low, high = max(i, j), min(i, j)  # a later rank can lose to an earlier one
+            shared = min(end, ranked[j][2]) - at
+            if 2 * shared >= ranked[low][2] - ranked[low][1]:
+                over.setdefault(low, []).append(high)
+        running.append(i)
+    lost: dict[int, str] = {}
+    for i in sorted(over):
+        winner = min((j for j in over[i] if j not in lost), default=None)
+        if winner is not None:
+            lost[i] = ranked[winner][0]
+    return {ranked[i][:2]: name for i, name in lost.items()}
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, license, n_places, at, gain, found, differences): a row for each license that a document holds.
+    """(doc_id, license, n_places, n_won, at, gain, found, differences, within): a row for each license that a document holds.
 
-    at, gain and differences are those of the place with the largest gain, the first of equals. Rows with equal doc_id
+    n_won counts the places at which no template that saves more holds half of the words. The other columns are those of
+    the place with the largest gain, the first of equals; within is the license that wins it, null if this one does. Rows with equal doc_id
     and text are one document. Null and empty texts have no row; null doc_ids are kept as null. Other columns are ignored;
     empty tables give no rows. Texts and templates of any length are taken whole. A wording is found if at least LEAST_WORDS
     of the template's words, and of all words within it, are in order; none of these is passed over before it is confirmed.
@@ -183,9 +212,10 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
         scanner = Scanner(chosen.value)
         for b in byte_slices(batches, 1):
             rows = [(d, x, *hit) for d, text, x in zip(*(c.to_pylist() for c in b.columns)) if text for hit in scanner.scan(text)]
-            yield record(_HIT, *([r[i] for r in rows] for i in range(7)))
+            yield record(_HIT, *([r[i] for r in rows] for i in range(len(_HIT))))
 
     some = text_columns(docs, id_col, text_col).withColumn("xh", F.xxhash64("text"))
-    hits = arrow_map(some, run, "doc_id long, xh long, license string, at int, gain double, found double, differences string").distinct()
-    best = F.max_by(F.struct("at", "gain", "found", "differences"), F.struct("gain", -F.col("at"))).alias("b")
-    return hits.groupBy("doc_id", "xh", "license").agg(F.count("*").alias("n_places"), best).select("doc_id", "license", "n_places", "b.at", "b.gain", "b.found", "b.differences")
+    hits = arrow_map(some, run, "doc_id long, xh long, license string, at int, gain double, found double, differences string, within string").distinct()
+    best = F.max_by(F.struct("at", "gain", "found", "differences", "within"), F.struct("gain", -F.col("at"))).alias("b")
+    found = hits.groupBy("doc_id", "xh", "license").agg(F.count("*").alias("n_places"), F.count_if(F.col("within").isNull()).alias("n_won"), best)
+    return found.select("doc_id", "license", "n_places", "n_won", "b.at", "b.gain", "b.found", "b.differences", "b.within")

@@ -609,7 +609,33 @@ def test_licenses_against_every_place():
         whole = " ".join(text)
         given = [w.lower() for w in licenses._WORD.findall(whole)]
         starts = [m.start() for m in licenses._WORD.finditer(whole)]
-        want = {(t.name, starts[w]) for t in scanner.known for w, _, _ in scanner.places(t, given, licenses.numbered(whole))}
+        want = {(t.name, starts[w]) for t in scanner.known for w, *_ in scanner.places(t, given, licenses.numbered(whole))}
         assert {h[:2] for h in scanner.scan(whole)} == want
     found = [h[:2] for h in scanner.scan(f"{long} {licenses.TEMPLATES['MIT-line']} {licenses.TEMPLATES['MIT-line']} {long}")]
     assert sorted(name for name, _ in found) == ["MIT-line", "MIT-line", "long", "long"]
+
+
+def test_places_of_counted_edits():
+    """Wordings with a counted number of edits, among words of no template: found, place and share follow from the count."""
+    wanted = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    scanner = licenses.Scanner({"t": " ".join(wanted)})
+    for seed in range(60):
+        rng = random.Random(seed)
+        kind, edits, words = rng.choice(["other", "gone", "more"]), rng.randint(0, 7), list(wanted)
+        for at in sorted(rng.sample(range(2, 38), edits), reverse=True):
+            words[at : at + 1] = {"other": ["changed"], "gone": [], "more": [words[at], "added"]}[kind]
+        before, after = (" ".join(rng.choice(["river", "stone", "rain"]) for _ in range(rng.randint(1, 300))) for _ in range(2))
+        share = 40 / (40 + edits) if kind == "more" else (40 - edits) / 40
+        got = [(h[0], h[1], h[3]) for h in scanner.scan(f"{before} {' '.join(words)} {after}")]
+        assert got == ([("t", len(before) + 1, round(share, 6))] if share >= licenses.LEAST_WORDS else []), (kind, edits)
+
+
+def test_largest_saving_wins_a_place(spark):
+    full, part, other = licenses.TEMPLATES["MIT-full"], licenses.TEMPLATES["MIT"], licenses.TEMPLATES["MIT-line"]
+    rows = [(1, f"{other} And so on. {full}"), (2, part), (3, f"{part} between them {full}")]
+    by = {(r.doc_id, r.license): r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[1, "MIT-full"].within is None and by[1, "MIT-line"].within is None and by[2, "MIT"].within is None
+    assert (by[1, "MIT"].within, by[1, "MIT"].n_places, by[1, "MIT"].n_won) == ("MIT-full", 1, 0)
+    assert (by[3, "MIT"].n_places, by[3, "MIT"].n_won, by[3, "MIT-full"].n_won) == (2, 1, 1)
+    assert licenses.within([("a", 0, 10, 5), ("b", 2, 6, 3), ("c", 8, 16, 4), ("d", 3, 5, 2)]) == {("b", 2): "a", ("d", 3): "a"}
+    assert licenses.within([]) == {}
