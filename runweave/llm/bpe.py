@@ -1,20 +1,18 @@
-"""Byte-level BPE by a rank file: encoding with the tokenizers library over Arrow batches, and decoding.
+"""Byte-level BPE by a rank file: encoding over Arrow batches, and decoding.
 
-The rank file's byte strings become the library's vocabulary through the usual one-character-a-byte mapping. A rank file
-merges any two neighbours whose joint string has a rank, so every split of every token in two tokens is listed as a
-merge, in the order of ranks; whole pieces that are tokens are taken as they are. Within a batch, texts are parted at
-single spaces, where pieces of the pattern always end; each distinct part is encoded once.
+A rank file merges any two neighbours whose joint string has a rank, the least rank first and the leftmost of equal ones;
+whole pieces that are tokens are taken as they are. The pattern's pieces are found for a whole slice of texts by the kinds
+of its characters, each distinct piece is merged once, and pieces of all lengths go through rounds of merges together
+(merges.py). The tokenizers library encodes long pieces, and splits by other patterns than the public one.
 """
 
 from __future__ import annotations
 
-import array
 import base64
 import hashlib
-import os
-import re
-import sys
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_slices, record, text_columns
+from .merges import NOTHING, OTHER, SPACE, Kinds, Memory, Merges, as_pieces, before, contractions, ranges, text_bytes
 
-#: Bytes of a generation of remembered parts; a worker keeps two, and forgets the older one when the younger is full.
-MEMORY = 32 << 20
-#: Bytes that an entry takes beside its two values.
-ENTRY = 104
-#: Marks that the pattern parts from a letter before them.
-MARKS = ".,;:!?"
-#: A space beside another white-space character; a superset of what the pattern takes for white space.
-BESIDE = re.compile(r" \s|\s ")
+#: Bytes of the remembered pieces of a worker; bytes and rows of the texts that are encoded together.
+MEMORY, TOGETHER, ROWS = 8 << 20, 1 << 20, 8192
+#: The pattern whose matches are found by the kinds of characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that stand for themselves as characters; the others follow from U+0100 in order. Fixed values of the format.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -52,66 +47,83 @@ class Codec:
     """Encoder and decoder of one rank file and pattern; made once in each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        self.ranks, self.pattern = ranks, pattern
+        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.sizes[i] = len(b)
+        # the bytes of all tokens by their ids, and where those of each one start
+        self.joined = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.sizes))), np.uint8)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.kinds = Kinds()
+        single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64).reshape(-1, 3)
+        merges = Merges(*pairs.T, np.arange(len(self.sizes)))
+        self.memory = Memory(merges, single, single, self._long, MEMORY, ranks)
+
+    @cached_property
+    def model(self):
+        """The library's model, for long pieces; it has every split of every token as a merge, in the order of ranks."""
+        from tokenizers import models
 
         shown = byte_characters()
         as_text = lambda b: "".join(map(shown.__getitem__, b))
+        ranks = self.ranks
         merges = [(as_text(t[:i]), as_text(t[i:])) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.model = Tokenizer(models.BPE(vocab={as_text(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        byte_of = {c: b for b, c in enumerate(shown)}
-        self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in self.model.get_vocab().items()}
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
-        self.sizes = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
-        for i, b in self.bytes_of.items():
-            self.sizes[i] = len(b)
+        return models.BPE(vocab={as_text(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """Parts that join to `text`, each but the first starting with a single space between other characters."""
-        out = text.split(" ")
-        out[1:] = [" " + x for x in out[1:]]
-        if not BESIDE.search(text):
-            return out
-        joined = [out[0]]
-        for x in out[1:]:
-            if len(x) == 1 or x[1].isspace() or joined[-1][-1:].isspace():
-                joined[-1] += x
-            else:
-                joined.append(x)
-        return joined
-
-    def _keep(self, part: str, ids: bytes) -> None:
-        self.memory[part] = ids
-        self.held += sys.getsizeof(part) + sys.getsizeof(ids) + ENTRY
-
-    def learn(self, parts: set[str]) -> None:
-        """Have all `parts` in memory, as little-endian unsigned ids.
-
-        A part that ends in one mark after a letter is put together from the rest and the mark.
-        """
-        if self.held > MEMORY:
-            self.memory, self.older, self.held = {}, self.memory, 0
-        new = parts.difference(self.memory)  # a dict itself, not its keys: Python then looks up the smaller side
-        for x in [x for x in new if x in self.older]:
-            self._keep(x, self.older[x])
-        new = new.difference(self.memory)
-        ended = {x for x in new if len(x) > 2 and x[-1] in MARKS and x[-2].isalpha() and x[-2] < "\u0250"}
-        todo = list((new - ended | {x[:-1] for x in ended} | {x[-1] for x in ended}).difference(self.memory))
-        for x, e in zip(todo, self.model.encode_batch(todo, add_special_tokens=False)):
-            self._keep(x, array.array("I", e.ids).tobytes())
-        for x in ended:
-            self._keep(x, self.memory[x[:-1]] + self.memory[x[-1]])
+    def _long(self, piece: bytes) -> list[int]:
+        shown = byte_characters()
+        return [t.id for t in self.model.tokenize("".join(map(shown.__getitem__, piece)))]
+
+    @cached_property
+    def split(self):
+        """The library's own splitting, for other patterns."""
+        from tokenizers import Regex, pre_tokenizers
+
+        return pre_tokenizers.Split(Regex(self.pattern), "isolated")
+
+    def starts(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the matches of the pattern start in texts that lie one after the other."""
+        new = np.zeros(len(raw), bool)
+        if self.pattern != PATTERN:
+            for a, b in pairwise(bounds.tolist()):
+                sizes = [len(p.encode()) for p, _ in self.split.pre_tokenize_str(raw[a:b].tobytes().decode())]
+                new[a + np.cumsum([0, *sizes[:-1]])[: len(sizes)]] = True
+            return np.flatnonzero(new)
+        kinds = self.kinds.of(raw)
+        previous = before(kinds, bounds, NOTHING)
+        new = kinds != previous
+        blank = before(raw == ord(" "), bounds, False)  # a single blank goes with what follows
+        free = (previous != OTHER) & ~blank
+        # of white space before something, the last character stands alone, or goes with what follows if it is a blank
+        after = np.flatnonzero(new & (previous == SPACE))
+        last = after - 1
+        for _ in range(3):
+            last -= (raw[last] & 0xC0) == 0x80
+        new[last] = True
+        new[after[blank[after]]] = False
+        at, letters = contractions(raw, bounds, free)
+        new[at + 1] = False
+        end = at + 1 + letters
+        inside = np.append(previous, NOTHING)[end] != NOTHING
+        new[end[inside]] = True
+        return np.flatnonzero(new)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the bounds of each text among them."""
+        raw, bounds = text_bytes(texts)
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
+        starts = self.starts(raw, bounds)
+        tokens, first, count = self.memory.look_up(as_pieces(raw, starts))
+        at, ends = ranges(first, count)
+        return tokens[at].astype("<u4", copy=False), ends[np.searchsorted(starts, bounds)]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        split = [self.parts(t) if t else [] for t in texts]
-        self.learn({x for parts in split for x in parts})
-        for parts in split:
-            yield np.frombuffer(b"".join([self.memory[x] for x in parts]), np.uint32).astype("<u4", copy=False)
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        yield from (ids[a:b] for a, b in pairwise(bounds.tolist()))
 
     def offsets(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token of a text; the tokens of a split character all cover it.
@@ -127,17 +139,16 @@ class Codec:
         """The bytes of the ids; an id that the vocabulary lacks raises KeyError."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
+    def decode_column(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts, given as encode_column() gives them, and the bounds of each text among them."""
+        at, ends = ranges(self.places[ids], self.sizes[ids])
+        return self.joined[at], ends[bounds]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids. Tokens may hold parts of a character: bytes are joined first, what stays broken is U+FFFD."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    """Arrays of 32-bit integers as one list column, without a Python object for each number."""
-    bounds = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
-
-
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("raw", pa.binary())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -156,8 +167,8 @@ def _over(df: DataFrame, rank_path: str, pattern: str, rows, schema: pa.Schema,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for b in byte_slices(batches, 1):
-            yield record(schema, b.column(0), *rows(codec, b.column(1).to_pylist()))
+        for b in byte_slices(batches, 1, TOGETHER, ROWS):
+            yield record(schema, b.column(0), *rows(codec, b.column(1)))
 
     return arrow_map(df, run, ddl)
 
@@ -169,9 +180,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     columns are ignored; no rows in, no rows out. A text of any length is encoded whole.
     """
 
-    def rows(codec: Codec, texts: list[str | None]):
-        found = [(ids.astype(np.int32), *codec.offsets(t, ids)) for t, ids in zip(texts, codec.encode(texts))]
-        return [_lists([x[i] for x in found]) for i in range(3)]
+    def rows(codec: Codec, texts: pa.Array):
+        ids, bounds = codec.encode_column(texts)
+        spans = [codec.offsets(t.as_py(), ids[a:b]) for t, (a, b) in zip(texts, pairwise(bounds.tolist()))]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x))
+        return [lists(x) for x in (ids.astype(np.int32), *(np.concatenate([np.zeros(0, np.int32), *(x[i] for x in spans)]) for i in range(2)))]
 
     return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _IDS, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -180,7 +193,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_
     """(doc_id, text, raw): text and bytes of the ids. Null ids count as none; ids cut inside a character give U+FFFD there."""
 
     def rows(codec: Codec, lists):
-        raw = [codec.decode_bytes(np.array(x or [], np.int64)) for x in lists]
+        raw = [codec.decode_bytes(np.array(x.as_py() or [], np.int64)) for x in lists]
         return [r.decode("utf-8", "replace") for r in raw], raw
 
     some = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
@@ -193,9 +206,10 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
     Ids are digested as little-endian unsigned 32-bit integers. Edge cases as in encode().
     """
 
-    def rows(codec: Codec, texts: list[str | None]):
-        found = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest()) for ids in codec.encode(texts)]
-        return [list(x) for x in zip(*found)] if found else [[], [], []]
+    def rows(codec: Codec, texts: pa.Array):
+        ids, bounds = codec.encode_column(texts)
+        sha = lambda x, at: [hashlib.sha256(x[a:b]).hexdigest() for a, b in pairwise(at.tolist())]
+        return np.diff(bounds), sha(ids, bounds), sha(*codec.decode_column(ids, bounds))
 
     return _over(text_columns(docs, id_col, text_col), rank_path, pattern, rows, _DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -639,3 +639,50 @@ def test_largest_saving_wins_a_place(spark):
     assert (by[3, "MIT"].n_places, by[3, "MIT"].n_won, by[3, "MIT-full"].n_won) == (2, 1, 1)
     assert licenses.within([("a", 0, 10, 5), ("b", 2, 6, 3), ("c", 8, 16, 4), ("d", 3, 5, 2)]) == {("b", 2): "a", ("d", 3): "a"}
     assert licenses.within([]) == {}
+
+
+def test_bpe_of_many_texts_at_once(monkeypatch):
+    """Texts that lie side by side stay apart, pieces of all lengths and a memory that is always full change nothing, nor do other patterns."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = bpe.public_ranks()
+    ranks = bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    signs = [*" \n\t '‘sdlmtrve!a1é字😀٣　  ", "'ll", "'re", " '", "  '", "\n's", "!'s", "'s's", "it's ", " the", "ationing"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(4000)] + [None, "", "'", "'", "s", " ", "l'", "l", "thing" * 12, "=" * 63, "=" * 64, "=" * 65, "ab" * 700]
+    want = [own.encode_ordinary(t or "") for t in texts]
+    codec = bpe.Codec(ranks, pattern)
+    ids, bounds = codec.encode_column(bpe.pa.array(["cut off", *texts]).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    raw, at = codec.decode_column(ids, bounds)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:])] == [t or "" for t in texts]
+    monkeypatch.setattr(bpe, "MEMORY", 1000)
+    small = bpe.Codec(ranks, pattern)
+    assert [x.tolist() for k in range(0, len(texts), 500) for x in small.encode(texts[k : k + 500])] == want
+    assert "model" in vars(codec)  # for long pieces; words never go through the library
+    words = bpe.Codec(ranks, pattern)
+    assert len(list(words.encode([" ".join(w + x for w in signs for x in signs if w.isascii())]))) == 1 and "model" not in vars(words)
+    other = r"\p{L}+|\s+|[^\s\p{L}]"
+    theirs = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    assert [x.tolist() for x in bpe.Codec(ranks, other).encode(texts)] == [theirs.encode_ordinary(t or "") for t in texts]
+    assert list(codec.encode([])) == []
+
+
+def test_merges_of_equal_rank_go_from_the_left():
+    """Of overlapping pairs that make the same token, the leftmost merges first, however the token was split."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"ba": 257, b"aba": 258, b"abab": 259}
+    codec = bpe.Codec(ranks, r".+")
+
+    def plain(piece: bytes) -> list[int]:
+        if piece in ranks:
+            return [ranks[piece]]
+        t = [bytes([b]) for b in piece]
+        while some := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(t, t[1:])) if a + b in ranks]:
+            i = min(some)[1]
+            t[i : i + 2] = [t[i] + t[i + 1]]
+        return [ranks[x] for x in t]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices("abc", [5, 5, 1], k=rng.randint(1, 40)))
+        assert next(codec.encode([text])).tolist() == plain(text.encode())
