@@ -224,3 +224,28 @@ def test_audit_of_the_documents(spark):
     con.sql(f"create view documents as select * from '{FOLDER}/documents.parquet'")
     got = divergence.audit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"select {', '.join(got.columns)} from ({divergence.AUDIT_SQL})").fetchall())
+
+
+def test_word_bpe_of_many_texts_at_once():
+    """Texts and special tokens side by side stay apart; words never go through the library; other files' words are their own."""
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    content = open(wordbpe.public_file(), encoding="utf-8").read()
+    codec, own = wordbpe.Codec(content), tokenizers.Tokenizer.from_str(content)
+    rng = random.Random(9)
+    signs = [*"abcTHEéİ'slmre12٣日! \n ", "'ll", "'Re", "!'s", "it's ", " the", "<|endoftext|>", "<|startoftext|><|endoftext|>", "ationing"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3000)] + [None, "", "'", "s", "l'", "l", " ", "<|endoftext|>", None]
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, bounds = codec.encode_column(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    raw, spans = codec.decode_column(ids, bounds)
+    assert [raw[a:b].tobytes().decode() for a, b in spans] == [own.decode(w, skip_special_tokens=False) for w in want]
+    assert not {"last", "inner"} & set(vars(codec))
+    long = ["thing" * 12, "thing" * 13, "x" * 64, "x" * 65, "qj" * 100 + "the"]
+    assert [x.tolist() for x in codec.encode(long)] == [own.encode(t, add_special_tokens=False).ids for t in long]
+    spec = json.loads(content)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\p{L}{1,4}|\p{N}+|[^\s\p{L}\p{N}]"}
+    other, theirs = wordbpe.Codec(json.dumps(spec)), tokenizers.Tokenizer.from_str(json.dumps(spec))
+    assert [x.tolist() for x in other.encode(texts)] == [theirs.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(codec.encode([])) == []
