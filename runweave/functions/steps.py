@@ -37,3 +37,7 @@ class Steps:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(before)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def freed(self) -> None:
+        """What was shuffled for tables stored so far goes now, not when the driver happens to collect its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
