@@ -140,7 +140,7 @@ def _texts(x: bytes) -> list[str]:
     return pa.ipc.open_stream(x).read_all().column(0).to_pylist()
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of each value of the first column, by which they are sorted."""
     now, held = None, []
     for b in batches:
@@ -201,7 +201,7 @@ def _repeated(slices: DataFrame, k: int, bases: bool, n_buckets: int) -> DataFra
                 yield _told("bucket long, sid long, x binary", bucket=some, sid=[sid] * len(some), x=[_planes(s.keys[s.bounds[i] : s.bounds[i + 1]] & 0xFFFFFFFF) for i in some])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _grouped(batches):
+        for bucket, rows in grouped(batches):
             parts = [_unplaned(x) for _, _, x in rows]
             every = np.concatenate(parts)
             order = np.argsort(every, kind="stable")
@@ -297,7 +297,7 @@ def _answers(packed: DataFrame, n_buckets: int) -> DataFrame:
     that no link there precedes, where there are several."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _grouped(batches):
+        for bucket, rows in grouped(batches):
             if bucket >= n_buckets:
                 for _, sid, x, y, colors in rows:
                     yield _told(_ANSWER, sid=[sid], kind=[_STATUS], x=[x], y=[y], colors=[colors])
@@ -360,7 +360,7 @@ def _stretches(answers: DataFrame) -> DataFrame:
     """(id, last, n, sid, text, pos, color): neighbouring first places of linked fragments; id, last: places, pos: in the text of the slice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sid, rows in _grouped(batches):
+        for sid, rows in grouped(batches):
             _, _, x, sizes, colors = next(r for r in rows if r[1] == _STATUS)
             status, sizes = np.frombuffer(x, np.uint8), np.frombuffer(sizes, "<i8")
             n = len(status)

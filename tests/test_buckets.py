@@ -1,10 +1,13 @@
 """K-mers in buckets of minimizers against all k-mers one by one."""
 
+import os
 import random
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import pytest
 
+from runweave.functions.steps import shared_folder
 from runweave.operators import buckets
 
 
@@ -44,3 +47,14 @@ def test_stretches_hold_each_kmer_once():
     assert sum(len(x) for _, x in found) < 5 * len(s)  # a k-mer each would be 31 times as much
     with pytest.raises(ValueError):
         buckets.kmer_sets(None, "name", "seq", 32, 5)
+
+
+def test_kmers_are_stored_packed(spark):
+    """What is stored on the way is less than half the sequences, four bases to a byte: it was all stretches as texts."""
+    rng = random.Random(4)
+    rows = [(f"s{i % 3}", "".join(rng.choice("ACGT") for _ in range(20_000))) for i in range(100)]
+    held = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(urlparse(shared_folder(spark)).path) for f in names if f.endswith(".parquet"))
+    before = held()
+    found = buckets.kmer_sets(spark.createDataFrame(rows, "name string, seq string"), "name", "seq", 31, 15)
+    assert sum(r.n_fragments for r in found.collect()) == 100 * 19_970
+    assert held() - before < 100 * 20_000 / 2
