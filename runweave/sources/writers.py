@@ -117,6 +117,7 @@ def dump_tables(unitigs: DataFrame, colors: DataFrame) -> tuple[DataFrame, DataF
     colors: (color, name). Sets are numbered in the order of their colors, unitigs in that of their sequences and places.
     """
     steps = Steps(unitigs.sparkSession)
+    unitigs = steps.kept(unitigs.select("unitig", "names", "sequence"))  # read three times
     sets = unitigs.select("names").distinct()
     listed = sets.select("names", F.explode("names").alias("name")).join(colors, "name").groupBy("names").agg(F.array_sort(F.collect_list("color")).alias("colors"))
     ids = steps.kept(numbered(listed, ["colors"], "color_set_id"))
